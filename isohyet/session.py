@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     # Dates are calendar days of the data, so they must not depend on where a task runs.
@@ -24,3 +26,21 @@ def build_session(app: str = "isohyet", master: str | None = None, **options) ->
     for key, value in {**DEFAULTS, **options}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small reference table that many plans read, with a reliable checkpoint.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a local session without that
+    setting gets a folder of its own.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="isohyet-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
