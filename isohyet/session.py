@@ -10,6 +10,8 @@ DEFAULTS = {
     # Dates are calendar days of the data, so they must not depend on where a task runs.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
+    # Recording the Python call site of every column expression doubles the time to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A written map replaces only the partitions it contains.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

@@ -150,19 +150,23 @@ def area_weighted_mean(spark, sf_dir):
 @register(
     "area_weighted_mean_nulls",
     rounded_sql(with_cube(f"""
-WITH {weights_sql('n_name')}
-SELECT date, area, CASE WHEN sum(weight) FILTER (tmax IS NOT NULL) > 0
-         THEN sum(tmax * weight) / sum(weight) FILTER (tmax IS NOT NULL) END AS renormalised,
-       coalesce(sum(tmax * weight), 0) / sum(weight) AS as_zero
-FROM wide JOIN cell_area USING (cell_id) GROUP BY date, area"""), ["renormalised", "as_zero"]),
+WITH {weights_sql('n_name')}, monthly AS (
+  SELECT cell_id, {first_day('MS')} AS period,
+         CASE WHEN count(tmax) > 0 AND count(*) - count(tmax) < 0.05::DOUBLE * count(*) THEN max(tmax) END AS v
+  FROM wide GROUP BY 1, 2)
+SELECT period, area, CASE WHEN sum(weight) FILTER (v IS NOT NULL) > 0
+         THEN sum(v * weight) / sum(weight) FILTER (v IS NOT NULL) END AS renormalised,
+       coalesce(sum(v * weight), 0) / sum(weight) AS as_zero
+FROM monthly JOIN cell_area USING (cell_id) GROUP BY period, area"""), ["renormalised", "as_zero"], 8),
 )
 def area_weighted_mean_nulls(spark, sf_dir):
-    values, share = cube.series(spark, sf_dir, "tmax"), weights(spark, sf_dir)
+    hottest = daily.daily_indices(cube.series(spark, sf_dir, "tmax"), ["TXx"], ["MS"], missing=0.05)["MS"]
+    values, share = hottest.withColumnRenamed("TXx", "value"), weights(spark, sf_dir)
     tables = [
-        spatial.area_mean(values, share, ("date",), nulls).withColumnRenamed("value", name)
+        spatial.area_mean(values, share, ("period",), nulls).withColumnRenamed("value", name)
         for nulls, name in (("renormalise", "renormalised"), ("as_zero", "as_zero"))
     ]
-    return rounded(tables[0].join(tables[1], ["date", "area"]))
+    return rounded(tables[0].join(tables[1], ["period", "area"]), 8)
 
 
 @register(
