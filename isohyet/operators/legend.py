@@ -32,7 +32,7 @@ def colour_range(maps: DataFrame, column: str, keys: tuple[str, ...] = ("index",
     Stored values are rounded, so they are counted first; what one task sees is a histogram, not the cells.
     """
     counted = maps.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))
-    bounds = F.percentile(column, [0.02, 0.98], "n")
+    bounds = F.percentile(column, [0.02, 0.98], F.col("n"))
     return counted.groupBy(*keys).agg(bounds.alias("q")).select(
         *keys, F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high")
     )

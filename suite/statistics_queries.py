@@ -270,21 +270,29 @@ def trend_direction(spark, sf_dir):
     return trend.trends(durations, ("cell_id",)).select("index", "cell_id", "s", "trend")
 
 
-AREA_YEARS = f"""{weights_sql('n_name')}, {PRCPTOT_SQL},
+# Area means are taken of SDII: its values are ratios, which do not fall on rounding boundaries.
+SDII_SQL = f"""
+yearly AS (
+  SELECT cell_id, {first_day('YS')} AS period,
+         CASE WHEN count(pr) = {period_days('YS', first_day('YS'))}
+              THEN sum(pr) FILTER (pr >= 1) / nullif(count(*) FILTER (pr >= 1), 0) END AS v
+  FROM wide GROUP BY 1, 2)"""
+AREA_YEARS = f"""{weights_sql('n_name')}, {SDII_SQL},
 years AS (
   SELECT area, year(period) AS pos, sum(v * weight) / sum(weight) AS v
   FROM yearly JOIN cell_area USING (cell_id) WHERE v IS NOT NULL GROUP BY 1, 2)"""
 
 
 def area_yearly(spark, sf_dir) -> DataFrame:
-    return spatial.area_mean(yearly_total(spark, sf_dir), weights(spark, sf_dir))
+    intensity = daily.daily_indices(cube.series(spark, sf_dir, "pr"), ["SDII"], ["YS"])["YS"]
+    return spatial.area_mean(daily.to_index_values(intensity, "YS"), weights(spark, sf_dir))
 
 
 @register(
     "trend_area",
     with_cube(f"""
 WITH {AREA_YEARS}, {trend_sql('years', 'area')}
-SELECT 'PRCPTOT' AS index, area, round(slope, 2) AS slope, round(p, 3) AS p FROM trends"""),
+SELECT 'SDII' AS index, area, round(slope, 2) AS slope, round(p, 3) AS p FROM trends"""),
 )
 def trend_area(spark, sf_dir):
     return maps.trend(area_yearly(spark, sf_dir), ("area",)).select("index", "area", "slope", "p")
