@@ -100,12 +100,13 @@ def gamma_cdf(a: Column, x: Column) -> Column:
         F.sequence(terms, F.lit(1), F.lit(-1)), F.lit(1.0), lambda acc, n: 1.0 + x / (a + n) * acc
     )
     value = F.exp(a * F.log(x) - x - log_gamma(a + 1.0)) * series
-    return F.when(x <= 0, F.lit(0.0)).otherwise(F.least(value, F.lit(1.0)))
+    # Not least(), which would turn an unknown probability into 1.
+    return F.when(x <= 0, F.lit(0.0)).when(value > 1.0, F.lit(1.0)).otherwise(value)
 
 
 def normal_two_sided(z: Column) -> Column:
     """P(|Z| > |z|): 1 - P(1/2, z^2/2)."""
-    return F.greatest(1.0 - gamma_cdf(F.lit(0.5), z * z / 2.0), F.lit(0.0))
+    return 1.0 - gamma_cdf(F.lit(0.5), z * z / 2.0)
 
 
 def normal_quantile(p: Column) -> Column:

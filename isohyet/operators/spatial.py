@@ -102,11 +102,15 @@ def cell_area(grid: Grid, area_edges: DataFrame, spherical: bool = False) -> Dat
         (F.greatest(ax, bx) - F.greatest(F.least(ax, bx), F.lit(grid.east))) / F.abs(bx - ax)
     )
     outside = banded.filter(beyond).select(
-        "area", "row", F.lit(grid.last_col + 1).alias("col"), (rise * outside_share).alias("turn"),
+        "area", "row", F.lit(grid.last_col + 1).cast("long").alias("col"), (rise * outside_share).alias("turn"),
         F.lit(0.0).alias("inside"),
     )
+    # Boundary west of the grid adds nothing, but the cells up to there are to be filled in.
+    start = banded.filter(F.least(ax, bx) < grid.west).select(
+        "area", "row", F.lit(-1).cast("long").alias("col"), F.lit(0.0).alias("turn"), F.lit(0.0).alias("inside")
+    )
     events = (
-        inside.unionByName(outside)
+        inside.unionByName(outside).unionByName(start)
         .groupBy("area", "row", "col")
         .agg(F.sum("turn").alias("turn"), F.sum("inside").alias("inside"))
     )
@@ -207,7 +211,7 @@ def overlay(grid: Grid, area_edges: DataFrame) -> DataFrame:
     )
     kept = F.filter(
         F.col("points"),
-        lambda p, i: p != F.when(i == 0, F.element_at("points", -1)).otherwise(F.get("points", i - 1)),
+        lambda p, i: p != F.when(i == 0, F.try_element_at("points", F.lit(-1))).otherwise(F.get("points", i - 1)),
     )
     rings = rings.withColumn("points", kept).filter(F.size("points") >= 3)
     return rings.join(grid.cells.select("cell_id", "row", "col"), ["row", "col"]).select("cell_id", "area", "polygon", "ring", "points")

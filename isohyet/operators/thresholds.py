@@ -52,7 +52,7 @@ def _fill_gaps(values: Column) -> Column:
     )
 
     def filled(v, i):
-        before = F.element_at(F.filter(known, lambda e: e.i < i), -1)
+        before = F.try_element_at(F.filter(known, lambda e: e.i < i), F.lit(-1))
         after = F.get(F.filter(known, lambda e: e.i > i), F.lit(0))
         return F.coalesce(v, before.v + (after.v - before.v) * ((i - before.i) / (after.i - before.i)))
 

@@ -34,7 +34,8 @@ def mann_kendall_score(points: Column) -> Column:
 
 def tie_term(points: Column) -> Column:
     """Sum of t (t - 1) (2t + 5) over groups of t equal values."""
-    values = F.transform(points, lambda p: p["value"])
+    # Adding zero makes -0.0 and 0.0 one value.
+    values = F.transform(points, lambda p: p["value"] + 0.0)
 
     def group(v):
         t = F.size(F.filter(values, lambda w: w == v)).cast("double")
