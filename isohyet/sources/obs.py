@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet import model
@@ -12,6 +12,11 @@ from isohyet.operators.grid import cell_id
 COORDINATES = ["time", "latitude", "longitude"]
 
 
+def source_file() -> Column:
+    """The file a row comes from; a folder of part files written by one job counts as one file."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "/part-[^/]*$", "")
+
+
 def _scan(spark: SparkSession, paths: list[str], fmt: str) -> DataFrame:
     reader = spark.read
     if fmt == "csv":
@@ -35,7 +40,7 @@ def read_grid(
     raw = _scan(spark, paths, fmt)
     if fmt == "csv" and "time" not in raw.columns:
         raise ValueError("a CSV grid needs a 'time' column")
-    named = raw.select("*", F.col("_metadata.file_path").alias("src"))
+    named = raw.select("*", source_file().alias("src"))
     return to_obs(named, units, strict)
 
 

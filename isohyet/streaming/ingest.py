@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from isohyet.operators import clean
-from isohyet.sources.obs import to_obs
+from isohyet.sources.obs import source_file, to_obs
 
 
 def ingest_new_files(
@@ -22,7 +22,7 @@ def ingest_new_files(
     source = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
         source = source.option("header", True)
-    arriving = source.load(folder).select("*", F.col("_metadata.file_path").alias("src"))
+    arriving = source.load(folder).select("*", source_file().alias("src"))
     obs = clean.keep_allowed(to_obs(arriving, units)).withColumn("year", F.year("date"))
     return (
         obs.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
