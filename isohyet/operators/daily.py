@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.calendar import day_number, days_in_period, period_start
 from isohyet.model import INDICES, Baseline
-from isohyet.operators.thresholds import attach_thresholds, doy_thresholds, threshold_column
+from isohyet.operators.thresholds import Record, attach_thresholds, doy_thresholds, threshold_column
 
 WET = 1.0
 SPELL = 6
@@ -181,10 +181,11 @@ def daily_indices(
     freqs: list[str],
     baseline: Baseline | None = None,
     missing: str | float = "any",
+    record: Record | None = None,
 ) -> dict[str, DataFrame]:
     """Compute indices of one variable, ``series(cell_id, date, value)``, for each frequency.
 
-    Returns ``freq -> (cell_id, period, <one double column per index>)``.
+    ``record``: first and last day of the data, if known; it spares the percentile indices a scan.  Returns ``freq -> (cell_id, period, <one double column per index>)``.
     """
     days = series.select("cell_id", "date", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
     wanted = sorted({QUANTILES[i] for i in indices if i in QUANTILES})
@@ -194,7 +195,7 @@ def daily_indices(
         days = days.repartition("cell_id")
     if wanted:
         wet_only = INDICES[indices[0]][0] == "pr"
-        days = attach_thresholds(days, doy_thresholds(series, wanted, baseline, wet_only))
+        days = attach_thresholds(days, doy_thresholds(days, wanted, baseline, wet_only, record), "inner")
     days = days.withColumn("day", day_number("date"))
     if spells:
         days = _with_spells(days, spells, freqs)

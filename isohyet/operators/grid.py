@@ -12,7 +12,7 @@ from isohyet.session import settle
 
 @dataclass(frozen=True)
 class Grid:
-    """The cells of a dataset with bounds and row/column numbers, and five facts about them.
+    """The cells of a dataset with bounds and row/column numbers, and seven facts about them.
 
     ``cells(cell_id, lat, lon, lat_lo, lat_hi, lon_lo, lon_hi, row, col)``
     """
@@ -20,6 +20,8 @@ class Grid:
     cells: DataFrame
     row_height: float
     col_width: float
+    south: float
+    north: float
     west: float
     east: float
     last_col: int
@@ -38,7 +40,7 @@ def prepare(cells: DataFrame) -> Grid:
     numbered = settle(cell_bounds(cells))
     facts = numbered.agg(
         F.avg(F.col("lat_hi") - F.col("lat_lo")), F.avg(F.col("lon_hi") - F.col("lon_lo")),
-        F.min("lon_lo"), F.max("lon_hi"), F.max("col"),
+        F.min("lat_lo"), F.max("lat_hi"), F.min("lon_lo"), F.max("lon_hi"), F.max("col"),
     ).first()
     if facts[0] is None:
         raise ValueError("the grid has no cells")

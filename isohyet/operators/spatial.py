@@ -7,6 +7,8 @@ rows only for the grid lines it crosses; cells in the interior are filled in fro
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from isohyet.operators.grid import Grid
 
 # Covered shares below this are rounding noise of the edge sums.
 NOISE = 1e-9
+# Further out than any coordinate.
+FAR = 1e6
 
 
 def _between(value: Column, low: Column, high: Column) -> Column:
@@ -30,26 +34,43 @@ def _at(a: Column, b: Column, share_of: Column, start: Column, end: Column) -> C
 
 
 def interval_join(
-    left: DataFrame, low: Column, high: Column, axis: DataFrame, name: str, width: float
+    left: DataFrame, low: Column, high: Column, axis: DataFrame, name: str, width: float, start: float, end: float
 ) -> DataFrame:
     """Join rows with the axis intervals ``[name_lo, name_hi]`` that their ``[low, high]`` meets or touches.
 
-    Equi-join on bins of ``width``, the mean interval.  A pair can share several bins; it is kept in the
-    first of them only.
+    Equi-join on bins of ``width``, the mean interval, from one bin before ``start`` to one after ``end``;
+    whatever lies further out counts as the outermost bin.  A pair can share several bins; it is kept in
+    the first of them only.
     """
+    outer = (F.lit(math.floor(start / width) - 1), F.lit(math.floor(end / width) + 1))
+
+    def bin_of(value: Column) -> Column:
+        return _between(F.floor(value / width), *outer)
+
     lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-    left = left.withColumns({"_first": F.floor(low / width), "_last": F.floor(high / width)})
+    left = left.withColumns({"_first": bin_of(low), "_last": bin_of(high)})
     left = left.withColumn("_bin", F.explode(F.sequence("_first", "_last")))
-    right = axis.withColumn("_start", F.floor(lo / width))
-    right = right.withColumn("_bin", F.explode(F.sequence("_start", F.floor(hi / width))))
+    right = axis.withColumn("_start", bin_of(lo))
+    right = right.withColumn("_bin", F.explode(F.sequence("_start", bin_of(hi))))
     met = (low <= hi) & (high >= lo) & (F.col("_bin") == F.greatest("_first", "_start"))
     return left.join(right, "_bin").filter(met).drop("_bin", "_first", "_last", "_start")
 
 
+def _in_rows(edges: DataFrame, grid: Grid) -> DataFrame:
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    return interval_join(edges, low, high, grid.rows, "lat", grid.row_height, grid.south, grid.north)
+
+
+def _in_columns(edges: DataFrame, grid: Grid, columns: DataFrame | None = None) -> DataFrame:
+    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
+    axis = grid.columns if columns is None else columns
+    return interval_join(edges, low, high, axis, "lon", grid.col_width, grid.west, grid.east)
+
+
 def _clip_to_rows(edges: DataFrame, grid: Grid) -> DataFrame:
     """Edges cut at row boundaries; level edges keep one piece in each row they lie inside of."""
     ay, by = F.col("ay"), F.col("by")
-    met = interval_join(edges, F.least(ay, by), F.greatest(ay, by), grid.rows, "lat", grid.row_height)
+    met = _in_rows(edges, grid)
     lo, hi = F.col("lat_lo"), F.col("lat_hi")
     crossing = (F.least(ay, by) < hi) & (F.greatest(ay, by) > lo)
     ca, cb = _between(ay, lo, hi), _between(by, lo, hi)
@@ -62,7 +83,7 @@ def _clip_to_rows(edges: DataFrame, grid: Grid) -> DataFrame:
 def _clip_to_columns(edges: DataFrame, grid: Grid) -> DataFrame:
     """Edges cut at column boundaries, likewise."""
     ax, bx = F.col("ax"), F.col("bx")
-    met = interval_join(edges, F.least(ax, bx), F.greatest(ax, bx), grid.columns, "lon", grid.col_width)
+    met = _in_columns(edges, grid)
     lo, hi = F.col("lon_lo"), F.col("lon_hi")
     crossing = (F.least(ax, bx) < hi) & (F.greatest(ax, bx) > lo)
     ca, cb = _between(ax, lo, hi), _between(bx, lo, hi)
@@ -88,29 +109,20 @@ def cell_area(grid: Grid, area_edges: DataFrame, spherical: bool = False) -> Dat
     ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
     rise = by - ay
 
+    # The land beyond the grid's sides counts as one more column each: boundary there has no cell of its own,
+    # but it bounds the cells in between.
+    beyond = [(-1, -FAR, grid.west), (grid.last_col + 1, grid.east, FAR)]
+    columns = grid.columns.unionByName(
+        area_edges.sparkSession.createDataFrame(beyond, "col bigint, lon_lo double, lon_hi double")
+    )
     lo, hi = F.col("lon_lo"), F.col("lon_hi")
-    inside = interval_join(banded, F.least(ax, bx), F.greatest(ax, bx), grid.columns, "lon", grid.col_width)
+    met = _in_columns(banded, grid, columns)
     ca, cb = _between(ax, lo, hi), _between(bx, lo, hi)
     upright = ax == bx
     # An upright edge on a grid line belongs to the column east of it.
     part = F.when(upright, F.when((ax >= lo) & (ax < hi), rise).otherwise(0.0)).otherwise(rise * (cb - ca) / (bx - ax))
-    inside = inside.select(
-        "area", "row", "col", part.alias("turn"), (((ca - lo) + (cb - lo)) / 2.0 * part).alias("inside")
-    )
-    beyond = F.greatest(ax, bx) >= grid.east
-    outside_share = F.when(upright, F.lit(1.0)).otherwise(
-        (F.greatest(ax, bx) - F.greatest(F.least(ax, bx), F.lit(grid.east))) / F.abs(bx - ax)
-    )
-    outside = banded.filter(beyond).select(
-        "area", "row", F.lit(grid.last_col + 1).cast("long").alias("col"), (rise * outside_share).alias("turn"),
-        F.lit(0.0).alias("inside"),
-    )
-    # Boundary west of the grid adds nothing, but the cells up to there are to be filled in.
-    start = banded.filter(F.least(ax, bx) < grid.west).select(
-        "area", "row", F.lit(-1).cast("long").alias("col"), F.lit(0.0).alias("turn"), F.lit(0.0).alias("inside")
-    )
     events = (
-        inside.unionByName(outside).unionByName(start)
+        met.select("area", "row", "col", part.alias("turn"), (((ca - lo) + (cb - lo)) / 2.0 * part).alias("inside"))
         .groupBy("area", "row", "col")
         .agg(F.sum("turn").alias("turn"), F.sum("inside").alias("inside"))
     )

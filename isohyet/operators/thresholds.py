@@ -7,6 +7,8 @@ of one value per year - and only those lists are copied to the five centres.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +23,25 @@ def threshold_column(q: float) -> str:
     return f"q{round(q * 100):02d}"
 
 
-def record_bounds(series: DataFrame) -> tuple[Column, Column]:
-    """First and last day of the record as scalar subqueries."""
-    return series.agg(F.min("date")).scalar(), series.agg(F.max("date")).scalar()
+Record = tuple[datetime.date, datetime.date]
+
+
+def record_bounds(series: DataFrame) -> Column:
+    """First and last day of the record, as a struct from one scalar subquery."""
+    return series.agg(F.struct(F.min("date").alias("first"), F.max("date").alias("last"))).scalar()
 
 
-def baseline_bounds(series: DataFrame, baseline: Baseline | None) -> tuple[Column, Column]:
+def baseline_bounds(series: DataFrame, baseline: Baseline | None, record: Record | None) -> tuple[Column, Column]:
     """First and last baseline day: the whole record unless both years are given.
 
-    A baseline outside the record, or one that holds no day of it, fails the query.
+    A baseline outside the record, or one that holds no day of it, fails the query.  Pass the ``record``
+    where it is known; otherwise the dates are scanned for it.
     """
-    first, last = record_bounds(series)
+    if record is None:
+        bounds = record_bounds(series)
+        first, last = bounds["first"], bounds["last"]
+    else:
+        first, last = F.lit(record[0]), F.lit(record[1])
     if baseline is None or not baseline.given:
         return first, last
     start = F.make_date(F.lit(baseline.start_year), F.lit(1), F.lit(1))
@@ -76,61 +86,68 @@ def _stretch(values: Column) -> Column:
 
 
 def doy_thresholds(
-    series: DataFrame, quantiles: list[float], baseline: Baseline | None = None, wet_only: bool = False
+    series: DataFrame, quantiles: list[float], baseline: Baseline | None = None, wet_only: bool = False,
+    record: Record | None = None,
 ) -> DataFrame:
     """``series(cell_id, date, value)`` -> ``(cell_id, q90, q95, ...)``, each an array indexed by day of year.
 
     Wet days (>= 1 mm) only where ``wet_only``.  Type 8 quantiles; days 1..365, stretched to 366 when the
     record contains a leap day.
     """
-    first, last = baseline_bounds(series, baseline)
+    first, last = baseline_bounds(series, baseline, record)
     sample = F.col("value").isNotNull()
     if wet_only:
         sample = sample & (F.col("value") >= 1.0)
-    centres = F.array(*[F.date_add("date", k) for k in range(-HALF_WINDOW, HALF_WINDOW + 1)])
-    centre_doys = F.filter(
-        F.transform(
-            centres, lambda c: F.when((c >= F.col("first")) & (c <= F.col("last")), F.dayofyear(c))
-        ),
-        lambda d: d <= YEAR_DAYS,
+    doy, first_day, last_day = F.dayofyear("date"), F.col("first"), F.col("last")
+    in_baseline = F.col("date").between(first_day, last_day)
+    # Away from the ends of the year and of the baseline, the centres are simply the neighbouring days.
+    plain = (
+        doy.between(1 + HALF_WINDOW, YEAR_DAYS - HALF_WINDOW)
+        & F.col("date").between(F.date_add(first_day, HALF_WINDOW), F.date_sub(last_day, HALF_WINDOW))
     )
-    in_baseline = F.col("date").between(F.col("first"), F.col("last"))
+    offsets = range(-HALF_WINDOW, HALF_WINDOW + 1)
+    centres = F.array(*[
+        F.when(F.date_add("date", o).between(first_day, last_day), F.dayofyear(F.date_add("date", o))) for o in offsets
+    ])
     by_centres = (
         series.select("cell_id", "date", "value")
         .repartition("cell_id")
-        .withColumn("first", first)
-        .withColumn("last", last)
-        .withColumn("doys", F.when(in_baseline & sample, centre_doys))
-        .groupBy("cell_id", "doys")
-        .agg(
-            F.collect_list(F.when(F.col("doys").isNotNull(), F.col("value"))).alias("values"),
-            F.max(F.dayofyear("date")).alias("longest"),
-        )
+        .withColumns({"first": first, "last": last})
+        .withColumn("used", in_baseline & sample)
+        .withColumns({
+            "day": F.when(F.col("used") & plain, doy),
+            "edge": F.when(F.col("used") & ~plain, F.filter(centres, lambda d: d <= YEAR_DAYS)),
+        })
+        .groupBy("cell_id", "day", "edge")
+        .agg(F.collect_list(F.when(F.col("used"), F.col("value"))).alias("values"), F.max(doy).alias("longest"))
+        .withColumn("doys", F.coalesce("edge", F.when(
+            F.col("day").isNotNull(), F.array(*[F.col("day") + o for o in offsets])
+        )))
     )
     # Every (cell, centre) gets its pooled values; a null list of centres only carries the year length.
     pooled = (
         by_centres.select("cell_id", "values", "longest", F.explode_outer("doys").alias("doy"))
         .groupBy("cell_id", "doy")
-        .agg(F.array_sort(F.flatten(F.collect_list("values"))).alias("pool"), F.max("longest").alias("longest"))
+        .agg(F.sort_array(F.flatten(F.collect_list("values"))).alias("pool"), F.max("longest").alias("longest"))
     )
     per_doy = pooled.select(
         "cell_id", "doy", "longest", *[quantile8(F.col("pool"), q).alias(threshold_column(q)) for q in quantiles]
     )
+    names = [threshold_column(q) for q in quantiles]
     collected = per_doy.groupBy("cell_id").agg(
         F.max("longest").alias("longest"),
-        *[
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("doy").isNotNull(), F.struct("doy", threshold_column(q))))
-            ).alias(threshold_column(q))
-            for q in quantiles
-        ],
+        F.sort_array(F.collect_list(F.when(F.col("doy").isNotNull(), F.struct("doy", *names)))).alias("days"),
     )
 
     def by_day(name: str) -> Column:
-        days = F.sequence(F.lit(1), F.lit(YEAR_DAYS))
-        return F.transform(days, lambda d: F.try_element_at(F.col(name), d)).alias(name)
+        known = F.map_from_entries(F.transform("days", lambda e: F.struct(e["doy"], e[name])))
+        every = F.sequence(F.lit(1), F.lit(YEAR_DAYS))
+        return (
+            F.when(F.size("days") == YEAR_DAYS, F.transform("days", lambda e: e[name]))
+            .otherwise(F.transform(every, lambda d: F.try_element_at(known, d))).alias(name)
+        )
 
-    dense = collected.select("cell_id", "longest", *[by_day(threshold_column(q)) for q in quantiles])
+    dense = collected.select("cell_id", "longest", *[by_day(n) for n in names])
     for q in quantiles:
         name = threshold_column(q)
         dense = dense.withColumn(name, _fill_gaps(F.col(name)))
@@ -142,14 +159,15 @@ def doy_thresholds(
     return dense.drop("longest")
 
 
-def attach_thresholds(series: DataFrame, thresholds: DataFrame) -> DataFrame:
+def attach_thresholds(series: DataFrame, thresholds: DataFrame, how: str = "left") -> DataFrame:
     """Add the day's threshold of each quantile column to the daily rows.
 
     One threshold row per cell: the join is on the cell alone and keeps the daily rows' partitioning, and
-    the arrays are reduced to one number before anything else happens.
+    the arrays are reduced to one number before anything else happens.  ``how='inner'`` is for thresholds of
+    the very same series, where every cell has a row: both sides then read one and the same shuffle.
     """
     names = [c for c in thresholds.columns if c != "cell_id"]
-    joined = series.join(thresholds, "cell_id", "left")
+    joined = series.join(thresholds, "cell_id", how)
     return joined.select(
         *series.columns, *[F.get(F.col(n), F.dayofyear("date") - 1).alias(n) for n in names]
     )

@@ -59,26 +59,22 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _position(cells, k).select("cell_id", "lat", "lon")
 
 
-def _readings(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
-    """Order lines summed per cell, day and further keys: q, dc, qd, n."""
+def _lines(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    """Order lines as (cell_id, date, quantity, cents, both, *keys)."""
     k = _scale(spark, sf_dir)
-    cents = F.round(100 * F.col("l_discount"))
-    return (
-        table(spark, sf_dir, "lineitem")
-        .select(
-            (F.col("l_suppkey") % (6 * k * k)).alias("cell_id"),
-            F.to_date("l_shipdate").alias("date"),
-            F.col("l_quantity").cast("long").alias("quantity"),
-            cents.cast("long").alias("cents"),
-            *keys,
-        )
-        .groupBy("cell_id", "date", *keys)
-        .agg(
-            F.sum("quantity").alias("q"),
-            F.sum("cents").alias("dc"),
-            F.sum(F.col("quantity") * F.col("cents")).alias("qd"),
-            F.count("*").alias("n"),
-        )
+    lines = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % (6 * k * k)).alias("cell_id"), F.to_date("l_shipdate").alias("date"),
+        F.col("l_quantity").cast("long").alias("quantity"),
+        F.round(100 * F.col("l_discount")).cast("long").alias("cents"), *keys,
+    )
+    return lines.withColumn("both", F.col("quantity") * F.col("cents"))
+
+
+def _readings(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines summed per cell, day and further keys: q, dc, qd, n."""
+    return lines.groupBy("cell_id", "date", *keys).agg(
+        F.sum("quantity").alias("q"), F.sum("cents").alias("dc"), F.sum("both").alias("qd"),
+        F.count("quantity").alias("n"),
     )
 
 
@@ -100,13 +96,9 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     calendar = (
         grid(spark, sf_dir)
         .select("cell_id", F.explode(F.sequence(first, last)).alias("date"))
-        .withColumns({c: F.lit(None).cast("long") for c in ("q", "dc", "qd", "n")})
-    )
-    complete = (
-        _readings(spark, sf_dir, []).unionByName(calendar)
-        .groupBy("cell_id", "date")
-        .agg(*[F.max(c).alias(c) for c in ("q", "dc", "qd", "n")])
+        .withColumns({c: F.lit(None).cast("long") for c in ("quantity", "cents", "both")})
     )
+    complete = _readings(_lines(spark, sf_dir, []).unionByName(calendar), [])
     return _variables(complete).select("cell_id", "date", "pr", "tmax", "tmin")
 
 
@@ -129,7 +121,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     (src, cell_id, date, pr, tmax, tmin), only the days each source has.
     """
     keys = ["l_returnflag", "l_linestatus"]
-    parts = _variables(_readings(spark, sf_dir, keys))
+    parts = _variables(_readings(_lines(spark, sf_dir, keys), keys))
     return parts.select(
         F.concat_ws("_", *keys).alias("src"), "cell_id", "date", "pr", "tmax", "tmin"
     )

@@ -138,7 +138,8 @@ def _register_index(index: str, freq: str) -> None:
     @register(name, rounded_sql(index_sql(index, freq), [index]))
     def query(spark, sf_dir):
         table = daily.daily_indices(
-            cube.series(spark, sf_dir, variable), [index], [freq], missing=RULE[variable]
+            cube.series(spark, sf_dir, variable), [index], [freq], missing=RULE[variable],
+            record=cube.calendar_bounds(spark, sf_dir) if index in daily.QUANTILES else None,
         )[freq]
         return rounded(table)
 
@@ -212,7 +213,8 @@ SELECT '{variable}' AS variable, cell_id, doy, {q}::DOUBLE AS q, q AS value FROM
 
 def _doy(spark, sf_dir, variable, q):
     series = cube.series(spark, sf_dir, variable)
-    table = thresholds.doy_thresholds(series, [q], wet_only=variable == "pr")
+    bounds = cube.calendar_bounds(spark, sf_dir)
+    table = thresholds.doy_thresholds(series, [q], wet_only=variable == "pr", record=bounds)
     out = thresholds.threshold_table(table, variable)
     return rounded(out.withColumn("doy", out.doy.cast("long")))
 
