@@ -182,20 +182,25 @@ def daily_indices(
     baseline: Baseline | None = None,
     missing: str | float = "any",
     record: Record | None = None,
+    colocated: bool = False,
 ) -> dict[str, DataFrame]:
     """Compute indices of one variable, ``series(cell_id, date, value)``, for each frequency.
 
-    ``record``: first and last day of the data, if known; it spares the percentile indices a scan.  Returns ``freq -> (cell_id, period, <one double column per index>)``.
+    ``record``: first and last day of the data, if known; it spares the percentile indices a scan.  ``colocated``: the
+    series comes from a table bucketed by cell, so that spells, running sums and percentiles need no shuffle
+    at all.
+
+    Returns ``freq -> (cell_id, period, <one double column per index>)``.
     """
     days = series.select("cell_id", "date", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
     wanted = sorted({QUANTILES[i] for i in indices if i in QUANTILES})
     spells = [i for i in indices if i in SPELLS]
     by_cell = bool(wanted or spells or "Rx5day" in indices)
-    if by_cell:
+    if by_cell and not colocated:
         days = days.repartition("cell_id")
     if wanted:
         wet_only = INDICES[indices[0]][0] == "pr"
-        days = attach_thresholds(days, doy_thresholds(days, wanted, baseline, wet_only, record), "inner")
+        days = attach_thresholds(days, doy_thresholds(days, wanted, baseline, wet_only, record, colocated), "inner")
     days = days.withColumn("day", day_number("date"))
     if spells:
         days = _with_spells(days, spells, freqs)

@@ -34,6 +34,8 @@ def yearly_events(spi: DataFrame, threshold: float = 1.0) -> DataFrame:
     order = Window.partitionBy(*key).orderBy("period")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.partitionBy(*key)
+    # Shuffled by cell before the kinds double the rows; all that follows keeps that partitioning.
+    spi = spi.select("index", "cell_id", "period", "value").repartition("cell_id")
     months = spi.select("index", "cell_id", "period", "value", both_kinds(threshold).alias("k")).select(
         "index", "cell_id", "period", "k.kind", "k.sign", "k.limit", (F.col("value") * F.col("k.sign")).alias("u")
     )

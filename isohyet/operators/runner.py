@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isohyet import model
 from isohyet.model import INDICES, Baseline
 from isohyet.operators import daily, events, spi
+from isohyet.operators.thresholds import Record
 from isohyet.sources.obs import series_of
 
 
@@ -55,21 +56,25 @@ def compute_indices(
     baseline: Baseline | None = None,
     spi_threshold: float = 1.0,
     missing: str | float = "any",
+    record: Record | None = None,
+    colocated: bool = False,
+    with_events: bool = True,
 ) -> DataFrame:
     """``obs`` -> ``index_values`` for the selection: one pass per variable and one per SPI window.
 
-    SPI is monthly; its yearly drought and flood events come with the yearly pass.
+    SPI is monthly; its yearly drought and flood events come with the yearly pass.  ``with_events=False``
+    leaves them out, for callers that store the SPI first and derive the events from the stored values.
     """
     by_variable, windows, raw = plan_selection(selected)
     tables = []
     for variable, names in by_variable.items():
-        wide = daily.daily_indices(series_of(obs, variable), names, list(freqs), baseline, missing)
+        wide = daily.daily_indices(series_of(obs, variable), names, list(freqs), baseline, missing, record, colocated)
         tables += [daily.to_index_values(wide[freq], freq) for freq in freqs]
     if windows:
         monthly = spi.monthly_mean(series_of(obs, "pr"), missing)
         standardised = spi.spi_values(monthly, windows)
         tables.append(standardised)
-        if "YS" in freqs:
+        if "YS" in freqs and with_events:
             tables.append(events.event_values(standardised, spi_threshold))
     tables += [raw_values(obs, v, freq) for v in raw for freq in freqs]
     if not tables:

@@ -87,12 +87,12 @@ def _stretch(values: Column) -> Column:
 
 def doy_thresholds(
     series: DataFrame, quantiles: list[float], baseline: Baseline | None = None, wet_only: bool = False,
-    record: Record | None = None,
+    record: Record | None = None, colocated: bool = False,
 ) -> DataFrame:
     """``series(cell_id, date, value)`` -> ``(cell_id, q90, q95, ...)``, each an array indexed by day of year.
 
     Wet days (>= 1 mm) only where ``wet_only``.  Type 8 quantiles; days 1..365, stretched to 366 when the
-    record contains a leap day.
+    record contains a leap day.  ``colocated``: the series is partitioned by cell already.
     """
     first, last = baseline_bounds(series, baseline, record)
     sample = F.col("value").isNotNull()
@@ -109,9 +109,9 @@ def doy_thresholds(
     centres = F.array(*[
         F.when(F.date_add("date", o).between(first_day, last_day), F.dayofyear(F.date_add("date", o))) for o in offsets
     ])
+    days = series.select("cell_id", "date", "value")
     by_centres = (
-        series.select("cell_id", "date", "value")
-        .repartition("cell_id")
+        (days if colocated else days.repartition("cell_id"))
         .withColumns({"first": first, "last": last})
         .withColumn("used", in_baseline & sample)
         .withColumns({

@@ -6,7 +6,7 @@ weights - is written once and read back, so a lost executor never costs more tha
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from isohyet import model
 from isohyet.model import Baseline, Scope
-from isohyet.operators import clean, grid, maps, merge, profile, runner, series, spatial
+from isohyet.operators import clean, events, grid, maps, merge, profile, runner, series, spatial
 from isohyet.operators.grid import Grid
 from isohyet.sources import areas, obs as obs_source, sinks
 
@@ -29,7 +29,6 @@ class Workspace:
     spi_threshold: float = 1.0
     missing: str | float = "any"
     span: tuple[int, int] | None = None
-    options: dict = field(default_factory=dict)
 
 
 def clip_and_clean(
@@ -70,9 +69,14 @@ def index_run(spark: SparkSession, obs_path: str, area_edges: DataFrame, out: st
 
     clipped = spatial.clip(observed, weights, model.OVERVIEW)
     values = runner.compute_indices(
-        clipped, work.selected, ("YS", "MS"), work.baseline, work.spi_threshold, work.missing
+        clipped, work.selected, ("YS", "MS"), work.baseline, missing=work.missing, with_events=False
     )
-    sinks.write_table(values, f"{out}/index_values", "freq", "index")
+    sinks.write_index_values(values, f"{out}/index_values")
+    if windows:
+        # Events are found in the stored SPI rather than in a second computation of it.
+        stored = _read(spark, f"{out}/index_values", model.INDEX_VALUES)
+        base = stored.filter((F.col("freq") == "MS") & F.col("index").isin([f"SPI{w}" for w in windows]))
+        sinks.write_index_values(events.event_values(base, work.spi_threshold), f"{out}/index_values")
     write_outputs(spark, cells, layer, out, work)
 
 
@@ -167,10 +171,7 @@ def on_demand_map(
     spark: SparkSession, obs_path: str, area_edges: DataFrame, out: str, index: str, span: tuple[int, int],
     work: Workspace,
 ) -> bool:
-    """The maps of one index over a span of years; nothing is done when they are already there.
-
-    Index values are taken from an earlier run where it stored them.
-    """
+    """The maps of one index over a span of years; nothing is done when they are already there."""
     threshold = work.spi_threshold if "_" in index else None
     wanted = spark.createDataFrame(
         [(work.country, index, sinks.span_name(*span, None if threshold is None else float(threshold)))],
@@ -187,7 +188,7 @@ def on_demand_map(
     values = runner.compute_indices(
         clipped, [index], ("YS",), work.baseline, work.spi_threshold, work.missing
     ).filter(F.col("index") == index)
-    sinks.write_table(values, f"{out}/on_demand/index_values", "freq", "index")
+    sinks.write_index_values(values, f"{out}/on_demand/index_values")
     stored = _read(spark, f"{out}/on_demand/index_values", model.INDEX_VALUES).filter(F.col("index") == index)
     means = spatial.area_mean(stored, weights)
     write_maps(spark, stored, means, weights, cells, layer, out, replace(work, span=span))
@@ -204,9 +205,15 @@ def _existing_maps(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(schema).format("text").load(path).select("country", "index", "span")
 
 
-def preview(spark: SparkSession, obs_path: str, area_edges: DataFrame, out: str, work: Workspace) -> None:
-    """Maps and series of the raw variables; skipped where they exist."""
+def preview(spark: SparkSession, obs_path: str, area_edges: DataFrame, out: str, work: Workspace) -> bool:
+    """Maps and series of the raw variables; nothing is done where the country has them."""
     raw = list(model.ALLOWED_VARIABLES)
+    existing = _existing_maps(spark, f"{out}/maps")
+    if existing is not None:
+        here = existing.filter((F.col("country") == work.country) & F.col("index").isin(raw))
+        if not here.isEmpty():
+            return False
     observed = obs_source.read_obs(spark, obs_path)
     present = {r[0] for r in observed.select("variable").distinct().collect()}
     index_run(spark, obs_path, area_edges, out, replace(work, selected=[v for v in raw if v in present]))
+    return True

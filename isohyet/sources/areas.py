@@ -72,13 +72,18 @@ def edges(ring_table: DataFrame) -> DataFrame:
     points = F.col("points")
     backwards = (signed_area(points) < 0) != F.col("hole")
     oriented = ring_table.withColumn("points", F.when(backwards, F.reverse(points)).otherwise(points))
-    n = F.size("points")
-    indexed = oriented.select("area", "polygon", "ring", "points", F.posexplode("points").alias("seq", "a"))
-    b = F.get(F.col("points"), (F.col("seq") + 1) % n)
+    # Each vertex is paired with the next one before the rows are made, so no row carries the whole ring.
+    following = F.concat(F.slice("points", 2, F.size("points")), F.slice("points", 1, 1))
+    pairs = F.arrays_zip(F.col("points").alias("a"), following.alias("b"))
+    indexed = oriented.select("area", "polygon", "ring", F.posexplode(pairs).alias("seq", "e"))
+
+    def coordinate(end: str, axis: int) -> Column:
+        return F.get(F.col(f"e.{end}"), F.lit(axis))
+
     return indexed.select(
         "area", "polygon", "ring", "seq",
-        F.get("a", F.lit(0)).alias("ax"), F.get("a", F.lit(1)).alias("ay"),
-        F.get(b, F.lit(0)).alias("bx"), F.get(b, F.lit(1)).alias("by"),
+        coordinate("a", 0).alias("ax"), coordinate("a", 1).alias("ay"),
+        coordinate("b", 0).alias("bx"), coordinate("b", 1).alias("by"),
     ).filter("ax != bx or ay != by")
 
 

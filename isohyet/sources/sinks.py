@@ -26,6 +26,25 @@ def write_obs(obs: DataFrame, path: str, files_per_year: int = 16) -> None:
     )
 
 
+def save_obs_table(obs: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Merged observations as a catalogue table bucketed by cell, partitioned by variable.
+
+    Every later index run reads each cell's series from one bucket, so the one shuffle the indices need is
+    paid once, here.  One file per bucket and variable.
+    """
+    (
+        obs.repartition(buckets, "cell_id").sortWithinPartitions("variable", "cell_id", "date")
+        .write.mode("overwrite").partitionBy("variable").bucketBy(buckets, "cell_id").sortBy("cell_id", "date")
+        .option("path", path).saveAsTable(name)
+    )
+
+
+def write_index_values(values: DataFrame, path: str, files_per_index: int = 8) -> None:
+    """Index values by frequency and index, each spread over a few files by cell."""
+    part = F.pmod(F.xxhash64("cell_id"), F.lit(files_per_index))
+    write_table(values.repartition("freq", "index", part), path, "freq", "index")
+
+
 def write_table(table: DataFrame, path: str, *partitions: str) -> None:
     writer = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)

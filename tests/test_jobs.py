@@ -160,7 +160,8 @@ def test_on_demand_map_is_made_once(spark, merged, run):
 def test_preview(spark, merged, files):
     out = str(files / "preview")
     edges = areas.read_areas(spark, str(files / "layer.geojson"), "name").filter("area = 'west'")
-    jobs.preview(spark, merged, edges, out, jobs.Workspace("Testland"))
+    assert jobs.preview(spark, merged, edges, out, jobs.Workspace("Testland"))
+    assert not jobs.preview(spark, merged, edges, out, jobs.Workspace("Testland"))
     features = read_features(spark, out)
     assert {f[1] for f in features} == {"pr", "tmax", "tmin"} and {f[3] for f in features} == {"actual"}
     # A single area brings no sub-area outputs.

@@ -112,3 +112,27 @@ def test_features_are_valid_json(spark):
     text = table.select(sinks.feature(ring, ["value", "trend"])).first()[0]
     assert json.loads(text) == {
         "type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[1.0, 2.0]]]}, "properties": {"value": 1.5}}
+
+
+def test_indices_of_a_bucketed_table_need_no_shuffle(spark, tmp_path):
+    from conftest import days
+    from isohyet.operators import daily
+
+    schema = "variable string, cell_id bigint, lat double, lon double, date date, value double, src string"
+    rows = [("pr", c, 1.0, 2.0, d, float((i * 7 + c) % 30), "f") for c in range(5) for i, d in enumerate(days("2000-01-01", 731))]
+    table = spark.createDataFrame(rows, schema)
+    sinks.save_obs_table(table, "bucketed_obs", str(tmp_path / "bucketed"), 4)
+    series_ = spark.table("bucketed_obs").filter("variable = 'pr'").select("cell_id", "date", "value")
+    names = ["CDD", "CWD", "Rx5day", "PRCPTOT", "R95p", "R99pTOT"]
+    record = (days("2000-01-01", 1)[0], days("2001-12-31", 1)[0])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = daily.daily_indices(series_, names, ["YS"], record=record, colocated=True)["YS"]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        got = out.orderBy("cell_id", "period").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = daily.daily_indices(table.select("cell_id", "date", "value"), names, ["YS"])["YS"]
+    assert got == want.orderBy("cell_id", "period").collect()
+    spark.sql("drop table bucketed_obs")
