@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.functions.barrier import computed_once
 from isohyet.functions.calendar import days_in_period, period_number, period_start
 from isohyet.functions.special import gamma_cdf, gamma_shape, normal_quantile
 from isohyet.operators.daily import enough_data
@@ -52,16 +53,17 @@ def spi(monthly: DataFrame, window: int) -> DataFrame:
         (1.0 - F.count(positive) / F.count(x)).alias("dry"),
         F.collect_list(F.struct("period", "value")).alias("years"),
     )
-    # One projection per step, so that no expression is repeated inside the next one.
-    fits = fits.withColumn("spread", F.log("mean") - F.col("mean_log"))
-    fits = fits.withColumn("a", gamma_shape(F.col("spread")))
+    # One step after the other, so that no expression is repeated inside the next one.
+    fits = computed_once(fits, ["cell_id", "mean", "dry", "years"], spread=F.log("mean") - F.col("mean_log"))
+    fits = computed_once(fits, ["cell_id", "mean", "dry", "years"], a=gamma_shape(F.col("spread")))
     rows = fits.select("cell_id", "a", (F.col("mean") / F.col("a")).alias("scale"), "dry", F.explode("years").alias("y"))
     rows = rows.select("cell_id", "y.period", "y.value", "a", "dry", (F.col("y.value") / F.col("scale")).alias("x"))
     # The point mass at zero takes the share of dry values; the gamma covers the rest.
     wet = F.col("dry") + (1.0 - F.col("dry")) * gamma_cdf(F.col("a"), F.col("x"))
-    rows = rows.withColumn("p", F.when(F.col("a").isNotNull(), F.when(F.col("value") <= 0, F.col("dry")).otherwise(wet)))
+    p = F.when(F.col("a").isNotNull(), F.when(F.col("value") <= 0, F.col("dry")).otherwise(wet))
+    rows = computed_once(rows, ["cell_id", "period"], p=p)
     # Far tails are cut at the limit; at exactly 0 or 1 the quantile is infinite and is cut as well.
-    rows = rows.withColumn("z", normal_quantile(F.col("p")))
+    rows = computed_once(rows, ["cell_id", "period", "p"], z=normal_quantile(F.col("p")))
     held = F.greatest(F.least("z", F.lit(LIMIT)), F.lit(-LIMIT))
     return rows.select("cell_id", "period", F.when(F.col("p").isNotNull(), held).alias("value"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isohyet.functions.barrier import computed_once
 from isohyet.functions.calendar import period_number
 from isohyet.functions.quantiles import median_of_sorted
 from isohyet.functions.special import normal_two_sided
@@ -44,13 +45,13 @@ def tie_term(points: Column) -> Column:
     return F.aggregate(F.transform(F.array_distinct(values), group), F.lit(0.0), lambda acc, g: acc + g)
 
 
-def sen_slope(points: Column) -> Column:
-    """Median of the slopes between all pairs, per step of ``pos``."""
+def sen_slopes(points: Column) -> Column:
+    """The slopes between all pairs, per step of ``pos``, ascending."""
     slopes = F.flatten(F.transform(
         points,
         lambda p, i: F.transform(_later(points, i), lambda q: (q["value"] - p["value"]) / (q["pos"] - p["pos"])),
     ))
-    return F.array_sort(slopes)
+    return F.sort_array(slopes)
 
 
 def trends(
@@ -69,29 +70,29 @@ def trends(
     packed = (
         values.select("index", *keys, period_number(F.col("period"), freq).alias("pos"), value.alias("value"))
         .groupBy("index", *keys)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("series"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("series"))
         .withColumn("points", F.filter("series", lambda p: p["value"].isNotNull()))
         .filter((F.size("points") >= ENOUGH * F.size("series")) & (F.size("points") > 1))
+        .withColumn("slopes", sen_slopes(F.col("points")))
     )
-    tested = packed.select(
-        "index", *keys,
-        F.size("points").cast("double").alias("n"),
-        mann_kendall_score(F.col("points")).alias("s"),
-        tie_term(F.col("points")).alias("ties"),
-        sen_slope(F.col("points")).alias("slopes"),
+    points = F.col("points")
+    tested = computed_once(
+        packed, ["index", *keys],
+        n=F.size(points).cast("double"), s=mann_kendall_score(points), ties=tie_term(points),
+        median=median_of_sorted(F.col("slopes")),
     )
     n, s = F.col("n"), F.col("s")
     variance = (n * (n - 1.0) * (2.0 * n + 5.0) - F.col("ties")) / 18.0
     z = F.when(s == 0, F.lit(0.0)).otherwise((s - F.signum(s)) / F.sqrt(variance))
-    scored = tested.select(
-        "index", *keys, "s", z.alias("z"),
-        (median_of_sorted(F.col("slopes")) * (DECADE[freq] if per_period_decade else 10)).alias("slope"),
+    scored = computed_once(
+        tested, ["index", *keys, "s"],
+        z=z, slope=F.col("median") * (DECADE[freq] if per_period_decade else 10),
     )
     direction = F.when(F.col("z") > 0, "increasing").when(F.col("z") < 0, "decreasing").otherwise("no trend")
-    return scored.select(
-        "index", *keys, "s", "z", normal_two_sided(F.col("z")).alias("p"), "slope",
-        F.when(is_event, direction).alias("trend"),
-    )
+    return computed_once(
+        scored, ["index", *keys, "s", "z", "slope"],
+        p=normal_two_sided(F.col("z")), trend=F.when(is_event, direction),
+    ).select("index", *keys, "s", "z", "p", "slope", "trend")
 
 
 def significant(trend_table: DataFrame, level: float = 0.05) -> DataFrame:

@@ -175,11 +175,11 @@ def missing_rules(spark, sf_dir):
 
 
 def _resample_sql(freq: str) -> str:
-    return rounded_sql(with_cube(f"""
+    return with_cube(f"""
 SELECT variable, cell_id, {first_day(freq)} AS period,
        CASE WHEN variable = 'pr' THEN sum(v) ELSE avg(v) END AS value
 FROM (SELECT cell_id, date, unnest(['pr', 'tmax', 'tmin']) AS variable, unnest([pr, tmax, tmin]) AS v FROM wide)
-GROUP BY 1, 2, 3"""), ["value"])
+GROUP BY 1, 2, 3""")
 
 
 def _resampled(spark, sf_dir, freq):
@@ -192,7 +192,7 @@ def _resampled(spark, sf_dir, freq):
         daily.resample(cube.series(spark, sf_dir, v), v, freq).withColumn("variable", F.lit(v))
         for v in ("pr", "tmax", "tmin")
     ]
-    return rounded(reduce(DataFrame.unionByName, tables).select("variable", "cell_id", "period", "value"))
+    return reduce(DataFrame.unionByName, tables).select("variable", "cell_id", "period", "value")
 
 
 @register("annual_resample", _resample_sql("YS"))

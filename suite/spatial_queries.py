@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.operators import daily, grid, spatial
+from isohyet.operators import daily, grid, spatial, spi
 from isohyet.sources import areas
 from suite import cube
 from suite.daily_queries import rounded_sql
@@ -152,7 +152,7 @@ def area_weighted_mean(spark, sf_dir):
     rounded_sql(with_cube(f"""
 WITH {weights_sql('n_name')}, monthly AS (
   SELECT cell_id, {first_day('MS')} AS period,
-         CASE WHEN count(tmax) > 0 AND count(*) - count(tmax) < 0.05::DOUBLE * count(*) THEN max(tmax) END AS v
+         CASE WHEN count(tmax) > 0 AND count(*) - count(tmax) < 0.05::DOUBLE * count(*) THEN avg(tmax) END AS v
   FROM wide GROUP BY 1, 2)
 SELECT period, area, CASE WHEN sum(weight) FILTER (v IS NOT NULL) > 0
          THEN sum(v * weight) / sum(weight) FILTER (v IS NOT NULL) END AS renormalised,
@@ -160,8 +160,7 @@ SELECT period, area, CASE WHEN sum(weight) FILTER (v IS NOT NULL) > 0
 FROM monthly JOIN cell_area USING (cell_id) GROUP BY period, area"""), ["renormalised", "as_zero"], 8),
 )
 def area_weighted_mean_nulls(spark, sf_dir):
-    hottest = daily.daily_indices(cube.series(spark, sf_dir, "tmax"), ["TXx"], ["MS"], missing=0.05)["MS"]
-    values, share = hottest.withColumnRenamed("TXx", "value"), weights(spark, sf_dir)
+    values, share = spi.monthly_mean(cube.series(spark, sf_dir, "tmax"), 0.05), weights(spark, sf_dir)
     tables = [
         spatial.area_mean(values, share, ("period",), nulls).withColumnRenamed("value", name)
         for nulls, name in (("renormalise", "renormalised"), ("as_zero", "as_zero"))
