@@ -43,9 +43,9 @@ def with_trend_support(values: DataFrame) -> DataFrame:
     return values.join(F.broadcast(without), "index", "left_anti")  # 11 fixed rows
 
 
-def span(values: DataFrame) -> DataFrame:
+def span(values: DataFrame, keys: tuple[str, ...] = ("index",)) -> DataFrame:
     """First and last date and year of the data behind each index."""
-    return values.groupBy("index").agg(
+    return values.groupBy(*keys).agg(
         F.min("period").alias("start_date"), F.max("period").alias("end_date"),
         F.year(F.min("period")).alias("first_year"), F.year(F.max("period")).alias("last_year"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isohyet.model import CANONICAL_UNITS
+from isohyet.operators.clean import display_name, lookup
 from isohyet.operators.grid import neighbours, spacing
 
 IRREGULAR = 1e-3
@@ -32,7 +34,7 @@ def _step_text(axis: str) -> Column:
 
 
 def dataset_profile(obs: DataFrame, calendar: str = "standard") -> DataFrame:
-    """One row: variables, sizes, bounds (4 decimals), first and last date, years, resolution, calendar.
+    """One row: variables and units, sizes, bounds (4 decimals), first and last date, years, resolution, calendar.
 
     Each fact is derived from the distinct values of one column, which are few; the observations
     themselves are never sorted or collected.
@@ -46,8 +48,9 @@ def dataset_profile(obs: DataFrame, calendar: str = "standard") -> DataFrame:
     facts = variables.agg(F.array_sort(F.collect_list("variable")).alias("variables")).withColumns({
         "lat": _axis_facts(obs, "lat"), "lon": _axis_facts(obs, "lon"), "time": times,
     })
+    unit = F.transform("variables", lambda v: F.coalesce(lookup(v, CANONICAL_UNITS), F.lit("unknown")))
     return facts.select(
-        "variables",
+        "variables", unit.alias("units"),
         F.col("time.size").alias("n_time"), F.col("lat.size").alias("n_lat"), F.col("lon.size").alias("n_lon"),
         *[
             F.round(F.col(f"{axis}.{field}"), 4).alias(f"{axis}_{name}")
@@ -64,6 +67,12 @@ def dataset_profile(obs: DataFrame, calendar: str = "standard") -> DataFrame:
     )
 
 
+def describe_variables(attributes: DataFrame) -> DataFrame:
+    """``attributes(variable, standard_name, long_name, units)`` -> (variable, name, units)."""
+    name = display_name(F.col("standard_name"), F.col("long_name"), F.col("variable"))
+    return attributes.select("variable", name.alias("name"), F.coalesce("units", F.lit("unknown")).alias("units"))
+
+
 def file_resolution(obs: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
     """(src, lat_res, lon_res): stated in the file's attributes, else the first spacing of both axes.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from isohyet import model
 from isohyet.model import Baseline, Scope
-from isohyet.operators import clean, events, grid, maps, merge, profile, runner, series, spatial
+from isohyet.operators import clean, events, grid, legend, maps, merge, profile, runner, series, spatial
 from isohyet.operators.grid import Grid
 from isohyet.sources import areas, obs as obs_source, sinks
 
@@ -54,14 +54,16 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def index_run(spark: SparkSession, obs_path: str, area_edges: DataFrame, out: str, work: Workspace) -> None:
-    """Everything for one country: indices, area means, maps, series.
+    """Everything for one country: outline, indices, area means, maps, series.
 
-    ``out/index_values``, ``out/cell_area``, ``out/area_values``, ``out/maps``, ``out/series``.
+    Written under ``out``: boundary, cell_area, index_values, area_values, maps, maps_metadata, series and
+    series_metadata.
     """
     observed = obs_source.read_obs(spark, obs_path)
     by_variable, windows, raw = runner.plan_selection(work.selected)
     runner.check_inputs(observed, by_variable, windows, raw)
 
+    sinks.write_boundary(area_edges, f"{out}/boundary")
     cells = grid.prepare(obs_source.cells_of(observed))
     layer = areas.with_overview(area_edges)
     sinks.write_table(spatial.cell_area(cells, layer), f"{out}/cell_area")
@@ -96,6 +98,13 @@ def write_outputs(spark: SparkSession, cells: Grid, layer: DataFrame, out: str,
     sinks.write_series(series.yearly_series(yearly.unionByName(spi)), f"{out}/series/annual")
     monthly = means.filter(chartable & (F.col("freq") == "MS"))
     sinks.write_series(series.monthly_series(monthly), f"{out}/series/seasonal")
+    units = F.broadcast(model.catalogue(spark).select("index", "units"))  # 65 fixed rows
+    methods = F.when(F.col("freq") == "YS", "annual mean").otherwise("seasonal cycle")
+    metadata = maps.span(means.filter(chartable), ("index", "freq")).join(units, "index", "left").select(
+        F.lit(work.country).alias("country"), "index", "units", methods.alias("method"), "start_date", "end_date",
+        F.array("first_year", "last_year").alias("years"),
+    )
+    sinks.write_metadata(metadata, f"{out}/series_metadata")
 
 
 def _spanned(table: DataFrame, years: DataFrame, work: Workspace) -> DataFrame:
@@ -164,7 +173,7 @@ def write_maps(
         F.array("first_year", "last_year").alias("years"), F.lit("Mann-Kendall").alias("trend_method"),
         F.when(is_event, F.lit(float(work.spi_threshold))).alias("spi_threshold"),
     )
-    sinks.write_map_metadata(metadata, f"{out}/maps_metadata")
+    sinks.write_metadata(metadata, f"{out}/maps_metadata")
 
 
 def on_demand_map(
@@ -217,3 +226,24 @@ def preview(spark: SparkSession, obs_path: str, area_edges: DataFrame, out: str,
     present = {r[0] for r in observed.select("variable").distinct().collect()}
     index_run(spark, obs_path, area_edges, out, replace(work, selected=[v for v in raw if v in present]))
     return True
+
+
+def dashboard(
+    area_values: DataFrame, index: str, area: str, start_year: int, end_year: int, window: int = 21,
+    threshold: float = 1.0,
+) -> dict[str, DataFrame]:
+    """What a chart page of one index and area shows: annual values with their moving average, the monthly
+    climatology with its axis, and for a base SPI the months labelled drought, wet or neutral."""
+    chosen = area_values.filter((F.col("index") == index) & (F.col("area") == area))
+    is_spi = model.spi_window(index) is not None
+    yearly = series.yearly_series(chosen.filter(F.col("freq") == ("MS" if is_spi else "YS")))
+    monthly = series.monthly_series(chosen.filter(F.col("freq") == "MS"))
+    climatology = series.monthly_climatology(monthly, start_year=start_year, end_year=end_year)
+    windowed = clean.year_window(yearly, start_year, end_year, F.col("year"))
+    views = {"annual": series.moving_average(windowed, window=window), "climatology": climatology}
+    if is_spi:
+        views["axis"] = legend.symmetric_axis(climatology)
+        # Runs are found in the whole record first; the years shown are cut out afterwards.
+        labelled = events.classify_months(chosen.filter(F.col("freq") == "MS"), ("index", "area"), threshold)
+        views["months"] = clean.year_window(labelled, start_year, end_year)
+    return views

@@ -135,17 +135,20 @@ def extent(area_edges: DataFrame, area: str | None = None) -> DataFrame:
     return area_edges.agg(*box) if area == "*" else area_edges.groupBy("area").agg(*box)
 
 
-def boundary_features(area_edges: DataFrame) -> DataFrame:
-    """Public outline: (area, feature), one GeoJSON feature per ring, vertices snapped to 0.001 degree."""
+def polygons(area_edges: DataFrame) -> DataFrame:
+    """Edges back to (area, polygon, coordinates): closed rings, outside first, snapped to 0.001 degree."""
     point = F.array(snap("ax"), snap("ay"))
-    points = F.transform(
-        F.array_sort(F.collect_list(F.struct("seq", point.alias("p")))), lambda e: e.p
+    ordered = F.array_sort(F.collect_list(F.struct("seq", point.alias("p"))))
+    rings_ = area_edges.groupBy("area", "polygon", "ring").agg(
+        F.transform(ordered, lambda e: e["p"]).alias("points")
     )
-    ring_rows = area_edges.groupBy("area", "ring").agg(points.alias("points"))
+    return as_polygons(rings_, "area", "polygon")
+
+
+def as_polygons(ring_rows: DataFrame, *keys: str) -> DataFrame:
+    """Rings -> one row per key with ``coordinates``; clockwise rings are holes and follow the outside."""
     closed = F.concat("points", F.slice("points", 1, 1))
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        F.struct(F.col("area").alias("name")).alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates")).alias("geometry"),
+    parts = ring_rows.withColumn("hole", signed_area(F.col("points")) < 0).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("hole", closed.alias("points")))).alias("parts")
     )
-    return ring_rows.select("area", F.to_json(feature).alias("feature"))
+    return parts.select(*keys, F.transform("parts", lambda p: p["points"]).alias("coordinates"))

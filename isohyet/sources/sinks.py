@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.functions.rounding import snap
 from isohyet.operators.grid import Grid, outline
+from isohyet.sources.areas import as_polygons, polygons
 
 MAP_KEYS = ["country", "area", "index", "style", "mode", "span"]
 
@@ -68,38 +68,31 @@ def cell_features(values: DataFrame, grid: Grid, properties: list[str]) -> DataF
 def cut_features(values: DataFrame, rings: DataFrame, properties: list[str]) -> DataFrame:
     """Cell values -> one feature per cell, area and polygon part, cut to the area.
 
-    ``rings(cell_id, area, polygon, ring, points)`` from the overlay: the counter-clockwise ring is the
-    outside, clockwise rings are holes.
+    ``rings(cell_id, area, polygon, ring, points)`` from the overlay.
     """
-    from isohyet.sources.areas import signed_area
-
-    closed = F.concat("points", F.slice("points", 1, 1))
-    parts = rings.withColumn("hole", signed_area(F.col("points")) < 0).groupBy("cell_id", "area", "polygon").agg(
-        F.array_sort(F.collect_list(F.struct("hole", closed.alias("points")))).alias("parts")
-    )
-    geometry = F.transform("parts", lambda p: p["points"])
+    parts = as_polygons(rings, "cell_id", "area", "polygon")
     placed = values.drop("area").join(parts, "cell_id")
-    return placed.withColumn("feature", feature(geometry, properties)).drop("parts", "polygon")
+    return placed.withColumn("feature", feature(F.col("coordinates"), properties)).drop("coordinates", "polygon")
 
 
 def area_features(values: DataFrame, area_edges: DataFrame, properties: list[str]) -> DataFrame:
-    """Area values -> one feature per polygon of the area, vertices snapped to 0.001 degree."""
-    from isohyet.sources.areas import signed_area
-
-    point = F.array(snap("ax"), snap("ay"))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", point.alias("p"))))
-    rings = area_edges.groupBy("area", "polygon", "ring").agg(F.transform(ordered, lambda e: e["p"]).alias("points"))
-    closed = F.concat("points", F.slice("points", 1, 1))
-    polygons = rings.withColumn("hole", signed_area(F.col("points")) < 0).groupBy("area", "polygon").agg(
-        F.array_sort(F.collect_list(F.struct("hole", closed.alias("points")))).alias("parts")
-    )
-    geometry = F.transform("parts", lambda p: p["points"])
-    named = values.withColumn("name", F.col("area"))
-    return named.join(polygons, "area").withColumn("feature", feature(geometry, ["name", *properties])).drop(
-        "parts", "polygon", "name"
+    """Area values -> one feature per polygon of the area."""
+    named = values.withColumn("name", F.col("area")).join(polygons(area_edges), "area")
+    return named.withColumn("feature", feature(F.col("coordinates"), ["name", *properties])).drop(
+        "coordinates", "polygon", "name"
     )
 
 
+def boundary_features(area_edges: DataFrame) -> DataFrame:
+    """The public outline: name and geometry only."""
+    outlines = polygons(area_edges).withColumn("name", F.col("area"))
+    return outlines.select("area", feature(F.col("coordinates"), ["name"]).alias("feature"))
+
+
+def write_boundary(area_edges: DataFrame, path: str) -> None:
+    boundary_features(area_edges).select("feature").write.mode("overwrite").text(path)
+
+
 def span_name(first_year: int, last_year: int, threshold: float | None = None) -> str:
     return f"{first_year}_{last_year}" + (f"_{threshold}" if threshold is not None else "")
 
@@ -112,8 +105,8 @@ def write_map(features: DataFrame, path: str) -> None:
     )
 
 
-def write_map_metadata(metadata: DataFrame, path: str) -> None:
-    """The sidecar of the maps: index, unit, dates, years, method, mode, threshold."""
+def write_metadata(metadata: DataFrame, path: str) -> None:
+    """The sidecar of maps or series: index, unit, dates, years, method, threshold."""
     metadata.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("country").json(path)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isohyet import model
 from isohyet.model import Scope
 from isohyet.operators import clean, legend, maps, merge, profile, runner, series, spatial
+from isohyet.plans import jobs
 from isohyet.sources import areas, sinks
 from suite import cube
 from suite.daily_queries import rounded_sql
@@ -128,7 +129,7 @@ def variable_files(spark, sf_dir):
 @register(
     "dataset_profile",
     with_cube("""
-SELECT 'pr,tmax,tmin' AS variables, count(DISTINCT date) AS n_time, count(DISTINCT lat) AS n_lat,
+SELECT 'pr,tmax,tmin' AS variables, 'mm/day,C,C' AS units, count(DISTINCT date) AS n_time, count(DISTINCT lat) AS n_lat,
        count(DISTINCT lon) AS n_lon, round(min(lat), 4) AS lat_min, round(max(lat), 4) AS lat_max,
        round(min(lon), 4) AS lon_min, round(max(lon), 4) AS lon_max, min(date) AS time_start, max(date) AS time_end,
        count(DISTINCT year(date)) AS time_years,
@@ -138,7 +139,7 @@ FROM wide JOIN grid USING (cell_id)"""),
 )
 def dataset_profile(spark, sf_dir):
     table = profile.dataset_profile(cube.obs(spark, sf_dir))
-    return table.withColumn("variables", F.concat_ws(",", "variables"))
+    return table.withColumns({c: F.concat_ws(",", c) for c in ("variables", "units")})
 
 
 @register(
@@ -301,7 +302,7 @@ WITH {LAYER}
 SELECT DISTINCT n_name AS area, 'Feature' AS type, 5 AS vertices FROM layer"""),
 )
 def boundary_export(spark, sf_dir):
-    features = areas.boundary_features(layer(spark, sf_dir))
+    features = sinks.boundary_features(layer(spark, sf_dir))
     schema = "type string, geometry struct<coordinates: array<array<array<double>>>>"
     parsed = features.select("area", F.from_json("feature", schema).alias("f"))
     return parsed.select("area", "f.type", F.size(F.get("f.geometry.coordinates", F.lit(0))).alias("vertices"))
@@ -508,3 +509,76 @@ def data_span(spark, sf_dir):
     return maps.span(yearly_total(spark, sf_dir)).withColumns(
         {c: F.col(c).cast("long") for c in ("first_year", "last_year")}
     )
+
+
+@register(
+    "display_names",
+    """
+SELECT n_name AS variable, CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN r_name ELSE n_name END AS name,
+       CASE WHEN n_nationkey % 2 = 0 THEN 'mm' ELSE 'unknown' END AS units
+FROM nation JOIN region ON n_regionkey = r_regionkey""",
+)
+def display_names(spark, sf_dir):
+    """Nations stand in for variables: some have a standard name, some only a long one, some neither."""
+    nations = cube.table(spark, sf_dir, "nation").join(
+        cube.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    kind = F.col("n_nationkey") % 3
+    attributes = nations.select(
+        F.col("n_name").alias("variable"),
+        F.when(kind == 0, F.lower("n_name")).when(kind == 1, F.lit(" Unspecified ")).alias("standard_name"),
+        F.when(kind == 2, F.lit("N/A")).otherwise(F.col("r_name")).alias("long_name"),
+        F.when(F.col("n_nationkey") % 2 == 0, "mm").alias("units"),
+    )
+    return profile.describe_variables(attributes)
+
+
+@register(
+    "resolution_text",
+    """
+SELECT n_name AS src, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_nationkey / 8.0::DOUBLE END AS resolution FROM nation""",
+)
+def resolution_text(spark, sf_dir):
+    key = F.col("n_nationkey")
+    text = F.when(key % 4 == 0, "coarse").otherwise(F.concat((key / 8).cast("string"), F.lit(" degrees")))
+    return cube.table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("src"), profile.number_in(text).alias("resolution")
+    )
+
+
+@register(
+    "clamp_years",
+    with_cube("""
+SELECT n_name AS request, greatest(1990 + n_nationkey % 9, f) AS start_year,
+       least(1999 + n_nationkey % 7, l) AS end_year
+FROM nation, (SELECT year(min(date)) AS f, year(max(date)) AS l FROM wide)"""),
+)
+def clamp_years(spark, sf_dir):
+    """Requested years moved into the years of the data."""
+    first, last = (F.lit(day.year) for day in cube.calendar_bounds(spark, sf_dir))
+    key = F.col("n_nationkey")
+    start, end = clean.clamp_years(1990 + key % 9, 1999 + key % 7, first, last)
+    return cube.table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("request"), start.cast("long").alias("start_year"), end.cast("long").alias("end_year")
+    )
+
+
+@register(
+    "dashboard_months",
+    with_cube(f"""
+WITH {LIKE_SQL}, known AS (
+  SELECT cell_id, period, v, CASE WHEN v < -1 THEN -1 WHEN v > 1 THEN 1 ELSE 0 END AS side FROM like_ WHERE v IS NOT NULL),
+runs AS (
+  SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY period)
+          - row_number() OVER (PARTITION BY cell_id, side ORDER BY period) AS run FROM known),
+labelled AS (
+  SELECT cell_id, period, v AS value, CASE WHEN count(*) OVER (PARTITION BY cell_id, side, run) < 2 THEN 'neutral'
+  WHEN side = -1 THEN 'drought' WHEN side = 1 THEN 'wet' ELSE 'neutral' END AS label FROM runs)
+SELECT 'SPI3' AS index, 'cell 3' AS area, period, label FROM labelled
+WHERE cell_id = 3 AND year(period) BETWEEN 1997 AND 1999"""),
+)
+def dashboard_months(spark, sf_dir):
+    table = spi_like(spark, sf_dir).select(
+        "index", F.lit("MS").alias("freq"), "period", F.concat(F.lit("cell "), F.col("cell_id").cast("string")).alias("area"), "value"
+    )
+    return jobs.dashboard(table, "SPI3", "cell 3", 1997, 1999)["months"].select("index", "area", "period", "label")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import explain
-from isohyet.model import Scope, expand_selection, display_order, in_display_order, spi_window
+from isohyet.model import Scope, combine_selections, expand_selection, display_order, in_display_order, spi_window
 from isohyet.operators import clean
 
 
@@ -110,6 +110,10 @@ def test_selection():
     assert [spi_window(n) for n in ("SPI6", "SPI12_Flood_Peak", "SPI7", "SPIX", "CDD")] == [6, 12, None, None, None]
 
 
+def test_combined_selections():
+    assert combine_selections(["CDD", "zzz"], ["SPI3", "CDD"]) == ["SPI3", "CDD", "zzz"]
+
+
 def test_display_order(spark):
     names = spark.createDataFrame([("zzz",), ("CDD",), ("SPI3",)], "`index` string")
     rows = in_display_order(names, spark).orderBy("position").collect()

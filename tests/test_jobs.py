@@ -147,6 +147,24 @@ def test_index_run_series_and_metadata(spark, run):
     assert meta.units == "C" and meta.years == [2000, 2003] and meta.start_date == "2000-01-01"
 
 
+def test_boundary_and_series_metadata(spark, run):
+    out, _, _ = run
+    outline = [json.loads(r.value) for r in spark.read.text(f"{out}/boundary").collect()]
+    assert {f["properties"]["name"] for f in outline} == {"west", "east", "far"}
+    meta = {(r["index"], r.method) for r in spark.read.json(f"{out}/series_metadata").collect()}
+    assert ("TXx", "annual mean") in meta and ("SPI3", "seasonal cycle") in meta
+
+
+def test_dashboard(spark, run):
+    out, _, _ = run
+    means = spark.read.parquet(f"{out}/area_values")
+    views = jobs.dashboard(means, "SPI3", "west", 2001, 2002, 3, 0.5)
+    assert views["months"].count() == 24 and views["annual"].count() == 2
+    assert views["climatology"].count() == 12 and views["axis"].count() == 1
+    plain = jobs.dashboard(means, "CDD", "overview", 2000, 2003, 3)
+    assert set(plain) == {"annual", "climatology"} and plain["annual"].count() == 4
+
+
 def test_on_demand_map_is_made_once(spark, merged, run):
     out, edges, work = run
     assert jobs.on_demand_map(spark, merged, edges, out, "TXx", (2001, 2003), work)
