@@ -260,7 +260,7 @@ def map_actual_grid(spark, sf_dir):
     with_cube(f"""
 WITH {LIKE_SQL}, {events_sql('like_', 1)}
 SELECT 'SPI3_' || kind || '_Frequency' AS index, cell_id, round(sum("Frequency"), 2) AS value FROM yearly
-GROUP BY kind, cell_id"""),
+GROUP BY kind, cell_id HAVING sum("Frequency") IS NOT NULL"""),
 )
 def map_frequency(spark, sf_dir):
     table = like_events(spark, sf_dir).filter(F.col("index").endswith("Frequency"))
