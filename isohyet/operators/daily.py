@@ -175,23 +175,11 @@ def enough_data(valid: Column, expected: Column, missing: str | float) -> Column
     return (valid > 0) & ((expected - valid) / expected < F.lit(float(missing)))
 
 
-def daily_indices(
-    series: DataFrame,
-    indices: list[str],
-    freqs: list[str],
-    baseline: Baseline | None = None,
-    missing: str | float = "any",
-    record: Record | None = None,
-    colocated: bool = False,
-) -> dict[str, DataFrame]:
-    """Compute indices of one variable, ``series(cell_id, date, value)``, for each frequency.
-
-    ``record``: first and last day of the data, if known; it spares the percentile indices a scan.  ``colocated``: the
-    series comes from a table bucketed by cell, so that spells, running sums and percentiles need no shuffle
-    at all.
-
-    Returns ``freq -> (cell_id, period, <one double column per index>)``.
-    """
+def _measured_days(
+    series: DataFrame, indices: list[str], freqs: list[str], baseline: Baseline | None, record: Record | None,
+    colocated: bool,
+) -> tuple[DataFrame, dict[str, Measure]]:
+    """The daily rows with every column the indices' measures refer to, and those measures."""
     days = series.select("cell_id", "date", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
     wanted = sorted({QUANTILES[i] for i in indices if i in QUANTILES})
     spells = [i for i in indices if i in SPELLS]
@@ -206,37 +194,94 @@ def daily_indices(
         days = _with_spells(days, spells, freqs)
     if "Rx5day" in indices:
         days = _with_running_sum(days)
-
     measures: dict[str, Measure] = {"valid": Measure(F.col("value").isNotNull().cast("long"), "sum")}
     for index in indices:
         measures.update(_measures(index, freqs))
+    return days, measures
 
-    def combine(df: DataFrame, period: Column, first: bool) -> DataFrame:
-        aggregates = [
-            getattr(F, m.how)(m.day if first else F.col(name)).alias(name) for name, m in measures.items()
-        ]
-        return df.groupBy("cell_id", period.alias("period")).agg(*aggregates)
 
-    result = {}
-    finest = "MS" if "MS" in freqs else "YS"
-    partial = combine(days, period_start("date", finest), first=True)
-    for freq in freqs:
-        table = partial if freq == finest else combine(partial, period_start("period", freq), first=False)
-        valid = enough_data(F.col("valid"), days_in_period(F.col("period"), freq), missing)
-        result[freq] = table.select(
-            "cell_id",
-            "period",
-            *[F.when(valid, _final(i, freq, list(_measures(i, freqs)))).alias(i) for i in indices],
+def _over_days(days: DataFrame, measures: dict[str, Measure], freq: str) -> DataFrame:
+    aggregates = [getattr(F, m.how)(m.day).alias(name) for name, m in measures.items()]
+    return days.groupBy("cell_id", period_start("date", freq).alias("period")).agg(*aggregates)
+
+
+def daily_indices(
+    series: DataFrame,
+    indices: list[str],
+    freq: str = "YS",
+    baseline: Baseline | None = None,
+    missing: str | float = "any",
+    record: Record | None = None,
+    colocated: bool = False,
+) -> DataFrame:
+    """Indices of one variable: ``series(cell_id, date, value)`` -> (cell_id, period, one column per index).
+
+    ``record``: first and last day of the data, if known; it spares the percentile indices a scan.
+    ``colocated``: the series comes from a table bucketed by cell, so that spells, running sums and
+    percentiles need no shuffle at all.
+    """
+    days, measures = _measured_days(series, indices, [freq], baseline, record, colocated)
+    valid = enough_data(F.col("valid"), days_in_period(F.col("period"), freq), missing)
+    return _over_days(days, measures, freq).select(
+        "cell_id",
+        "period",
+        *[F.when(valid, _final(i, freq, list(_measures(i, [freq])))).alias(i) for i in indices],
+    )
+
+
+def daily_index_values(
+    series: DataFrame,
+    indices: list[str],
+    freqs: tuple[str, ...] = ("YS", "MS"),
+    baseline: Baseline | None = None,
+    missing: str | float = "any",
+    record: Record | None = None,
+    colocated: bool = False,
+) -> DataFrame:
+    """The same as long ``index_values``, for several frequencies in one pass over the days.
+
+    The days are aggregated to months; the month rows, a thirtieth in number, are then assigned to every
+    frequency and aggregated again.
+    """
+    freqs = list(freqs)
+    if len(freqs) == 1:
+        wide = daily_indices(series, indices, freqs[0], baseline, missing, record, colocated)
+        return to_index_values(wide, freqs[0])
+    days, measures = _measured_days(series, indices, freqs, baseline, record, colocated)
+    targets = F.array(*[
+        F.struct(F.lit(f).alias("freq"), period_start("period", f).alias("period")) for f in freqs
+    ])
+    assigned = _over_days(days, measures, "MS").withColumn("target", F.explode(targets))
+    table = assigned.groupBy("cell_id", "target.freq", "target.period").agg(
+        *[getattr(F, m.how)(name).alias(name) for name, m in measures.items()]
+    )
+
+    def by_freq(choose) -> Column:
+        branches = F
+        for f in freqs:
+            branches = branches.when(F.col("freq") == f, choose(f))
+        return branches
+
+    expected = by_freq(lambda f: days_in_period(F.col("period"), f))
+    valid = enough_data(F.col("valid"), expected, missing)
+    entries = F.array(*[
+        F.struct(
+            F.lit(i).alias("index"),
+            F.when(valid, by_freq(lambda f, i=i: _final(i, f, list(_measures(i, [f]))))).alias("value"),
+            F.lit(INDICES[i][1]).alias("units"),
         )
-    return result
+        for i in indices
+    ])
+    return table.select("cell_id", "freq", "period", F.explode(entries).alias("e")).select(
+        "e.index", "freq", "period", "cell_id", "e.value", "e.units"
+    )
 
 
 def to_index_values(wide: DataFrame, freq: str) -> DataFrame:
     """Index columns -> long ``index_values`` rows."""
     names = [c for c in wide.columns if c not in ("cell_id", "period")]
-    units = {n: INDICES[n][1] for n in names}
     entries = F.array(*[
-        F.struct(F.lit(n).alias("index"), F.col(n).alias("value"), F.lit(units[n]).alias("units")) for n in names
+        F.struct(F.lit(n).alias("index"), F.col(n).alias("value"), F.lit(INDICES[n][1]).alias("units")) for n in names
     ])
     return wide.select("cell_id", "period", F.explode(entries).alias("e")).select(
         "e.index", F.lit(freq).alias("freq"), "period", "cell_id", "e.value", "e.units"

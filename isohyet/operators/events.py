@@ -33,28 +33,30 @@ def yearly_events(spi: DataFrame, threshold: float = 1.0) -> DataFrame:
     key = ["index", "cell_id", "kind"]
     order = Window.partitionBy(*key).orderBy("period")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy(*key)
+    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Shuffled by cell before the kinds double the rows; all that follows keeps that partitioning.
     spi = spi.select("index", "cell_id", "period", "value").repartition("cell_id")
     months = spi.select("index", "cell_id", "period", "value", both_kinds(threshold).alias("k")).select(
         "index", "cell_id", "period", "k.kind", "k.sign", "k.limit", (F.col("value") * F.col("k.sign")).alias("u")
     )
     state = F.when(F.col("u").isNotNull(), F.col("u") > F.col("limit"))
-    months = months.withColumn("on", F.coalesce(F.last(state, ignorenulls=True).over(so_far), F.lit(False)))
+    months = months.withColumns({
+        "on": F.coalesce(F.last(state, ignorenulls=True).over(so_far), F.lit(False)),
+        "known": F.count("u").over(everything),
+    })
     begins = F.col("on") & ~F.coalesce(F.lag("on").over(order), F.lit(False))
     months = months.withColumn("begins", begins.cast("int"))
     months = months.withColumn("event", F.when(F.col("on"), F.sum("begins").over(so_far)))
     # An event may run over several years: sum it up per year first, then over the whole event.
     per_year = months.groupBy(*key, F.trunc("period", "year").alias("year"), "event").agg(
         F.count("*").alias("months"), F.min("period").alias("start"), F.max("u").alias("peak"),
-        F.sum(F.when(F.col("u") > 0, F.col("u"))).alias("severity"), F.count("u").alias("known"),
+        F.sum(F.when(F.col("u") > 0, F.col("u"))).alias("severity"), F.max("known").alias("known"),
         F.first("sign").alias("sign"),
     )
     whole = Window.partitionBy(*key, "event")
     per_year = per_year.withColumns({
         "duration": F.sum("months").over(whole), "first_month": F.min("start").over(whole),
         "peak": F.max("peak").over(whole), "severity": F.sum("severity").over(whole),
-        "known": F.sum("known").over(everything),
     })
     counts = (
         F.col("event").isNotNull() & (F.col("duration") >= MIN_MONTHS)

@@ -68,8 +68,9 @@ def compute_indices(
     by_variable, windows, raw = plan_selection(selected)
     tables = []
     for variable, names in by_variable.items():
-        wide = daily.daily_indices(series_of(obs, variable), names, list(freqs), baseline, missing, record, colocated)
-        tables += [daily.to_index_values(wide[freq], freq) for freq in freqs]
+        tables.append(daily.daily_index_values(
+            series_of(obs, variable), names, freqs, baseline, missing, record, colocated
+        ))
     if windows:
         monthly = spi.monthly_mean(series_of(obs, "pr"), missing)
         standardised = spi.spi_values(monthly, windows)

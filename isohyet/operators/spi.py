@@ -50,7 +50,7 @@ def spi(monthly: DataFrame, window: int) -> DataFrame:
     fits = smooth.groupBy("cell_id", F.month("period").alias("month")).agg(
         F.avg(positive).alias("mean"),
         F.avg(F.log(positive)).alias("mean_log"),
-        (1.0 - F.count(positive) / F.count(x)).alias("dry"),
+        (1.0 - F.try_divide(F.count(positive), F.count(x))).alias("dry"),
         F.collect_list(F.struct("period", "value")).alias("years"),
     )
     # One step after the other, so that no expression is repeated inside the next one.

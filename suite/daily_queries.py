@@ -138,9 +138,9 @@ def _register_index(index: str, freq: str) -> None:
     @register(name, rounded_sql(index_sql(index, freq), [index]))
     def query(spark, sf_dir):
         table = daily.daily_indices(
-            cube.series(spark, sf_dir, variable), [index], [freq], missing=RULE[variable],
+            cube.series(spark, sf_dir, variable), [index], freq, missing=RULE[variable],
             record=cube.calendar_bounds(spark, sf_dir) if index in daily.QUANTILES else None,
-        )[freq]
+        )
         return rounded(table)
 
 
@@ -153,7 +153,24 @@ for _index in ("PRCPTOT", "Rx5day", "CDD", "R95pTOT", "TX90p", "WSDI"):
 @register("r95p_baseline", rounded_sql(index_sql("R95p", "YS", 1996, 1999), ["R95p"]))
 def r95p_baseline(spark, sf_dir):
     series = cube.series(spark, sf_dir, "pr")
-    return rounded(daily.daily_indices(series, ["R95p"], ["YS"], Baseline(1996, 1999))["YS"])
+    return rounded(daily.daily_indices(series, ["R95p"], "YS", Baseline(1996, 1999)))
+
+
+RAIN_FAMILY = ["PRCPTOT", "Rx5day", "CDD", "R95p"]
+
+
+@register(
+    "index_values_years_and_months",
+    rounded_sql(" UNION ALL ".join(
+        f"""SELECT '{i}' AS index, '{f}' AS freq, period, cell_id, "{i}" AS value, '{INDICES[i][1]}' AS units
+        FROM ({index_sql(i, f)})"""
+        for i in RAIN_FAMILY for f in ("YS", "MS")
+    ), ["value"]),
+)
+def index_values_years_and_months(spark, sf_dir):
+    """A family of indices for both frequencies, in one pass over the days."""
+    bounds = cube.calendar_bounds(spark, sf_dir)
+    return rounded(daily.daily_index_values(cube.series(spark, sf_dir, "pr"), RAIN_FAMILY, record=bounds))
 
 
 @register(
@@ -167,7 +184,7 @@ FROM wide GROUP BY 1, 2"""),
 def missing_rules(spark, sf_dir):
     series = cube.series(spark, sf_dir, "tmax")
     tables = [
-        daily.daily_indices(series, ["TXx"], ["MS"], missing=rule)["MS"].withColumnRenamed("TXx", f"{name}_value")
+        daily.daily_indices(series, ["TXx"], "MS", missing=rule).withColumnRenamed("TXx", f"{name}_value")
         for name, rule in (("skip", "skip"), ("any", "any"), ("share", 0.1))
     ]
     keys = ["cell_id", "period"]

@@ -125,7 +125,7 @@ def cell_area_overview(spark, sf_dir):
 
 def yearly_total(spark, sf_dir):
     return daily.to_index_values(
-        daily.daily_indices(cube.series(spark, sf_dir, "pr"), ["PRCPTOT"], ["YS"])["YS"], "YS"
+        daily.daily_indices(cube.series(spark, sf_dir, "pr"), ["PRCPTOT"], "YS"), "YS"
     )
 
 

@@ -233,7 +233,7 @@ def sen_slope(spark, sf_dir):
 
 
 def monthly_extreme(spark, sf_dir) -> DataFrame:
-    table = daily.daily_indices(cube.series(spark, sf_dir, "tmax"), ["TXx"], ["MS"], missing=0.05)["MS"]
+    table = daily.daily_indices(cube.series(spark, sf_dir, "tmax"), ["TXx"], "MS", missing=0.05)
     return daily.to_index_values(table, "MS")
 
 
@@ -284,7 +284,7 @@ years AS (
 
 
 def area_yearly(spark, sf_dir) -> DataFrame:
-    intensity = daily.daily_indices(cube.series(spark, sf_dir, "pr"), ["SDII"], ["YS"])["YS"]
+    intensity = daily.daily_indices(cube.series(spark, sf_dir, "pr"), ["SDII"], "YS")
     return spatial.area_mean(daily.to_index_values(intensity, "YS"), weights(spark, sf_dir))
 
 

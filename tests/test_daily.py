@@ -13,7 +13,7 @@ from isohyet.operators import daily, thresholds
 
 
 def yearly(spark, values, index, first="2000-01-01", **options):
-    table = daily.daily_indices(daily_table(spark, values, first), [index], ["YS"], **options)["YS"]
+    table = daily.daily_indices(daily_table(spark, values, first), [index], "YS", **options)
     return {r.period.year: r[index] for r in table.collect()}
 
 
@@ -121,22 +121,22 @@ def test_runs_break_at_periods_gaps_and_nulls(spark):
     table = daily_table(spark, [0.0] * 731, "2001-01-01")
     absent = datetime.date(2001, 7, 10)
     table = table.filter(F.col("date") != F.lit(absent))
-    out = daily.daily_indices(table, ["CDD"], ["YS", "MS"], missing="skip")
-    years = {r.period.year: r.CDD for r in out["YS"].collect()}
+    out = daily.daily_index_values(table, ["CDD"], missing="skip").collect()
+    years = {r.period.year: r.value for r in out if r.freq == "YS"}
     assert years == {2001: (absent - datetime.date(2001, 1, 1)).days, 2002: 365, 2003: 1}
-    july = [r.CDD for r in out["MS"].collect() if r.period == datetime.date(2001, 7, 1)]
+    july = [r.value for r in out if r.freq == "MS" and r.period == datetime.date(2001, 7, 1)]
     assert july == [21]
     nulls = daily_table(spark, [0.0] * 3 + [None] + [0.0] * 2, "2001-01-01")
-    assert daily.daily_indices(nulls, ["CDD"], ["YS"], missing="skip")["YS"].first().CDD == 3
+    assert daily.daily_indices(nulls, ["CDD"], "YS", missing="skip").first().CDD == 3
 
 
 def test_rx5day_crosses_months_and_needs_five_days(spark):
     values = [0.0] * 59
     for i in (29, 30, 31, 32, 33):
         values[i] = 10.0
-    out = daily.daily_indices(daily_table(spark, values, "2001-01-01"), ["Rx5day"], ["MS"], missing="skip")["MS"]
+    out = daily.daily_indices(daily_table(spark, values, "2001-01-01"), ["Rx5day"], "MS", missing="skip")
     assert {r.period.month: r.Rx5day for r in out.collect()} == {1: 20.0, 2: 50.0}
-    short = daily.daily_indices(daily_table(spark, [1.0] * 4, "2001-01-01"), ["Rx5day"], ["MS"], missing="skip")["MS"]
+    short = daily.daily_indices(daily_table(spark, [1.0] * 4, "2001-01-01"), ["Rx5day"], "MS", missing="skip")
     assert short.first().Rx5day is None
 
 
@@ -181,23 +181,26 @@ def test_unknown_rain_threshold_is_one_millimetre(spark):
     assert out == {2001: 0.0, 2002: 3.0}
 
 
-def test_years_rolled_up_from_months_match_years_alone(spark):
+def test_several_frequencies_in_one_pass(spark):
     rng = random.Random(2)
-    table = daily_table(spark, [rng.choice([0.0, rng.uniform(0, 40)]) for _ in range(365 * 2)], "2001-01-01")
+    table = daily_table(spark, [rng.choice([0.0, rng.uniform(0, 40)]) for _ in range(365 * 2 + 40)], "2001-01-01")
     names = ["SDII", "Rx1day", "Rx5day", "R10mm", "PRCPTOT", "CDD", "CWD", "R95p", "R95pTOT"]
-    both = daily.daily_indices(table, names, ["YS", "MS"])["YS"].orderBy("period").collect()
-    alone = daily.daily_indices(table, names, ["YS"])["YS"].orderBy("period").collect()
-    for a, b in zip(both, alone):
-        for n in names:
-            assert a[n] == pytest.approx(b[n], rel=1e-12), n
+    both = {(r["index"], r.freq, r.period): r.value for r in daily.daily_index_values(table, names).collect()}
+    for freq in ("YS", "MS"):
+        for r in daily.daily_indices(table, names, freq).collect():
+            for n in names:
+                assert both.pop((n, freq, r.period)) == pytest.approx(r[n], rel=1e-12), (n, freq)
+    assert not both
 
 
 def test_one_shuffle_by_cell_for_a_family(spark):
     """Spells, running sums and counts of one variable need one exchange by cell, whatever the number of indices."""
     table = daily_table(spark, [1.0] * 400)
-    out = daily.daily_indices(table, ["CDD", "CWD", "Rx5day", "PRCPTOT", "R10mm"], ["YS"])["YS"]
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+    out = daily.daily_indices(table, ["CDD", "CWD", "Rx5day", "PRCPTOT", "R10mm"], "YS")
+    both = daily.daily_index_values(table, ["CDD", "CWD", "Rx5day", "PRCPTOT", "R10mm"])
+    for table_ in (out, both):
+        plan = table_._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
 
 
 def test_resample(spark):
@@ -210,4 +213,4 @@ def test_resample(spark):
 def test_missing_share(spark):
     table = daily_table(spark, [None] * 3 + [1.0] * 28, "2001-01-01")
     for missing, expected in (("any", None), ("skip", 1.0), (0.1, 1.0), (0.09, None)):
-        assert daily.daily_indices(table, ["Rx1day"], ["MS"], missing=missing)["MS"].first().Rx1day == expected
+        assert daily.daily_indices(table, ["Rx1day"], "MS", missing=missing).first().Rx1day == expected

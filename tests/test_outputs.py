@@ -127,12 +127,12 @@ def test_indices_of_a_bucketed_table_need_no_shuffle(spark, tmp_path):
     record = (days("2000-01-01", 1)[0], days("2001-12-31", 1)[0])
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = daily.daily_indices(series_, names, ["YS"], record=record, colocated=True)["YS"]
+        out = daily.daily_indices(series_, names, "YS", record=record, colocated=True)
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
         got = out.orderBy("cell_id", "period").collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    want = daily.daily_indices(table.select("cell_id", "date", "value"), names, ["YS"])["YS"]
+    want = daily.daily_indices(table.select("cell_id", "date", "value"), names, "YS")
     assert got == want.orderBy("cell_id", "period").collect()
     spark.sql("drop table bucketed_obs")

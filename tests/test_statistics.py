@@ -222,3 +222,11 @@ def test_spi_with_missing_months(spark):
     out = spi.spi(table.filter(F.col("value").isNotNull()), 3).filter("value is null").select("period").collect()
     assert len(out) == 4
     assert np.isfinite([r.value for r in spi.spi(table, 12).filter("value is not null").collect()]).all()
+
+
+def test_spi_of_a_cell_without_data(spark):
+    rows = [(c, p, None if c == 1 else 1.0 + i % 7) for c in (1, 2) for i, p in enumerate(months(2000, 60))]
+    table = spi.spi(spark.createDataFrame(rows, "cell_id bigint, period date, value double"), 3)
+    assert {r.cell_id: r[1] for r in table.groupBy("cell_id").agg(F.count("value")).collect()}[1] == 0
+    out = events.yearly_events(table.withColumn("index", F.lit("SPI3"))).filter("cell_id = 1").collect()
+    assert all(r.Frequency is None for r in out)
