@@ -52,14 +52,13 @@ def to_wide(obs: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def variable_files(obs: DataFrame) -> DataFrame:
-    """Each variable with the sorted list of files that hold it."""
-    pairs = obs.select("variable", "src").distinct()
-    return pairs.groupBy("variable").agg(F.array_sort(F.collect_list("src")).alias("files"))
+    """(variable, src): the files that hold each variable, one row each, as there may be very many."""
+    return obs.select("variable", "src").distinct()
 
 
 def file_variables(obs: DataFrame) -> DataFrame:
-    pairs = obs.select("src", "variable").distinct()
-    return pairs.groupBy("src").agg(F.array_sort(F.collect_list("variable")).alias("variables"))
+    """(src, variables): a file's few variables as a sorted list."""
+    return variable_files(obs).groupBy("src").agg(F.array_sort(F.collect_list("variable")).alias("variables"))
 
 
 def detect_mode(files: DataFrame) -> DataFrame:

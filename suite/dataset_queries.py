@@ -119,11 +119,10 @@ def detect_mode(spark, sf_dir):
 @register(
     "variable_files",
     with_cube("""
-SELECT v AS variable, (SELECT string_agg(DISTINCT src, ',' ORDER BY src) FROM readings) AS files
-FROM (VALUES ('pr'), ('tmax'), ('tmin')) t(v)"""),
+SELECT v AS variable, src FROM (VALUES ('pr'), ('tmax'), ('tmin')) t(v), (SELECT DISTINCT src FROM readings)"""),
 )
 def variable_files(spark, sf_dir):
-    return merge.variable_files(file_obs(spark, sf_dir)).select("variable", F.concat_ws(",", "files").alias("files"))
+    return merge.variable_files(file_obs(spark, sf_dir))
 
 
 @register(

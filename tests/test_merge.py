@@ -153,4 +153,5 @@ def test_profile_of_a_file(spark):
 
 def test_variable_files(spark):
     obs = table(spark, file("a", "pr", ["2020-01-01"]), file("b", "pr", ["2020-01-01"]), file("b", "tmax", ["2020-01-01"]))
-    assert {r.variable: r.files for r in merge.variable_files(obs).collect()} == {"pr": ["a", "b"], "tmax": ["b"]}
+    assert {tuple(r) for r in merge.variable_files(obs).collect()} == {("pr", "a"), ("pr", "b"), ("tmax", "b")}
+    assert {r.src: r.variables for r in merge.file_variables(obs).collect()} == {"a": ["pr"], "b": ["pr", "tmax"]}
