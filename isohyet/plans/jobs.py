@@ -19,6 +19,9 @@ from isohyet.operators.grid import Grid
 from isohyet.sources import areas, obs as obs_source, sinks
 
 
+CELL_OUTLINES = "cell_id bigint, area string, polygon bigint, coordinates array<array<array<double>>>"
+
+
 @dataclass(frozen=True)
 class Workspace:
     """What an index run needs to know besides the data."""
@@ -56,7 +59,7 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def index_run(spark: SparkSession, obs_path: str, area_edges: DataFrame, out: str, work: Workspace) -> None:
     """Everything for one country: outline, indices, area means, maps, series.
 
-    Written under ``out``: boundary, cell_area, index_values, area_values, maps, maps_metadata, series and
+    Written under ``out``: boundary, cell_area, cell_outlines, index_values, area_values, maps, maps_metadata, series and
     series_metadata.
     """
     observed = obs_source.read_obs(spark, obs_path)
@@ -64,9 +67,8 @@ def index_run(spark: SparkSession, obs_path: str, area_edges: DataFrame, out: st
     runner.check_inputs(observed, by_variable, windows, raw)
 
     sinks.write_boundary(area_edges, f"{out}/boundary")
-    cells = grid.prepare(obs_source.cells_of(observed))
     layer = areas.with_overview(area_edges)
-    sinks.write_table(spatial.cell_area(cells, layer), f"{out}/cell_area")
+    place_cells(grid.prepare(obs_source.cells_of(observed)), layer, out)
     weights = _read(spark, f"{out}/cell_area", model.CELL_AREA)
 
     clipped = spatial.clip(observed, weights, model.OVERVIEW)
@@ -79,10 +81,16 @@ def index_run(spark: SparkSession, obs_path: str, area_edges: DataFrame, out: st
         stored = _read(spark, f"{out}/index_values", model.INDEX_VALUES)
         base = stored.filter((F.col("freq") == "MS") & F.col("index").isin([f"SPI{w}" for w in windows]))
         sinks.write_index_values(events.event_values(base, work.spi_threshold), f"{out}/index_values")
-    write_outputs(spark, cells, layer, out, work)
+    write_outputs(spark, layer, out, work)
 
 
-def write_outputs(spark: SparkSession, cells: Grid, layer: DataFrame, out: str, work: Workspace) -> None:
+def place_cells(cells: Grid, layer: DataFrame, out: str) -> None:
+    """Area weights and cut outlines of the cells, once for all indices and maps."""
+    sinks.write_table(spatial.cell_area(cells, layer), f"{out}/cell_area")
+    sinks.write_table(sinks.cell_outlines(spatial.overlay(cells, layer)), f"{out}/cell_outlines")
+
+
+def write_outputs(spark: SparkSession, layer: DataFrame, out: str, work: Workspace) -> None:
     """Maps and series from the stored index values and weights."""
     values = _read(spark, f"{out}/index_values", model.INDEX_VALUES)
     weights = _read(spark, f"{out}/cell_area", model.CELL_AREA)
@@ -90,7 +98,7 @@ def write_outputs(spark: SparkSession, cells: Grid, layer: DataFrame, out: str,
     sinks.write_table(means, f"{out}/area_values", "freq", "index")
     means = _read(spark, f"{out}/area_values", "`index` string, freq string, period date, area string, value double")
 
-    write_maps(spark, values, means, weights, cells, layer, out, work)
+    write_maps(spark, values, means, layer, out, work)
     chartable = ~F.col("index").rlike("_(Drought|Flood)_")
     yearly = means.filter(chartable & (F.col("freq") == "YS"))
     # SPI exists monthly only; its yearly series is the mean of its months.
@@ -121,8 +129,7 @@ def _spanned(table: DataFrame, years: DataFrame, work: Workspace) -> DataFrame:
 
 
 def write_maps(
-    spark: SparkSession, values: DataFrame, means: DataFrame, weights: DataFrame, cells: Grid, layer: DataFrame,
-    out: str, work: Workspace,
+    spark: SparkSession, values: DataFrame, means: DataFrame, layer: DataFrame, out: str, work: Workspace
 ) -> None:
     """Actual and trend maps of cells (cut to their area) and of areas, with a metadata sidecar."""
     first, last = work.span or (None, None)
@@ -141,11 +148,11 @@ def write_maps(
 
     cell_values, area_values = mappable(values), mappable(means)
     years = maps.span(cell_values)
-    rings = spatial.overlay(cells, layer)
+    outlines = _read(spark, f"{out}/cell_outlines", CELL_OUTLINES)
     country = F.lit(work.country).alias("country")
 
     def cell_map(table: DataFrame, mode: str, properties: list[str]) -> DataFrame:
-        cut = sinks.cut_features(table, rings, properties)
+        cut = sinks.cut_features(table, outlines, properties)
         return _spanned(cut, years, work).select(
             country, "area", "index", F.lit("maps_grid").alias("style"), F.lit(mode).alias("mode"), "span", "feature"
         )
@@ -190,9 +197,10 @@ def on_demand_map(
     if existing is not None and sinks.not_yet_present(wanted, existing, ["country", "index", "span"]).isEmpty():
         return False
     observed = obs_source.read_obs(spark, obs_path)
-    cells = grid.prepare(obs_source.cells_of(observed))
     layer = areas.with_overview(area_edges)
-    weights = spatial.cell_area(cells, layer)
+    if not (_exists(spark, f"{out}/cell_area") and _exists(spark, f"{out}/cell_outlines")):
+        place_cells(grid.prepare(obs_source.cells_of(observed)), layer, out)
+    weights = _read(spark, f"{out}/cell_area", model.CELL_AREA)
     clipped = spatial.clip(observed, weights, model.OVERVIEW)
     values = runner.compute_indices(
         clipped, [index], ("YS",), work.baseline, work.spi_threshold, work.missing
@@ -200,15 +208,18 @@ def on_demand_map(
     sinks.write_index_values(values, f"{out}/on_demand/index_values")
     stored = _read(spark, f"{out}/on_demand/index_values", model.INDEX_VALUES).filter(F.col("index") == index)
     means = spatial.area_mean(stored, weights)
-    write_maps(spark, stored, means, weights, cells, layer, out, replace(work, span=span))
+    write_maps(spark, stored, means, layer, out, replace(work, span=span))
     return True
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def _existing_maps(spark: SparkSession, path: str) -> DataFrame | None:
     """Keys of the maps on disk, from the partition folders alone; None when there are none yet."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(conf).exists(folder):
+    if not _exists(spark, path):
         return None
     schema = "feature string, country string, area string, `index` string, style string, mode string, span string"
     return spark.read.schema(schema).format("text").load(path).select("country", "index", "span")

@@ -11,17 +11,25 @@ from isohyet.sources.areas import as_polygons, polygons
 MAP_KEYS = ["country", "area", "index", "style", "mode", "span"]
 
 
-def write_obs(obs: DataFrame, path: str, files_per_year: int = 16) -> None:
-    """Merged observations by variable and year, each year spread over files by cell.
+def balanced(table: DataFrame, *partitions: str) -> DataFrame:
+    """Rows gathered by output folder, so that a folder gets few files.
 
-    Rows of a cell lie together and in order, so filters on cell and date skip row groups.
+    A rebalance rather than a repartition: adaptive execution splits a folder that holds a large share of
+    the rows over several tasks and puts small folders together.
     """
-    table = obs.withColumn("year", F.year("date"))
-    part = F.pmod(F.xxhash64("cell_id"), F.lit(files_per_year))
+    return table.hint("rebalance", *[F.col(c) for c in partitions])
+
+
+def write_obs(obs: DataFrame, path: str) -> None:
+    """Merged observations by variable and year.
+
+    Within a file the rows of a cell lie together, from south-west to north-east, so filters on position and
+    date skip row groups.
+    """
+    table = balanced(obs.withColumn("year", F.year("date")), "variable", "year")
+    table = table.sortWithinPartitions("variable", "year", "cell_id", "date")
     (
-        table.repartition("variable", "year", part)
-        .sortWithinPartitions("variable", "year", "cell_id", "date")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("variable", "year").parquet(path)
     )
 
@@ -39,15 +47,16 @@ def save_obs_table(obs: DataFrame, name: str, path: str, buckets: int) -> None:
     )
 
 
-def write_index_values(values: DataFrame, path: str, files_per_index: int = 8) -> None:
-    """Index values by frequency and index, each spread over a few files by cell."""
-    part = F.pmod(F.xxhash64("cell_id"), F.lit(files_per_index))
-    write_table(values.repartition("freq", "index", part), path, "freq", "index")
+def write_table(table: DataFrame, path: str, *partitions: str) -> None:
+    if not partitions:
+        table.write.mode("overwrite").parquet(path)
+        return
+    writer = balanced(table, *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partitions).parquet(path)
 
 
-def write_table(table: DataFrame, path: str, *partitions: str) -> None:
-    writer = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+def write_index_values(values: DataFrame, path: str) -> None:
+    write_table(values, path, "freq", "index")
 
 
 def feature(geometry, properties: list[str]):
@@ -65,13 +74,14 @@ def cell_features(values: DataFrame, grid: Grid, properties: list[str]) -> DataF
     return placed.withColumn("feature", feature(F.array(outline()), properties)).select(*values.columns, "feature")
 
 
-def cut_features(values: DataFrame, rings: DataFrame, properties: list[str]) -> DataFrame:
-    """Cell values -> one feature per cell, area and polygon part, cut to the area.
+def cell_outlines(rings: DataFrame) -> DataFrame:
+    """The overlay's rings as (cell_id, area, polygon, coordinates)."""
+    return as_polygons(rings, "cell_id", "area", "polygon")
 
-    ``rings(cell_id, area, polygon, ring, points)`` from the overlay.
-    """
-    parts = as_polygons(rings, "cell_id", "area", "polygon")
-    placed = values.drop("area").join(parts, "cell_id")
+
+def cut_features(values: DataFrame, outlines: DataFrame, properties: list[str]) -> DataFrame:
+    """Cell values -> one feature per cell, area and polygon part, cut to the area."""
+    placed = values.drop("area").join(outlines, "cell_id")
     return placed.withColumn("feature", feature(F.col("coordinates"), properties)).drop("coordinates", "polygon")
 
 
@@ -100,7 +110,7 @@ def span_name(first_year: int, last_year: int, threshold: float | None = None) -
 def write_map(features: DataFrame, path: str) -> None:
     """Features as newline-delimited GeoJSON under country/area/index/style/mode/span."""
     (
-        features.select(*MAP_KEYS, "feature").write.mode("overwrite")
+        balanced(features.select(*MAP_KEYS, "feature"), *MAP_KEYS).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(*MAP_KEYS).text(path)
     )
 
@@ -110,11 +120,11 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("country").json(path)
 
 
-def write_series(series: DataFrame, path: str, *partitions: str) -> None:
-    """Chart records as JSON lines."""
+def write_series(series: DataFrame, path: str) -> None:
+    """Chart records as JSON lines, by area and index."""
     (
-        series.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*(partitions or ("area", "index"))).json(path)
+        balanced(series, "area", "index").write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("area", "index").json(path)
     )
 
 

@@ -80,7 +80,7 @@ def test_scope_reaches_the_scan(spark, tmp_path):
     rows = [("pr", 1, 0.0, 0.0, datetime.date(y, 1, 1), 1.0, "f") for y in range(1990, 2000)]
     table = spark.createDataFrame(rows, "variable string, cell_id bigint, lat double, lon double, date date, value double, src string")
     path = str(tmp_path / "obs")
-    sinks.write_obs(table, path, 2)
+    sinks.write_obs(table, path)
     scoped = clean.apply_scope(obs.read_obs(spark, path), Scope(1995, 1996, min_lat=-1)).filter("variable = 'pr'")
     plan = explain(scoped)
     partition = next(line for line in plan.splitlines() if line.startswith("PartitionFilters"))

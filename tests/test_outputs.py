@@ -97,9 +97,9 @@ def test_observations_are_stored_by_variable_and_year(spark, tmp_path):
     schema = "variable string, cell_id bigint, lat double, lon double, date date, value double, src string"
     rows = [(v, c, 1.0, 2.0, p, 1.0, "f") for v in ("pr", "tmax") for c in range(20) for p in months(2000, 24)]
     path = str(tmp_path / "obs")
-    sinks.write_obs(spark.createDataFrame(rows, schema), path, 4)
+    sinks.write_obs(spark.createDataFrame(rows, schema), path)
     again = [("pr", 1, 1.0, 2.0, months(2001, 1)[0], 9.0, "g")]
-    sinks.write_obs(spark.createDataFrame(again, schema), path, 4)
+    sinks.write_obs(spark.createDataFrame(again, schema), path)
     table = obs.read_obs(spark, path)
     assert table.filter("variable = 'pr' and year = 2001").count() == 1
     assert table.filter("variable = 'pr' and year = 2000").count() == 240
@@ -136,3 +136,9 @@ def test_indices_of_a_bucketed_table_need_no_shuffle(spark, tmp_path):
     want = daily.daily_indices(table.select("cell_id", "date", "value"), names, "YS")
     assert got == want.orderBy("cell_id", "period").collect()
     spark.sql("drop table bucketed_obs")
+
+
+def test_writers_rebalance_by_folder(spark):
+    table = spark.range(100).select((F.col("id") % 3).alias("freq"), "id")
+    plan = sinks.balanced(table, "freq")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(freq" in plan and "REBALANCE_PARTITIONS_BY_COL" in plan
