@@ -45,24 +45,43 @@ def clip_and_clean(
     return clean.apply_scope(clean.keep_allowed(raw), scope)
 
 
-def merge_files(obs: DataFrame, path: str, step: str | None = None) -> DataFrame:
-    """Cleaned observations -> the merged dataset at ``path``, calendar complete.  Returns its mode row."""
+def merge_files(
+    obs: DataFrame, path: str, step: str | None = None, table: str | None = None, buckets: int = 200
+) -> DataFrame:
+    """Cleaned observations -> the merged dataset at ``path``, calendar complete.  Returns its mode row.
+
+    With ``table``, the dataset becomes a catalogue table of that name, bucketed by cell; choose ``buckets``
+    so that one bucket of one variable is a convenient file.
+    """
     mode = merge.detect_mode(merge.file_variables(obs))
-    sinks.write_obs(merge.merge(obs, fill=True, step=step), path)
+    merged = merge.merge(obs, fill=True, step=step)
+    if table is None:
+        sinks.write_obs(merged, path)
+    else:
+        sinks.save_obs_table(merged, table, path, buckets)
     return mode
 
 
+def open_obs(spark: SparkSession, source: str, bucketed: bool) -> DataFrame:
+    return spark.table(source) if bucketed else obs_source.read_obs(spark, source)
+
+
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def index_run(spark: SparkSession, obs_path: str, area_edges: DataFrame, out: str, work: Workspace) -> None:
+def index_run(
+    spark: SparkSession, source: str, area_edges: DataFrame, out: str, work: Workspace, bucketed: bool = False
+) -> None:
     """Everything for one country: outline, indices, area means, maps, series.
 
+    ``source`` is the path of the merged dataset, or with ``bucketed`` the name of its table.  On a bucketed
+    table neither the clip to the areas nor the indices shuffle the observations.
+
     Written under ``out``: boundary, cell_area, cell_outlines, index_values, area_values, maps, maps_metadata, series and
     series_metadata.
     """
-    observed = obs_source.read_obs(spark, obs_path)
+    observed = open_obs(spark, source, bucketed)
     by_variable, windows, raw = runner.plan_selection(work.selected)
     runner.check_inputs(observed, by_variable, windows, raw)
 
@@ -73,7 +92,8 @@ def index_run(spark: SparkSession, obs_path: str, area_edges: DataFrame, out: st
 
     clipped = spatial.clip(observed, weights, model.OVERVIEW)
     values = runner.compute_indices(
-        clipped, work.selected, ("YS", "MS"), work.baseline, missing=work.missing, with_events=False
+        clipped, work.selected, ("YS", "MS"), work.baseline, missing=work.missing, colocated=bucketed,
+        with_events=False,
     )
     sinks.write_index_values(values, f"{out}/index_values")
     if windows:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohyet.model import Baseline, Scope
-from isohyet.operators import runner
+from isohyet.operators import runner, spatial
 from isohyet.plans import jobs
 from isohyet.sources import areas, obs
 from isohyet.streaming.ingest import ingest_new_files
@@ -165,6 +165,31 @@ def test_dashboard(spark, run):
     assert set(plain) == {"annual", "climatology"} and plain["annual"].count() == 4
 
 
+def test_index_run_on_a_bucketed_table(spark, merged, files, run):
+    """The same values, and no shuffle of the observations on the way to a spell index."""
+    out, edges, work = run
+    cleaned = obs.read_obs(spark, merged).drop("year")
+    jobs.merge_files(cleaned, str(files / "bucketed"), "D", "merged_obs", 4)
+    again = str(files / "out_bucketed")
+    jobs.index_run(spark, "merged_obs", edges, again, work, bucketed=True)
+    keys = ["index", "freq", "period", "cell_id", "value"]
+    one, two = (spark.read.parquet(f"{o}/index_values").select(*keys) for o in (out, again))
+    rounded = [t.withColumn("value", F.round("value", 9)) for t in (one, two)]
+    assert rounded[0].exceptAll(rounded[1]).isEmpty() and rounded[1].exceptAll(rounded[0]).isEmpty()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weights = spark.read.parquet(f"{out}/cell_area")
+        clipped = spatial.clip(jobs.open_obs(spark, "merged_obs", True), weights, "overview")
+        values = runner.compute_indices(clipped, ["CDD", "Rx5day"], ("YS", "MS"), colocated=True)
+        plan = values._jdf.queryExecution().executedPlan().toString()
+        # The weights are shuffled to the buckets; the observations stay where they are.
+        assert plan.count("Exchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sql("drop table merged_obs")
+
+
 def test_on_demand_map_is_made_once(spark, merged, run):
     out, edges, work = run
     assert jobs.on_demand_map(spark, merged, edges, out, "TXx", (2001, 2003), work)
