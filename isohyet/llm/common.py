@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ def remainder(key: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % divisor
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, although ``use`` mentions it often or inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def slices(texts, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` characters together, so that working arrays stay small; one text at least."""
     a = size = 0
@@ -44,3 +51,37 @@ def slices(texts, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
             a, size = i + 1, 0
     if a < len(texts):
         yield a, len(texts)
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with equal values side by side in one partition, for ``runs``; not coalesced, as the work is not in bytes."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns).sortWithinPartitions(*columns)
+
+
+def runs(batches, columns: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal values, over batch limits; only the run at hand is held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held:
+            batches_here = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch])
+        else:
+            batches_here = pa.Table.from_batches([batch])
+        shift = 1 if held else 0
+        new = None
+        for name in columns:
+            values = batches_here[name].combine_chunks()
+            differs = pc.not_equal(values.slice(1), values.slice(0, len(values) - 1))
+            new = differs if new is None else pc.or_(new, differs)
+        cuts = [i + 1 - shift for i in pc.indices_nonzero(new).to_pylist()]
+        at = 0
+        for cut in cuts:
+            if cut > at:
+                held.append(batch.slice(at, cut - at))
+            yield pa.Table.from_batches(held)
+            held, at = [], cut
+        held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)

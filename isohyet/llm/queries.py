@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isohyet.llm import minhash
+from isohyet.llm import fingerprint, minhash, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -52,4 +53,58 @@ LEFT JOIN sizes s ON s.doc_id = d.doc_id
 
 @query("op1_minhash_near_duplicates", OP1)
 def op1(spark, sf_dir):
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query("op7_secret_scan")
+def op7(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined("base_spans"), 256).alias("base_sha256"),
+                        secrets.joined("spans").alias("spans"))
+
+
+# The same sketch by MD5; the next document by doc_id, after the last the first.
+OP9 = r"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS next_text
+  FROM documents),
+texts AS (
+  SELECT doc_id, 'own' AS part, text FROM ordered UNION ALL
+  SELECT doc_id, 'next', next_text FROM ordered UNION ALL
+  SELECT doc_id, 'edited', substr(text, 1, length(text) - length(text) // 4) || substr(next_text, 1, length(text) // 4) FROM ordered),
+words AS (
+  SELECT doc_id, part, text, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM texts),
+hashes AS (
+  SELECT DISTINCT doc_id, part, substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 16) AS h
+  FROM words, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS g(i) WHERE len(w) > 0),
+least AS (
+  SELECT doc_id, part, list(h ORDER BY h) AS s FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY h) AS k FROM hashes) WHERE k <= 128 GROUP BY ALL),
+sketches AS (SELECT doc_id, part, text, coalesce(s, []) AS s FROM words LEFT JOIN least USING (doc_id, part)),
+pairs AS (
+  SELECT o.doc_id, o.text, e.text AS edited, o.s, e.s AS es,
+         list_sort(list_distinct(o.s || e.s))[1:128] AS ue, list_sort(list_distinct(o.s || x.s))[1:128] AS ux,
+         list_intersect(o.s, e.s) AS be, list_intersect(o.s, x.s) AS bx
+  FROM sketches o JOIN sketches e ON e.doc_id = o.doc_id AND e.part = 'edited'
+  JOIN sketches x ON x.doc_id = o.doc_id AND x.part = 'next' WHERE o.part = 'own')
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
+       array_to_string(s, ',') AS fingerprint, array_to_string(es, ',') AS edited_fingerprint,
+       CASE WHEN len(ue) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(ue, be))::DOUBLE / len(ue) END AS near_edited,
+       CASE WHEN len(ux) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(ux, bx))::DOUBLE / len(ux) END AS near_next,
+       CASE WHEN len(s) < 128 THEN len(s)
+            ELSE CAST(round(127 / (('0x' || substr(s[128], 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)) AS BIGINT) END AS n_distinct
+FROM pairs
+"""
+
+
+@query("op9_fingerprints", OP9)
+def op9(spark, sf_dir):
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
