@@ -6,8 +6,9 @@ pair of likeness 0.75 with a probability of 5e-6.  Every link is confirmed on th
 
 Groups never turn into all pairs.  Equal sets are one class before banding.  Each bucket first links its members to
 its smallest member only; components of these links are found; and only buckets that still hold several components
-are looked at again, in blocks of bounded size, where 256 one-byte signature values sort out pairs that are far from
-the limit (six standard deviations) and only the rest is verified.
+are looked at again, in blocks of bounded size: 256 one-byte signature values sort out pairs that are far from the
+limit (six standard deviations), the rest is compared inside the block, which returns the links it found, not the
+pairs it tried.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and no link.  Equal rows are linked.
 Rows that share a doc_id count as one document for links through it.  A row without doc_id joins the class of equal
@@ -17,13 +18,12 @@ texts only.  Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import slices, stored
+from isohyet.llm.common import dealt, runs, slices, stored
 from isohyet.llm.components import components
 from isohyet.llm.words import mix64, shingle_sets
 
@@ -31,8 +31,6 @@ BANDS, ROWS = 85, 7
 SKETCH = 256          # signature coordinates of which one byte is kept
 BLOCK = 2048          # members of a bucket that are compared in one task
 LIKENESS = 75         # per cent
-# Share of equal sketch bytes at the limit, less six standard deviations (1/256 agree by chance).
-FAR = 0.75 - 6 * (0.75 * 0.25 / SKETCH) ** 0.5
 
 
 def _pi(x: np.ndarray, spare: np.ndarray) -> None:
@@ -120,33 +118,73 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInPandas(_verify, "a long, b long")
 
 
-def _near(sketches: np.ndarray, sizes: np.ndarray, comps: np.ndarray, nodes: np.ndarray, left, right):
-    """Pairs of a block that are worth verifying: other component, sizes and sketches within reach."""
-    found = []
-    for i in range(len(nodes)):
-        if not left[i]:
-            continue
-        j = np.flatnonzero(right & (comps != comps[i]) & ((nodes > nodes[i]) | ~left)
-                           & (100 * np.minimum(sizes, sizes[i]) >= LIKENESS * np.maximum(sizes, sizes[i])))
-        if len(j):
-            j = j[(sketches[j] == sketches[i]).mean(axis=1) >= FAR]
-            found.extend((nodes[i], x) for x in nodes[j])
-    return found
-
-
-def _blocks(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.drop_duplicates(["node", "part"])
-    first, second = key[1], key[2]
-    sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
-    left = (frame["part"] == first).to_numpy()
-    right = (frame["part"] == second).to_numpy()
-    found = _near(sketches, frame["n_shingles"].to_numpy(), frame["comp"].to_numpy(), frame["node"].to_numpy(),
-                  left, right)
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-
-def _residual(bands: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and may be near-duplicates."""
+def _plausible(sketches: np.ndarray, sizes: np.ndarray, comps: np.ndarray, i: int, right: np.ndarray) -> np.ndarray:
+    """Members of ``right`` in another component whose size and sketch are within reach of member i."""
+    j = right[(comps[right] != comps[i])
+              & (100 * np.minimum(sizes[right], sizes[i]) >= LIKENESS * np.maximum(sizes[right], sizes[i]))]
+    for width in (SKETCH // 4, SKETCH):
+        if not len(j):
+            break
+        same = np.count_nonzero(sketches[j, :width] == sketches[i, :width], axis=1)
+        j = j[same >= width * (0.75 - 6 * (0.75 * 0.25 / width) ** 0.5)]
+    return j
+
+
+def _members(table: pa.Table):
+    sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+    sizes, comps, part = (table[c].to_numpy() for c in ("n_shingles", "comp", "part"))
+    left = np.flatnonzero(part == table["first"][0].as_py())
+    right = np.flatnonzero(part == table["second"][0].as_py())
+    one = table["first"][0] == table["second"][0]
+    return sketches, sizes, comps, left, right, one
+
+
+def _promising(batches):
+    """The members of each block that have a plausible partner in it."""
+    for table in runs(batches, ["key", "first", "second"]):
+        sketches, sizes, comps, left, right, one = _members(table)
+        marked = np.zeros(table.num_rows, bool)
+        for at, i in enumerate(left):
+            j = _plausible(sketches, sizes, comps, i, right[at + 1:] if one else right)
+            if len(j):
+                marked[i] = marked[j] = True
+        if marked.any():
+            yield from table.filter(pa.array(marked)).combine_chunks().to_batches()
+
+
+def _confirmed(batches):
+    """Links of each block that join its components, verified on full sets; a pair is tested in its first band only."""
+    for table in runs(batches, ["key", "first", "second"]):
+        sketches, sizes, comps, left, right, one = _members(table)
+        comps = comps.copy()
+        texts, nodes = table["text"].to_pylist(), table["node"].to_numpy()
+        keys = np.array(table["keys"].to_pylist(), np.int64)
+        key = table["key"][0].as_py()
+        sets: dict[int, np.ndarray] = {}
+        found = []
+
+        def members_set(i):
+            if i not in sets:
+                sets[i] = shingle_sets([texts[i]])[0]
+            return sets[i]
+
+        for at, i in enumerate(left):
+            for j in _plausible(sketches, sizes, comps, i, right[at + 1:] if one else right):
+                if comps[i] == comps[j] or keys[i][np.argmax(keys[i] == keys[j])] != key:
+                    continue
+                x, y = members_set(i), members_set(j)
+                both = np.sort(np.concatenate((x, y)), kind="stable")
+                same = np.count_nonzero(both[1:] == both[:-1])
+                if 100 * same >= LIKENESS * (len(both) - same):
+                    found.append((nodes[i], nodes[j]))
+                    comps[comps == comps[j]] = comps[i]
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _residual(bands: DataFrame, nodes: DataFrame, labels: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links between different components that share a bucket."""
     placed = (bands.join(labels, "node", "left")
               .select("key", "node", F.coalesce("component", "node").alias("comp")))
     split = (placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"))
@@ -155,9 +193,14 @@ def _residual(bands: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFram
                .join(nodes.select("node", "n_shingles", "sketch"), "node")
                .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-               .withColumn("first", F.least("part", "other")).withColumn("second", F.greatest("part", "other")))
-    return (members.groupBy("key", "first", "second").applyInPandas(_blocks, "a long, b long")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+               .withColumn("first", F.least("part", "other")).withColumn("second", F.greatest("part", "other"))
+               .select("key", "first", "second", "node", "comp", "part", "n_shingles", "sketch"))
+    block = ["key", "first", "second"]
+    promising = stored(dealt(members, *block).mapInArrow(_promising, members.schema), "promising")
+    texts = (documents.filter("doc_id is not null and text is not null")
+             .select(F.col("doc_id").alias("node"), "text"))
+    whole = promising.join(nodes.select("node", "keys"), "node").join(texts, "node")
+    return dealt(whole, *block).mapInArrow(_confirmed, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -176,8 +219,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     stars = bands.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(verified(stars, documents), "links")
     labels = stored(components(links), "labels")
-    more = stored(verified(stored(_residual(bands.select("key", "node"), nodes, labels), "residual"), documents), "links")
-    final = components(more.select("a", "b").unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    more = stored(_residual(bands.select("key", "node"), nodes, labels, documents), "links")
+    final = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
                        .unionByName(links))
     return (described.select("doc_id", "text_key", "h1", "h2", "n_shingles")
             .join(classes, ["h1", "h2"])
