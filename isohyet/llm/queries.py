@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import fingerprint, minhash, secrets
+from isohyet.llm import decontaminate, fingerprint, minhash, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -108,3 +108,38 @@ FROM pairs
 @query("op9_fingerprints", OP9)
 def op9(spark, sf_dir):
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+# All windows of every length that occurs among the items, matched by their words.
+OP4 = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[i:i + 12], ' ') AS s
+  FROM iw, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS g(i) WHERE len(w) > 0),
+places AS (
+  SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS s
+  FROM dw, (SELECT DISTINCT m FROM windows), unnest(generate_series(1, len(w) - m + 1)) AS g(i)),
+found AS (SELECT p.doc_id, p.i, p.m, v.item_id FROM places p JOIN windows v ON v.m = p.m AND v.s = p.s),
+words AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM found, unnest(generate_series(i, i + m - 1)) AS g(j) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op4_decontamination", OP4)
+def op4(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.judged(decontaminate.hits(documents, table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
