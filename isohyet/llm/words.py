@@ -51,14 +51,15 @@ class Words:
         self.n = np.diff(self.first)
         self.text = np.repeat(np.arange(len(data)), self.n)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit polynomial hash of every word's bytes, finished with a mixer."""
-        out = np.empty(len(self.start), np.uint64)
+    def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """64-bit polynomial hash of every word's bytes, finished with a mixer; or of other limits inside the words."""
+        starts, ends = self.start if start is None else start, self.end if end is None else end
+        out = np.empty(len(starts), np.uint64)
         step = 1 << 20  # words at a time, so that the byte-wide 64-bit arrays stay small
         for a in range(0, len(out), step):
-            s, e = self.start[a:a + step], self.end[a:a + step]
-            low = s[0]
-            part = self.raw[low:e[-1]]
+            s, e = starts[a:a + step], ends[a:a + step]
+            low = s.min()
+            part = self.raw[low:e.max()]
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(_CODES[part] * _powers(_BASE, len(part)), out=sums[1:])
             inverse = _powers(_BASE_INVERSE, len(part) + 1)
