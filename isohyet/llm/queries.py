@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import decontaminate, fingerprint, langid, minhash, quality, secrets
+from isohyet.llm import decontaminate, fingerprint, langid, minhash, quality, secrets, toxicity
 from isohyet.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,11 @@ def op10(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.learn_and_predict(documents, remainder("doc_id", 4) != 2)
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_toxicity_neighbours")
+def op2(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
+    scored = toxicity.score(documents, toxicity.fit(documents, labels))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "evidence")
