@@ -25,7 +25,7 @@ from isohyet.llm.common import slices
 from isohyet.llm.quality import sample
 from isohyet.llm.words import PUNCTUATION, Words
 
-SAMPLE, TERMS, CHI2, K, BLOCK = 2500, 4096, 15.0, 10, 64
+SAMPLE, TERMS, CHI2, K, BLOCK = 2500, 4096, 60.0, 10, 64
 LIMIT = 0.5
 
 
