@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import decontaminate, fingerprint, langid, minhash, quality, secrets, toxicity
+from isohyet.llm import decontaminate, fingerprint, langid, lm, minhash, quality, secrets, toxicity
 from isohyet.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,10 @@ def op2(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
     scored = toxicity.score(documents, toxicity.fit(documents, labels))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
+@query("op3_log_bilinear_scores")
+def op3(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.learn_and_score(documents, remainder("doc_id", 7) != 2)
+    return scored.withColumn("held_out", remainder("doc_id", 7) == 2)
