@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import decontaminate, fingerprint, langid, lm, minhash, quality, secrets, toxicity
+from isohyet.llm import decontaminate, fingerprint, langid, lm, minhash, quality, secrets, sentencepiece, toxicity
 from isohyet.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,8 @@ def op3(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = lm.learn_and_score(documents, remainder("doc_id", 7) != 2)
     return scored.withColumn("held_out", remainder("doc_id", 7) == 2)
+
+
+@query("op5_sentencepiece")
+def op5(spark, sf_dir):
+    return sentencepiece.encoded_and_checked(table(spark, sf_dir, "documents"))
