@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import decontaminate, fingerprint, langid, lm, minhash, quality, secrets, sentencepiece, toxicity
+from isohyet.llm import decontaminate, extraction, fingerprint, langid, lm, minhash, quality, secrets, sentencepiece, toxicity
 from isohyet.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,9 @@ def op3(spark, sf_dir):
 @query("op5_sentencepiece")
 def op5(spark, sf_dir):
     return sentencepiece.encoded_and_checked(table(spark, sf_dir, "documents"))
+
+
+@query("op8_main_text")
+def op8(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.fit(pages))
