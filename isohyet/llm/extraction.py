@@ -1,7 +1,7 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded so that ancestors and descendants agree.
 
-Nodes are block elements and runs of inline text.  Features: tag, words of class, id and role (hashed), depth, place
-among siblings, and of the subtree: characters of text, text per node, share of linked text, commas, paragraphs, share
+Nodes are block elements and runs of inline text.  Features: tag, how often words of its class, id and role
+(and those of its ancestors) named main text among the examples, depth, place among siblings, and of the subtree: characters of text, text per node, share of linked text, commas, paragraphs, share
 of the page.  A node's label says whether it holds main text or lies in it.  The trees learn from layouts made by rule
 (``layouts``: containers named as sites commonly name them, in random arrangement, with known labels) and from a
 bounded sample of the pages at hand that mark their article themselves (``SAMPLE`` pages with exactly one article or
@@ -18,7 +18,6 @@ rows and other columns make no difference; white space of any kind inside a bloc
 from __future__ import annotations
 
 import random
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +28,15 @@ from isohyet.llm.boosting import Trees
 from isohyet.llm.common import slices
 from isohyet.llm.dom import Node, in_order, parse
 
-SAMPLE, LAYOUTS, WORD_BINS = 200, 400, 128
+SAMPLE, LAYOUTS = 200, 600
 TAGS = ["#root", "#text", "html", "body", "div", "section", "article", "main", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "dl",
         "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "center",
         "address", "details", "dialog", "fieldset"]
 _TAG = {t: i for i, t in enumerate(TAGS)}
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """One row for each node of a page, in page order (parents first)."""
+def features(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
+    """One row for each node of a page, in page order (parents first); ``odds``: log-odds of main text for each word."""
     place = {id(n): i for i, n in enumerate(nodes)}
     n = len(nodes)
     chars, linked, commas, runs, paragraphs, items, size = (np.zeros(n) for _ in range(7))
@@ -53,14 +52,15 @@ def features(nodes: list[Node]) -> np.ndarray:
     total = max(chars[0], 1)
     before = np.concatenate(([0.0], np.cumsum([len("".join(x.text)) for x in nodes])[:-1])) / total
     index, count, same = np.zeros(n), np.ones(n), np.ones(n)
-    inherited = np.zeros((n, WORD_BINS), np.float32)  # words of the node and, fainter, of its ancestors
+    low, high, above = np.zeros(n), np.zeros(n), np.zeros(n)  # of the node's words, of its ancestors' words
     tags = np.zeros((n, 2 * len(TAGS) + 1), np.float32)
     for i, node in enumerate(nodes):
         if node.parent:
-            inherited[i] = inherited[parent[i]] * 0.6
+            above[i] = min(above[parent[i]], low[parent[i]])
             tags[i, len(TAGS) + 1 + _TAG.get(node.parent.tag, 4)] = 1
-        for w in node.words:
-            inherited[i, zlib.crc32(w.encode("utf-8", "replace")) % WORD_BINS] = 1
+        known = [odds[w] for w in node.words if w in odds]
+        if known:
+            low[i], high[i] = min(known), max(known)
         tags[i, _TAG.get(node.tag, len(TAGS))] = 1
         of_tag: dict[str, int] = {}
         for k, c in enumerate(node.children):
@@ -73,8 +73,19 @@ def features(nodes: list[Node]) -> np.ndarray:
         np.log1p(chars), np.log1p(chars / size), linked / np.maximum(chars, 1), commas / np.maximum(chars, 1) * 100,
         np.log1p(chars / np.maximum(runs, 1)), paragraphs / size, items / size, chars / total, chars / np.maximum(chars[up], 1),
         before, before + chars / total, np.array([x.depth for x in nodes]), index, np.log1p(count), same,
-        linked[up] / np.maximum(chars[up], 1), np.log1p(chars[up]), np.array([_hidden(x) for x in nodes], float)], 1)
-    return np.concatenate((numbers, tags, inherited), 1).astype(np.float32)
+        linked[up] / np.maximum(chars[up], 1), np.log1p(chars[up]), np.array([_hidden(x) for x in nodes], float),
+        low, high, above, low[up], np.array([len(x.words) for x in nodes])], 1)
+    return np.concatenate((numbers, tags), 1).astype(np.float32)
+
+
+def word_odds(pages: list[list[Node]], found: list[np.ndarray]) -> dict[str, float]:
+    """Smoothed log-odds that a node with a word is main text or holds it."""
+    counts: dict[str, list[float]] = {}
+    for nodes, y in zip(pages, found):
+        for node, k in zip(nodes, y):
+            for w in set(node.words):
+                counts.setdefault(w, [1.0, 1.0])[int(k > 0)] += 1
+    return {w: float(np.log(yes / no)) for w, (no, yes) in counts.items()}
 
 
 def _hidden(node: Node | None) -> bool:
@@ -197,58 +208,49 @@ def labels(nodes: list[Node], main, noise) -> np.ndarray:
     return np.array([2 if state[id(n)] else 1 if id(n) in holds else 0 for n in nodes], np.int64)
 
 
-def made_examples() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the nodes of all layouts."""
-    pages = [in_order(parse(page)) for page in layouts()]
-    return (np.concatenate([features(p) for p in pages]),
-            np.concatenate([made_labels(p) for p in pages]))
-
-
 def made_labels(nodes: list[Node]) -> np.ndarray:
     whole = not any(n.mark == "main" for n in nodes)
     return labels(nodes, lambda n: whole or n.mark == "main", lambda n: n.mark == "noise")
 
 
-def own_examples(html: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """Features and labels of a page that marks its article itself; none for other pages."""
-    nodes = in_order(parse(html))
+def own_labels(nodes: list[Node]) -> np.ndarray | None:
+    """Labels of a page that marks its article itself; none for other pages."""
     marked = [n for n in nodes if n.tag in ("article", "main")]
     if len(marked) != 1:
         return None
-    return features(nodes), labels(nodes, lambda n: n is marked[0], lambda n: n.tag in ("nav", "aside", "form", "footer"))
-
-
-def _own(batches):
-    for batch in batches:
-        for html in batch["html"].to_pylist():
-            found = own_examples(html)
-            if found is not None:
-                x, y = found
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32())), pa.array(y)], ["x", "y"])
+    return labels(nodes, lambda n: n is marked[0], lambda n: n.tag in ("nav", "aside", "form", "footer"))
 
 
 class Model:
     """Log-probabilities of the three labels from two sets of trees."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, pages: list[str] = ()):
+        """Learns from the layouts and from those of ``pages`` that mark their article."""
+        made = [in_order(parse(page)) for page in layouts()]
+        found = [made_labels(nodes) for nodes in made]
+        for page in pages:
+            nodes = in_order(parse(page))
+            y = own_labels(nodes)
+            if y is not None:
+                made.append(nodes)
+                found.append(y)
+        self.odds = word_odds(made, found)
+        x, y = np.concatenate([features(nodes, self.odds) for nodes in made]), np.concatenate(found)
         self.some, self.inside = (Trees(x, (y >= k).astype(float), np.ones(len(y))) for k in (1, 2))
 
-    def log_probabilities(self, x: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, pages: list[list[Node]]) -> np.ndarray:
+        """For all nodes of all pages, one page after the other."""
+        x = np.concatenate([features(nodes, self.odds) for nodes in pages])
         some, inside = (1 / (1 + np.exp(-np.clip(t.margin(x), -30, 30))) for t in (self.some, self.inside))
         p = np.stack([1 - some, some - inside, np.minimum(inside, some)], 1)
         return np.log(np.clip(p, 1e-4, 1))
 
 
 def fit(pages: DataFrame) -> Model:
-    """Trees from the layouts and from up to SAMPLE of the pages (of up to 100,000 characters)."""
-    x, y = made_examples()
+    """Learns from the layouts and from up to SAMPLE of the pages (of up to 100,000 characters)."""
     chosen = (pages.select("html", F.xxhash64("page_id").alias("key")).filter("html is not null and length(html) <= 100000")
               .orderBy("key", F.xxhash64("html")).limit(SAMPLE))
-    rows = chosen.select("html").mapInArrow(_own, "x array<float>, y long").collect()
-    if rows:
-        x = np.concatenate((x, np.array([r["x"] for r in rows], np.float32)))
-        y = np.concatenate((y, np.array([r["y"] for r in rows])))
-    return Model(x, y)
+    return Model([r["html"] for r in chosen.collect()])
 
 
 # --- reading pages --------------------------------------------------------------------------------------------------
@@ -288,7 +290,7 @@ def _extractor(model: Model):
             pages = batch["html"].to_pylist()
             for a, b in slices(pages, 2_000_000):
                 nodes = [in_order(parse(h)) for h in pages[a:b]]
-                log_p = model.log_probabilities(np.concatenate([features(n) for n in nodes]))
+                log_p = model.log_probabilities(nodes)
                 limits = np.cumsum([0, *map(len, nodes)])
                 texts = [main_text(n, log_p[x:y]) for n, x, y in zip(nodes, limits[:-1], limits[1:])]
                 part = batch.slice(a, b - a)
