@@ -71,17 +71,15 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), shared / distinct_shingles(a, k)))
 
 
-def _entries(rows: DataFrame) -> DataFrame:
-    """For each bucket, ``entry``: the text of the first row of the next bucket that has rows; after the last comes the first."""
+def _entries(rows: DataFrame, start: int) -> DataFrame:
+    """For each bucket, ``entry``: the text of the first row of the next bucket that has rows; after the last comes ``start``."""
     firsts = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("first"))
     # Over two levels, so that no task orders more than a small part of the buckets.
     buckets = rows.select("bucket").distinct().withColumn("group", F.floor(F.col("bucket") / GROUP))
     inside = buckets.withColumn("follows", F.lead("bucket").over(W.partitionBy("group").orderBy("bucket")))
     groups = buckets.groupBy("group").agg(F.min("bucket").alias("least"))
     after = groups.select("group", F.lead("least").over(W.orderBy("group")).alias("after"))
-    start = buckets.agg(F.min("bucket").alias("start"))
-    follows = (inside.join(after, "group").join(F.broadcast(start))  # a single row
-               .select("bucket", F.coalesce("follows", "after", "start").alias("follows")))
+    follows = inside.join(after, "group").select("bucket", F.coalesce("follows", "after", F.lit(start)).alias("follows"))
     first = firsts.select(F.col("bucket").alias("follows"), F.col("first.text").alias("entry"))
     return follows.join(first, "follows").select("bucket", "entry")
 
@@ -94,7 +92,8 @@ def with_next(documents: DataFrame) -> DataFrame:
     first; equal ids go by their texts; the last row is followed by the first.
     """
     ids = F.col("doc_id").cast("decimal(20,0)")
-    limits = documents.agg(F.min(ids).alias("low"), F.max(ids).alias("high"), F.count("doc_id").alias("n")).first()
+    limits = documents.agg(F.min(ids).alias("low"), F.max(ids).alias("high"), F.count("doc_id").alias("n"),
+                           F.count_if(F.col("doc_id").isNull()).alias("nameless")).first()
     low, high = int(limits["low"] or 0), int(limits["high"] or 0)
     width = max(1, (high - low + 1) * IDS // max(limits["n"], 1))
     place = F.floor((ids - F.lit(low)) / F.lit(width)).cast("long")
@@ -103,7 +102,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     chained = (rows.withColumn("next_text", F.lead("text").over(order))
                .withColumn("sketch", sketch(words(F.col("text"))))
                .withColumn("next_sketch", F.lead("sketch").over(order)))
-    entries = _entries(rows).select(F.col("bucket").alias("from"), "entry", sketch(words(F.col("entry"))).alias("entry_sketch"))
+    entries = _entries(rows, -1 if limits["nameless"] else 0).select(F.col("bucket").alias("from"), "entry", sketch(words(F.col("entry"))).alias("entry_sketch"))
     last = (F.col("bucket") == F.col("from")) & F.col("next_text").isNull()
     return chained.join(entries, last, "left").select(
         "doc_id", "text", "sketch", F.coalesce("next_text", "entry").alias("next_text"),
