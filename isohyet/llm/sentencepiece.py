@@ -21,13 +21,13 @@ Repeated rows and other columns make no difference.
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm.common import slices
+from isohyet.llm.words import hashed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -62,21 +62,26 @@ class Codec:
     def __init__(self, model: dict):
         self.ids, self.scores, self.bytes, self.unknown = model["pieces"], model["scores"], model["bytes"], model["unknown"]
         self.bpe = model["kind"] == "bpe"
-        self.backwards: dict = {}  # pieces spelled from their end
+        self.backwards: list = [{}, None]  # pieces spelled from their end: children by character, the piece that ends here
         for piece in self.ids:
             node = self.backwards
             for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = piece
-        crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.cut = re.compile(r".+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = piece
+        self.whole = any(MARK in p.lstrip(MARK) for p in self.ids)  # pieces cross words: texts are not cut
         self.lowest = min(self.scores.values(), default=0) - 10
-        self.apart: dict = {}
+        self.apart: dict = {}   # piece -> piece after it -> whether they stay apart
+        self.pairs = 0
         self.merges: dict = {}
         self.words: dict = {}
-        self.strings = {i: p for p, i in self.ids.items()}
-        self.plain = {i: p.replace(MARK, " ") for i, p in self.strings.items()}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        # What each id stands for, as bytes in one array.
+        spelled = {i: p.replace(MARK, " ").encode("utf-8") for p, i in self.ids.items()}
+        spelled |= {i: bytes([b]) for b, i in self.bytes.items()}
+        spelled[self.unknown] = " ⁇ ".encode("utf-8")
+        table = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
+        self.spelling = np.frombuffer(b"".join(table), np.uint8)
+        self.spelling_ends = np.cumsum([len(x) for x in table])
+        self.spelling_sizes = np.array([len(x) for x in table])
 
     def _merges(self, piece: str) -> list | None:
         """The merges that make a piece from its characters, in order: score, place, first and last symbol after it."""
@@ -116,38 +121,39 @@ class Codec:
             else:
                 return True
 
-    def _forward(self, word: str, states: list, position: int) -> tuple:
-        """State of a position: start of the last piece, the piece, the score; states[k] is that of position k."""
-        candidates, node, start = [], self.backwards, position
+    def _candidates(self, word: str, position: int) -> list[tuple[int, str]]:
+        """Start and piece of everything that can end here, the longest last; a character without a piece stands for itself."""
+        (children, _), found, start = self.backwards, [], position
         while start:
-            node = node.get(word[start - 1])
+            node = children.get(word[start - 1])
             if node is None:
                 break
             start -= 1
-            piece = node.get("")
+            children, piece = node
             if piece is not None:
-                candidates.append((start, piece))
-        last = word[position - 1]
-        if last not in self.ids:
-            candidates.insert(0, (position - 1, last))
-        if not self.bpe:
-            return max(((s, p, states[s][2] + self.scores.get(p, self.lowest)) for s, p in candidates), key=lambda c: (c[2], -c[0]))
-        for s, piece in reversed(candidates):
-            before = states[s]
-            if before is None:
-                continue
-            if s == 0:
-                if self._merges(piece) is not None:
-                    return s, piece, 0.0
-            else:
-                pair = (before[1], piece)
-                apart = self.apart.get(pair)
-                if apart is None:
-                    if len(self.apart) > REMEMBERED:
-                        self.apart.clear()
-                    apart = self.apart[pair] = self._stay_apart(*pair)
-                if apart:
-                    return s, piece, 0.0
+                found.append((start, piece))
+        if not found or found[0][0] != position - 1:
+            found.insert(0, (position - 1, word[position - 1]))
+        return found
+
+    def _best(self, word: str, states: list, position: int) -> tuple:
+        """Viterbi state: start and piece of the best last piece, and the score; the longer piece among equals."""
+        return max(((s, p, states[s][2] + self.scores.get(p, self.lowest)) for s, p in self._candidates(word, position)),
+                   key=lambda c: (c[2], -c[0]))
+
+    def _only(self, word: str, states: list, position: int) -> tuple:
+        """State of the path that merges allow: start, piece, and what is known of pieces after it."""
+        for s, piece in reversed(self._candidates(word, position)):
+            after = states[s][2]
+            apart = after.get(piece) if s else self._merges(piece) is not None
+            if apart is None:
+                self.pairs += 1
+                apart = after[piece] = self._stay_apart(states[s][1], piece)
+            if apart:
+                follow = self.apart.get(piece)
+                if follow is None:
+                    follow = self.apart[piece] = {}
+                return s, piece, follow
         raise AssertionError(f"no segmentation of {word[:position]!r}")
 
     def _spelled(self, piece: str) -> list[int]:
@@ -157,52 +163,58 @@ class Codec:
             return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
         return [self.unknown]
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Segments words that are not remembered yet, in sorted order."""
-        states, previous = [(0, "", 0.0)], ""
+        if self.pairs > REMEMBERED:
+            self.apart, self.pairs = {}, 0
+        states, previous, forward = [(0, "", {} if self.bpe else 0.0)], "", self._only if self.bpe else self._best
         for word in sorted(words):
-            shared = 0
-            for p, q in zip(previous, word):
-                if p != q:
-                    break
+            shared, most = 0, min(len(previous), len(word))
+            while shared < most and previous[shared] == word[shared]:
                 shared += 1
             del states[shared + 1:]
             for position in range(shared + 1, len(word) + 1):
-                states.append(self._forward(word, states, position))
+                states.append(forward(word, states, position))
             ids, at = [], len(word)
             while at:
-                start, piece, _ = states[at]
-                ids.append(self._spelled(piece))
-                at = start
-            self.words[word] = [i for part in reversed(ids) for i in part]
+                at, piece, _ = states[at]
+                ids.append(self.ids[piece] if piece in self.ids else piece)
+            ids.reverse()
+            self.words[word] = [j for i in ids for j in ([i] if isinstance(i, int) else self._spelled(i))]
             previous = word
 
-    def encode(self, texts: list) -> list[list[int]]:
-        cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the offsets of each text in them."""
+        data = [(" " + t.replace(MARK, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        limits = np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64)
+        # A marked word goes from the first of a run of spaces to the next one.
+        space = raw == 32
+        begins = space & ~np.concatenate(([False], space[:-1])) if not self.whole else np.zeros(len(raw), bool)
+        begins[limits[:-1][np.diff(limits) > 0]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(raw))
+        _, first, which = np.unique(hashed(raw, starts, ends), return_index=True, return_inverse=True)
+        distinct = [raw[s:e].tobytes().decode("utf-8", "surrogatepass").replace(" ", MARK) for s, e in zip(starts[first], ends[first])]
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        self.learn({w for words in cut for w in words if w not in self.words})
-        known = self.words
-        return [[i for w in words for i in known[w]] for words in cut]
-
-    def decode(self, ids: list[int]) -> str:
-        if not ids:
-            return ""
-        plain = self.plain
-        try:
-            text = "".join([plain[i] for i in ids])
-        except KeyError:  # with bytes
-            parts, held = [], bytearray()
-            for i in ids:
-                if i in self.byte_of:
-                    held.append(self.byte_of[i])
-                    continue
-                if held:
-                    parts.append(held.decode("utf-8", "replace"))
-                    held = bytearray()
-                parts.append(plain.get(i, " ⁇ " if i == self.unknown else ""))
-            text = "".join(parts) + held.decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        self.learn([w for w in distinct if w not in self.words])
+        known = [self.words[w] for w in distinct]
+        sizes = np.array([len(k) for k in known], np.int64)
+        flat = np.array([i for k in known for i in k], np.int32)
+        n = sizes[which]
+        place = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - (place - n), n) + np.arange(n.sum())]
+        total = np.concatenate(([0], place))
+        return ids, total[np.searchsorted(starts, limits)]
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of ids; the mark in front is dropped."""
+        n = self.spelling_sizes[ids]
+        place = np.cumsum(n)
+        data = self.spelling[np.repeat((self.spelling_ends - self.spelling_sizes)[ids] - (place - n), n) + np.arange(n.sum())].tobytes()
+        limits = np.concatenate(([0], place))[offsets].tolist()
+        return [data[a + (data[a:a + 1] == b" "):b].decode("utf-8", "replace") if b > a else "" for a, b in zip(limits[:-1], limits[1:])]
 
 
 def _kernel(model: dict, check: bool):
@@ -210,12 +222,13 @@ def _kernel(model: dict, check: bool):
         codec = Codec(model)
         for batch in batches:
             texts = batch["text"].to_pylist()
-            for a, b in slices(texts):
-                ids = codec.encode(texts[a:b])
+            for a, b in slices(texts, 4_000_000, 10_000):
+                ids, offsets = codec.encode(texts[a:b])
                 part = batch.slice(a, b - a)
-                columns, names = [*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, "ids"]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+                columns, names = [*part.columns, lists], [*part.schema.names, "ids"]
                 if check:
-                    columns.append(pa.array([codec.decode(i) for i in ids], pa.string()))
+                    columns.append(pa.array(codec.decode(ids, offsets), pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -235,9 +248,10 @@ def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches):
         codec = Codec(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([codec.decode(i or []) for i in batch["ids"].to_pylist()], pa.string())],
-                [*batch.schema.names, "text"])
+            lists = [i or [] for i in batch["ids"].to_pylist()]
+            offsets = np.concatenate(([0], np.cumsum([len(i) for i in lists]))).astype(np.int64)
+            texts = codec.decode(np.array([x for i in lists for x in i], np.int64), offsets)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
     return tokens.mapInArrow(run, f"{schema}, text string")

@@ -35,6 +35,21 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out, dtype=np.uint64)
 
 
+def hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit polynomial hash of the bytes between each start and end, finished with a mixer."""
+    out = np.empty(len(starts), np.uint64)
+    step = 1 << 20  # at a time, so that the byte-wide 64-bit arrays stay small
+    for a in range(0, len(out), step):
+        s, e = starts[a:a + step], ends[a:a + step]
+        low = s.min()
+        part = raw[low:e.max()]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_CODES[part] * _powers(_BASE, len(part)), out=sums[1:])
+        inverse = _powers(_BASE_INVERSE, len(part) + 1)
+        out[a:a + step] = mix64((sums[e - low] - sums[s - low]) * inverse[s - low] + (e - s).astype(np.uint64))
+    return out
+
+
 class Words:
     """``raw``: lower-cased bytes of all texts; word i is ``raw[start[i]:end[i]]`` and belongs to ``text[i]``;
     the words of text t are ``first[t]`` to ``first[t + 1]``."""
@@ -52,19 +67,8 @@ class Words:
         self.text = np.repeat(np.arange(len(data)), self.n)
 
     def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """64-bit polynomial hash of every word's bytes, finished with a mixer; or of other limits inside the words."""
-        starts, ends = self.start if start is None else start, self.end if end is None else end
-        out = np.empty(len(starts), np.uint64)
-        step = 1 << 20  # words at a time, so that the byte-wide 64-bit arrays stay small
-        for a in range(0, len(out), step):
-            s, e = starts[a:a + step], ends[a:a + step]
-            low = s.min()
-            part = self.raw[low:e.max()]
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_CODES[part] * _powers(_BASE, len(part)), out=sums[1:])
-            inverse = _powers(_BASE_INVERSE, len(part) + 1)
-            out[a:a + step] = mix64((sums[e - low] - sums[s - low]) * inverse[s - low] + (e - s).astype(np.uint64))
-        return out
+        """64-bit hashes of all words, or of other limits inside them."""
+        return hashed(self.raw, self.start if start is None else start, self.end if end is None else end)
 
     def word(self, i: int) -> bytes:
         return self.raw[self.start[i]:self.end[i]].tobytes()
