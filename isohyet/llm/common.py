@@ -41,12 +41,12 @@ def once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def slices(texts, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` characters together, so that working arrays stay small; one text at least."""
+def slices(texts, limit: int = 2_000_000, rows: int = 1000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``limit`` characters and at most ``rows`` texts, so that working arrays stay small."""
     a = size = 0
     for i, text in enumerate(texts):
         size += len(text) if text is not None else 0
-        if size >= limit:
+        if size >= limit or i + 1 - a == rows:
             yield a, i + 1
             a, size = i + 1, 0
     if a < len(texts):
