@@ -84,7 +84,16 @@ class Counts:
         sums = words.agg(F.sum("n"), F.count("*")).first()
         self.tokens, self.distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
         self.ends = ends
-        near = words.orderBy(F.desc("n"), "word").limit(NEAR).toPandas()  # NEAR rows
+        # Classes of counts tell from which count on there are at most NEAR words; only these are fetched.
+        level = F.floor(F.log("n") * 256)
+        least, rows = None, 0
+        for r in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some thousand rows
+            rows += r["count"]
+            if rows > NEAR:
+                break
+            least = r["level"]
+        near = words.filter(level >= least if least is not None else F.lit(False)).toPandas()
+        near = near.sort_values(["n", "word"], ascending=[False, True])
         self.near, order = np.unique(near["word"].to_numpy(np.int64).view(np.uint64), return_index=True)
         n = near["n"].to_numpy(np.int64)
         self.near_n = n[order]
@@ -235,7 +244,7 @@ def _scorer(model: Model):
         class_log = np.log10(counts.class_n + counts.class_v + 1)
         for batch in batches:
             texts = batch["text"].to_pylist()
-            for a, b in slices(texts, 2_000_000):
+            for a, b in slices(texts):
                 words = Words(texts[a:b])
                 symbol, tails, count = counts.symbols(words)
                 target, one, two = sequence(words, symbol)
