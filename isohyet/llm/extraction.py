@@ -5,7 +5,7 @@ Nodes are block elements and runs of inline text.  Features: tag, how often word
 of the page.  A node's label says whether it holds main text or lies in it.  The trees learn from layouts made by rule
 (``layouts``: containers named as sites commonly name them, in random arrangement, with known labels) and from a
 bounded sample of the pages at hand that mark their article themselves (``SAMPLE`` pages with exactly one article or
-main element, chosen by a hash of page_id).
+main element, chosen by a hash).
 
 Decoding chooses the most likely labels under the rules that everything inside an outside node is outside and that a
 node in the main text holds nothing but main text and, at a price, outside nodes; one pass goes from the leaves up and
@@ -248,9 +248,10 @@ class Model:
 
 def fit(pages: DataFrame) -> Model:
     """Learns from the layouts and from up to SAMPLE of the pages (of up to 100,000 characters)."""
-    chosen = (pages.select("html", F.xxhash64("page_id").alias("key")).filter("html is not null and length(html) <= 100000")
-              .orderBy("key", F.xxhash64("html")).limit(SAMPLE))
-    return Model([r["html"] for r in chosen.collect()])
+    usable = pages.filter("html is not null and length(html) <= 100000").select(F.xxhash64("page_id", "html").alias("key"), "html")
+    keys = [r["key"] for r in usable.select("key").distinct().orderBy("key").limit(SAMPLE).collect()]
+    chosen = usable.filter(F.col("key") <= max(keys)).dropDuplicates(["key"]).orderBy("key").collect() if keys else []
+    return Model([r["html"] for r in chosen])
 
 
 # --- reading pages --------------------------------------------------------------------------------------------------
