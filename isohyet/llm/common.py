@@ -41,6 +41,16 @@ def once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def shielded(documents: DataFrame, *names: str) -> DataFrame:
+    """All columns but ``names`` under names that nothing else uses."""
+    return documents.select(*(F.col(f"`{c}`") if c in names else F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(documents.columns)))
+
+
+def unshielded(rows: DataFrame, documents: DataFrame, *names: str) -> DataFrame:
+    """The columns of ``documents`` again."""
+    return rows.select(*(F.col(f"`{c}`") if c in names else F.col(f"__c{i}").alias(c) for i, c in enumerate(documents.columns)))
+
+
 def slices(texts, limit: int = 2_000_000, rows: int = 1000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` characters and at most ``rows`` texts, so that working arrays stay small."""
     a = size = 0

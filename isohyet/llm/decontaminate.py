@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import slices, stored
+from isohyet.llm.common import shielded, slices, stored, unshielded
 from isohyet.llm.words import PUNCTUATION, Words
 
 WINDOW = 13
@@ -153,19 +153,21 @@ def _rows(benchmark: DataFrame) -> list[tuple]:
     return [(r["item_id"], r["text"]) for r in benchmark.collect()]  # one block: at most BLOCK characters or one item
 
 
-def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` with ``n_words``, ``hits`` (places of hit words) and ``items`` (ids of items with occurring windows)."""
+def hits(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``documents`` with ``n_words``, ``hits`` (places of hit words) and ``items`` (ids of items with occurring windows);
+    columns of these names are replaced."""
+    documents = documents.drop("n_words", "hits", "items")
     items = benchmark.select("item_id", "text").filter("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
-    blocks = int(-(-size // BLOCK)) or 1
+    blocks = int(-(-size // block)) or 1
     if blocks == 1:
         return _searched(documents, _rows(items))
     # Each block adds its hits by row key; equal keys are equal texts, so repeated rows need no place of their own.
     named = documents.withColumn("__key", F.xxhash64("text"))
     texts = stored(named.select("__key", "text").dropDuplicates(["__key"]), "texts")
     total = None
-    for block in range(blocks):
-        part = _rows(items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block))
+    for i in range(blocks):
+        part = _rows(items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i))
         found = _searched(texts, part).drop("text")
         total = stored(found if total is None else found.unionByName(total).groupBy("__key").agg(
             F.max("n_words").alias("n_words"),
@@ -181,6 +183,5 @@ def judged(found: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated."""
-    plain = documents.select(*(F.col(c).alias(f"__c{i}") if c != "text" else F.col(c) for i, c in enumerate(documents.columns)))
-    kept = judged(hits(plain, benchmark)).filter(~F.col("contaminated"))
-    return kept.select(*(F.col(f"__c{i}").alias(c) if c != "text" else F.col(c) for i, c in enumerate(documents.columns)))
+    kept = judged(hits(shielded(documents, "text"), benchmark)).filter(~F.col("contaminated"))
+    return unshielded(kept, documents, "text")

@@ -103,7 +103,9 @@ def _predictor(known: dict[str, list[int]]):
 
 
 def predict(documents: DataFrame, known: dict[str, list[int]]) -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score`` (1: its n-grams have the same ranks; 0: none is in the profile)."""
+    """``documents`` with ``lang_pred`` and ``score`` (1: its n-grams have the same ranks; 0: none is in the profile);
+    columns of these names are replaced."""
+    documents = documents.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     return documents.mapInArrow(_predictor(known), f"{schema}, lang_pred string, score double")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import slices
+from isohyet.llm.common import shielded, slices, unshielded
 from isohyet.llm.words import Words, mix64
 
 SAMPLE, BINS, LATENT, K = 1500, 512, 32, 15
@@ -133,7 +133,8 @@ def _scorer(model: Model):
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with ``score`` and ``predicted``."""
+    """``documents`` with ``score`` and ``predicted``; columns of these names are replaced."""
+    documents = documents.drop("score", "predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     scored = documents.mapInArrow(_scorer(model), f"{schema}, score double")
     return scored.withColumn("predicted", (F.col("score") >= LIMIT).cast("int"))
@@ -141,6 +142,5 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject."""
-    plain = documents.select(*(F.col(c).alias(f"__c{i}") if c != "text" else F.col(c) for i, c in enumerate(documents.columns)))
-    kept = score(plain, fit(documents, labels)).filter("predicted = 1")
-    return kept.select(*(F.col(f"__c{i}").alias(c) if c != "text" else F.col(c) for i, c in enumerate(documents.columns)))
+    kept = score(shielded(documents, "text"), fit(documents, labels)).filter("predicted = 1")
+    return unshielded(kept, documents, "text")

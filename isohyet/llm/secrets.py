@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import once
+from isohyet.llm.common import once, shielded, unshielded
 
 # Kinds in the order of report, pattern, group that is measured, least length.  The last two patterns take
 # whole runs of their symbols, so asking for the length inside the pattern finds the same spans as dropping short runs.
@@ -159,7 +159,8 @@ def ordinary_limits(documents: DataFrame) -> dict[tuple[str, int], int]:
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``spans``: kind, start and end of every secret, by start and then by kind."""
+    """``documents`` with ``base_spans`` and ``spans``: kind, start and end of every secret, by start and then by kind;
+    columns of these names are replaced."""
     limits = ordinary_limits(documents)
     rows = documents.withColumn("__text", F.coalesce("text", F.lit("")))
     for kind, pattern, group, least in PATTERNS:
@@ -192,7 +193,7 @@ def joined(spans: str) -> Column:
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with every secret replaced by a mark; overlapping spans become one; n_chars follows if it is there."""
-    rows = scan(documents)
+    rows = scan(shielded(documents, "text", "n_chars"))
 
     def step(s, x):
         fresh = x["start"] >= s["at"]
@@ -206,4 +207,4 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     if "n_chars" in documents.columns:
         rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(
             documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*documents.columns)
+    return unshielded(rows, documents, "text", "n_chars")

@@ -236,13 +236,15 @@ def _kernel(model: dict, check: bool):
 
 
 def encode(documents: DataFrame, path: str = MODEL, decoded: bool = False) -> DataFrame:
-    """``documents`` with ``ids``, and on request with ``decoded``, the text made from them again."""
+    """``documents`` with ``ids``, and on request with ``decoded``, the text made from them again; columns of these names are replaced."""
+    documents = documents.drop("ids", "decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     return documents.mapInArrow(_kernel(read_model(path), decoded), f"{schema}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
-    """``tokens`` with ``text`` made from ``ids``."""
+    """``tokens`` with ``text`` made from ``ids``; a column of this name is replaced."""
+    tokens = tokens.drop("text")
     model = read_model(path)
 
     def run(batches):

@@ -235,7 +235,8 @@ def _scorer(model: Model):
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with ``score``, ``evidence`` (doc_ids of the nearest examples) and ``predicted``."""
+    """``documents`` with ``score``, ``evidence`` (doc_ids of the nearest examples) and ``predicted``; columns of these names are replaced."""
+    documents = documents.drop("score", "evidence", "predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     scored = documents.mapInArrow(_scorer(model), f"{schema}, score double, evidence array<long>")
     return scored.withColumn("predicted", (F.col("score") >= LIMIT).cast("int"))
