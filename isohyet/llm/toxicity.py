@@ -10,7 +10,8 @@ sample, each example voted on without itself and weighted so that the classes ha
 ``evidence`` lists the nearest examples.
 
 Defined cases: a text without any of the terms (null and empty ones too) has no neighbour and the vote 0, which is
-calibrated like other votes.  Without labels of both classes every score is the share of label 1 (0.5 without labels).
+calibrated like other votes.  Without labels of both classes, or without a term that
+depends on the label, every score is the share of label 1 (0.5 without labels).
 Equal cosines go by the order of the index.  Repeated rows and other columns make no difference.
 """
 
@@ -168,7 +169,7 @@ class Model:
         self.terms = terms
         self.share = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
         labels = np.array([r["label"] for r in rows], np.int64)
-        self.ready = len(set(labels.tolist())) == 2
+        self.ready = len(set(labels.tolist())) == 2 and len(terms) > 0
         if not self.ready:
             return
         counts = [(np.array(r["places"], np.int64), np.array(r["counts"], np.int64)) for r in rows]
