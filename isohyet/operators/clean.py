@@ -15,11 +15,19 @@ def lookup(key: Column, table: dict) -> Column:
     return F.try_element_at(F.create_map(*entries), key)
 
 
+def _alias_table() -> dict[str, str]:
+    return {a: std for std, names in model.VARIABLE_ALIASES.items() for a in names}
+
+
+def canonical_name(name: str) -> str:
+    """``canonical_variable`` of a name known when the job is planned."""
+    return _alias_table().get(name.lower(), name)
+
+
 def canonical_variable(name) -> Column:
     """Case-insensitive alias -> canonical name; an unknown name is returned unchanged."""
     name = F.col(name) if isinstance(name, str) else name
-    aliases = {a: std for std, names in model.VARIABLE_ALIASES.items() for a in names}
-    return F.coalesce(lookup(F.lower(name), aliases), name)
+    return F.coalesce(lookup(F.lower(name), _alias_table()), name)
 
 
 def normalise_variables(obs: DataFrame) -> DataFrame:
@@ -58,10 +66,8 @@ def temperature_celsius(value: Column, units: Column) -> Column:
 
 
 def kelvin_to_celsius(value: Column, units: Column) -> Column:
-    """Convert when the unit is Kelvin and leave every other unit (days, %, mm, C) alone."""
-    key = F.lower(F.trim(units))
-    kelvin = [u for u, offset in model.TEMPERATURE_UNITS.items() if offset]
-    return F.when(key.isin(kelvin), value - 273.15).otherwise(value)
+    """Shift by the offset of a temperature unit; values in any other unit have none and stay."""
+    return value + F.coalesce(lookup(F.lower(F.trim(units)), model.TEMPERATURE_UNITS), F.lit(0.0))
 
 
 def convert_units(obs: DataFrame) -> DataFrame:
@@ -84,6 +90,10 @@ def convert_units(obs: DataFrame) -> DataFrame:
 AUXILIARY = ["time_bnds", "lat_bnds", "lon_bnds", "height", "crs"]
 
 
+def is_auxiliary(name: str) -> bool:
+    return "bnds" in name or "bounds" in name or name in AUXILIARY
+
+
 def drop_bounds_variables(obs: DataFrame) -> DataFrame:
     name = F.col("variable")
     return obs.filter(~name.contains("bnds") & ~name.contains("bounds") & ~name.isin(AUXILIARY))

@@ -9,20 +9,50 @@ POINT = ["variable", "cell_id", "lat", "lon", "date"]
 
 
 def infer_step(obs: DataFrame) -> str:
-    """``'MS'`` when the distinct dates are typically a month apart, else ``'D'``.  One row to the driver."""
+    """The spacing of the distinct dates: ``'D'``, ``'5D'``, ``'MS'`` (a month, on any day), ``'YS'`` (a year).
+
+    The smallest spacing counts, as gaps only widen it; two dates alone are taken for days.  Dates that do not lie on such a calendar fail, and so
+    does a spacing that cannot be told from a single date.  One row to the driver.
+    """
     dates = obs.select("date").distinct()
-    within_year = Window.partitionBy(F.year("date")).orderBy("date")
-    step = F.datediff("date", F.lag("date").over(within_year))
-    median = dates.select(step.alias("step")).agg(F.percentile("step", 0.5)).first()[0]
-    return "MS" if median is not None and 28 <= median <= 31 else "D"
+    inside = Window.partitionBy(F.year("date")).orderBy("date")  # a calendar year holds few dates
+    steps = dates.select("date", F.datediff("date", F.lag("date").over(inside)).alias("step"))
+    years = dates.groupBy(F.year("date").alias("year")).agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    over_years = Window.orderBy("year")  # one row a year
+    borders = years.select(F.datediff("first", F.lag("last").over(over_years)).alias("step"))
+    least = steps.select("step").unionByName(borders).agg(F.min("step"), F.count("step")).first()
+    least, known = least
+    if least is None:
+        raise ValueError("a single date has no spacing; state the step")
+    if least == 1 or known < 2:
+        return "D"
+    if 28 <= least <= 31:
+        step = "MS"
+    elif least in (365, 366):
+        step = "YS"
+    else:
+        step = f"{least}D"
+    bounds = dates.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    calendar = bounds.select(F.explode(F.sequence("first", "last", interval(step))).alias("date"))
+    if not dates.join(calendar, "date", "left_anti").isEmpty():
+        raise ValueError(f"the dates do not follow a step of {step}; state the step")
+    return step
+
+
+def interval(step: str) -> Column:
+    """``'D'``, ``'5D'``, ``'MS'`` or ``'YS'`` as a calendar interval."""
+    if step in ("MS", "YS"):
+        return F.expr("interval 1 month" if step == "MS" else "interval 1 year")
+    if step.endswith("D") and (step[:-1] or "1").isdigit():
+        return F.expr(f"interval {int(step[:-1] or 1)} day")
+    raise ValueError(f"unknown step '{step}'")
 
 
 def calendar_rows(obs: DataFrame, step: str) -> DataFrame:
     """A row without a value for every step between the first and the last date, per variable and cell."""
     bounds = obs.agg(F.struct(F.min("date").alias("first"), F.max("date").alias("last"))).scalar()
-    interval = F.expr("interval 1 month" if step == "MS" else "interval 1 day")
     cells = obs.select("variable", "cell_id", "lat", "lon").distinct().withColumn("b", bounds)
-    days = F.sequence(F.col("b.first"), F.col("b.last"), interval)
+    days = F.sequence(F.col("b.first"), F.col("b.last"), interval(step))
     return cells.select("variable", "cell_id", "lat", "lon", F.explode(days).alias("date"))
 
 
@@ -30,8 +60,8 @@ def merge(obs: DataFrame, fill: bool = True, step: str | None = None) -> DataFra
     """Union of all files: one row per variable, cell and date.
 
     Where files overlap, the row of the first file (in name order) is kept, whatever its value.  With
-    ``fill`` the calendar between the first and the last date is completed; ``step`` is ``'D'`` or
-    ``'MS'`` and is inferred when not given.  Choosing and completing are one aggregation, so copies are
+    ``fill`` the calendar between the first and the last date is completed; ``step`` is ``'D'``,
+    ``'5D'`` (any number of days), ``'MS'`` or ``'YS'`` and is inferred when not given.  Choosing and completing are one aggregation, so copies are
     reduced before the shuffle and no key ever holds more than one row per file after it.
     """
     rows = obs.select(*POINT, "value", "src", F.lit(0).alias("filler"))

@@ -12,9 +12,13 @@ from isohyet.operators.grid import neighbours, spacing
 IRREGULAR = 1e-3
 
 
+NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+DEGREES = r"(?:°|deg|degs|degree|degrees|degree_north|degree_east|degrees_north|degrees_east)"
+
+
 def number_in(text) -> Column:
-    """The first number in a text such as "0.25 degrees"; null without one."""
-    found = F.regexp_extract(text, r"([-+]?\d*\.\d+|\d+)", 1)
+    """A number of degrees such as "0.25", "0.25 degrees" or "2.5e-1°"; null for other units and for no number."""
+    found = F.regexp_extract(F.trim(F.lower(text)), rf"^({NUMBER})\s*{DEGREES}?$", 1)
     return F.when(found != "", F.abs(found.cast("double")))
 
 

@@ -37,7 +37,7 @@ def check_inputs(obs: DataFrame, by_variable: dict[str, list[str]], windows: lis
     needed += [(f"SPI{w}", "pr") for w in windows] + [(v, v) for v in raw]
     for index, variable in needed:
         if variable not in present:
-            raise ValueError(f"Index {index} requires missing variable '{variable}'")
+            raise ValueError(f"{index} needs '{variable}', which the data lack")
 
 
 def raw_values(obs: DataFrame, variable: str, freq: str) -> DataFrame:

@@ -1,57 +1,64 @@
 """Mann-Kendall test and Sen slope of yearly (or monthly) series.
 
 A series is one value per period, so it is packed into one array per key - bounded by the number of
-periods - and tested inside an expression.  Pairs of periods never become rows.
+periods - and tested by a vectorised function.  Pairs of periods never become rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from isohyet.functions.barrier import computed_once
 from isohyet.functions.calendar import period_number
-from isohyet.functions.quantiles import median_of_sorted
 from isohyet.functions.special import normal_two_sided
 
+# The function below travels to the executors by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ENOUGH = 0.7
 DECADE = {"YS": 10, "MS": 120}
 
 
-def _later(points: Column, i: Column) -> Column:
-    return F.slice(points, i + 2, F.size(points))
-
-
-def mann_kendall_score(points: Column) -> Column:
-    """Sum of the signs of all later-minus-earlier differences."""
-    per_point = F.transform(
-        points,
-        lambda p, i: F.aggregate(
-            _later(points, i), F.lit(0.0), lambda acc, q: acc + F.signum(q["value"] - p["value"])
-        ),
-    )
-    return F.aggregate(per_point, F.lit(0.0), lambda acc, s: acc + s)
-
-
-def tie_term(points: Column) -> Column:
-    """Sum of t (t - 1) (2t + 5) over groups of t equal values."""
-    # Adding zero makes -0.0 and 0.0 one value.
-    values = F.transform(points, lambda p: p["value"] + 0.0)
-
-    def group(v):
-        t = F.size(F.filter(values, lambda w: w == v)).cast("double")
-        return t * (t - 1.0) * (2.0 * t + 5.0)
-
-    return F.aggregate(F.transform(F.array_distinct(values), group), F.lit(0.0), lambda acc, g: acc + g)
-
-
-def sen_slopes(points: Column) -> Column:
-    """The slopes between all pairs, per step of ``pos``, ascending."""
-    slopes = F.flatten(F.transform(
-        points,
-        lambda p, i: F.transform(_later(points, i), lambda q: (q["value"] - p["value"]) / (q["pos"] - p["pos"])),
-    ))
-    return F.sort_array(slopes)
+STATISTICS = StructType([StructField(name, DoubleType()) for name in ("n", "s", "ties", "median")])
+PAIRS = 1 << 22  # differences held at a time
+
+
+def _series_statistics(pos: np.ndarray, value: np.ndarray) -> tuple[float, float, float, float]:
+    """Length, sum of signs of all later-minus-earlier differences, tie term, median of all slopes."""
+    n = len(value)
+    value = value + 0.0  # -0.0 and 0.0 are one value
+    _, t = np.unique(value, return_counts=True)
+    ties = float((t * (t - 1.0) * (2.0 * t + 5.0)).sum())
+    signs, slopes = 0.0, []
+    rows = max(1, PAIRS // n)
+    for a in range(0, n - 1, rows):
+        i = np.arange(a, min(a + rows, n - 1))
+        later = np.arange(n)[None, :] > i[:, None]
+        difference = (value[None, :] - value[i, None])[later]
+        signs += float(np.sign(difference).sum())
+        slopes.append(difference / (pos[None, :] - pos[i, None])[later])
+    slopes = np.concatenate(slopes)
+    half = len(slopes) // 2
+    if len(slopes) % 2:
+        median = np.partition(slopes, half)[half]
+    else:
+        low, high = np.partition(slopes, [half - 1, half])[half - 1:half + 1]
+        median = low + (high - low) / 2 if low != high else low
+    return float(n), signs, ties, float(median)
+
+
+@F.pandas_udf(STATISTICS)
+def series_statistics(pos: pd.Series, value: pd.Series) -> pd.DataFrame:
+    """Statistics of packed series; the only arithmetic outside Spark's expressions, n (n - 1) / 2 differences a series."""
+    rows = [_series_statistics(np.asarray(p, np.float64), np.asarray(v, np.float64)) for p, v in zip(pos, value)]
+    return pd.DataFrame(rows, columns=["n", "s", "ties", "median"], dtype="float64")
 
 
 def trends(
@@ -73,14 +80,12 @@ def trends(
         .agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("series"))
         .withColumn("points", F.filter("series", lambda p: p["value"].isNotNull()))
         .filter((F.size("points") >= ENOUGH * F.size("series")) & (F.size("points") > 1))
-        .withColumn("slopes", sen_slopes(F.col("points")))
     )
-    points = F.col("points")
-    tested = computed_once(
-        packed, ["index", *keys],
-        n=F.size(points).cast("double"), s=mann_kendall_score(points), ties=tie_term(points),
-        median=median_of_sorted(F.col("slopes")),
+    # A function outside the expressions is evaluated once by itself.
+    statistics = series_statistics(
+        F.transform("points", lambda p: p["pos"].cast("double")), F.transform("points", lambda p: p["value"])
     )
+    tested = packed.select("index", *keys, statistics.alias("t")).select("index", *keys, "t.*")
     n, s = F.col("n"), F.col("s")
     variance = (n * (n - 1.0) * (2.0 * n + 5.0) - F.col("ties")) / 18.0
     z = F.when(s == 0, F.lit(0.0)).otherwise((s - F.signum(s)) / F.sqrt(variance))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet import model
@@ -20,6 +20,9 @@ from isohyet.sources import areas, obs as obs_source, sinks
 
 
 CELL_OUTLINES = "cell_id bigint, area string, polygon bigint, coordinates array<array<array<double>>>"
+KEYED = ", country string, layer string"
+RUN = KEYED + ", setting string"
+AREA_VALUES = "`index` string, freq string, period date, area string, value double"
 
 
 @dataclass(frozen=True)
@@ -34,11 +37,44 @@ class Workspace:
     span: tuple[int, int] | None = None
 
 
+def layer_id(area_edges: DataFrame) -> str:
+    """A name for the contents of an area layer, whatever their order.  One row to the driver."""
+    sums = area_edges.agg(F.count("*"), F.sum(F.xxhash64(*sorted(area_edges.columns)).cast("decimal(38,0)"))).first()
+    return f"{sums[0]}_{int(sums[1] or 0) % 2**64:016x}"
+
+
+def setting(work: Workspace) -> Column:
+    """What, besides country and layer, the values of ``index`` depend on: missing rule, baseline, threshold of events."""
+    baseline = work.baseline
+    years = "record" if baseline is None else f"{baseline.start_year}_{baseline.end_year}"
+    text = F.concat(F.lit(f"missing_{work.missing}"), F.when(
+        F.col("index").isin([n for n, (_, _, needs) in model.INDICES.items() if needs]), F.lit(f"_baseline_{years}")
+    ).otherwise(""))
+    is_event = F.col("index").rlike("_(Drought|Flood)_")
+    return F.concat(text, F.when(is_event, F.lit(f"_threshold_{float(work.spi_threshold)}")).otherwise(""))
+
+
+def stored_values(spark: SparkSession, out: str, work: Workspace, layer: str, selected: list[str] | None) -> DataFrame:
+    """The stored index values that belong to this country, layer, selection and settings; no others."""
+    by_variable, windows, raw = runner.plan_selection(selected)
+    names = {n for group in by_variable.values() for n in group} | set(raw) | {f"SPI{w}" for w in windows}
+    names |= {e for w in windows for e in model.event_names(f"SPI{w}")}
+    stored = _read(spark, f"{out}/index_values", model.INDEX_VALUES + RUN)
+    own = (F.col("country") == work.country) & (F.col("layer") == layer) & (F.col("setting") == setting(work))
+    return stored.filter(own & F.col("index").isin(sorted(names))).drop("country", "layer", "setting")
+
+
+def _keyed(table: DataFrame, work: Workspace, layer: str) -> DataFrame:
+    return table.withColumns({"country": F.lit(work.country), "layer": F.lit(layer)})
+
+
 def clip_and_clean(
     spark: SparkSession, paths: str | list[str], units: dict[str, str], scope: Scope = Scope(), fmt: str = "parquet"
 ) -> DataFrame:
     """Raw files -> cleaned observations within the scope.  Incompatible files fail the job."""
-    raw = obs_source.read_grid(spark, paths, units, fmt)
+    raw = obs_source.read_grid(
+        spark, paths, units, fmt, only=list(model.ALLOWED_VARIABLES), years=(scope.start_year, scope.end_year)
+    )
     verdict = merge.check_compatibility(profile.file_profile(raw)).first()
     if not verdict["ok"]:
         raise ValueError(f"files cannot be merged: {', '.join(verdict['errors'])}")
@@ -79,60 +115,76 @@ def index_run(
     table neither the clip to the areas nor the indices shuffle the observations.
 
     Written under ``out``: boundary, cell_area, cell_outlines, index_values, area_values, maps, maps_metadata, series and
-    series_metadata.
+    series_metadata.  All but the boundary are kept by country and layer, values also by their settings, and a run
+    writes and reads only its own, so runs for other countries, layers, selections or thresholds stay as they are.
     """
     observed = open_obs(spark, source, bucketed)
     by_variable, windows, raw = runner.plan_selection(work.selected)
     runner.check_inputs(observed, by_variable, windows, raw)
 
     sinks.write_boundary(area_edges, f"{out}/boundary")
-    layer = areas.with_overview(area_edges)
-    place_cells(grid.prepare(obs_source.cells_of(observed)), layer, out)
-    weights = _read(spark, f"{out}/cell_area", model.CELL_AREA)
+    layer, name = areas.with_overview(area_edges), layer_id(area_edges)
+    place_cells(grid.prepare(obs_source.cells_of(observed)), layer, out, work, name)
+    weights = _placed(spark, f"{out}/cell_area", model.CELL_AREA, work, name)
 
     clipped = spatial.clip(observed, weights, model.OVERVIEW)
     values = runner.compute_indices(
         clipped, work.selected, ("YS", "MS"), work.baseline, missing=work.missing, colocated=bucketed,
         with_events=False,
     )
-    sinks.write_index_values(values, f"{out}/index_values")
+    write_values(values, out, work, name)
     if windows:
         # Events are found in the stored SPI rather than in a second computation of it.
-        stored = _read(spark, f"{out}/index_values", model.INDEX_VALUES)
+        stored = stored_values(spark, out, work, name, [f"SPI{w}" for w in windows])
         base = stored.filter((F.col("freq") == "MS") & F.col("index").isin([f"SPI{w}" for w in windows]))
-        sinks.write_index_values(events.event_values(base, work.spi_threshold), f"{out}/index_values")
-    write_outputs(spark, layer, out, work)
+        write_values(events.event_values(base, work.spi_threshold), out, work, name)
+    write_outputs(spark, layer, out, work, name)
+
 
+def write_values(values: DataFrame, out: str, work: Workspace, layer: str) -> None:
+    keyed = _keyed(values, work, layer).withColumn("setting", setting(work))
+    sinks.write_index_values(keyed, f"{out}/index_values", "country", "layer", "setting")
 
-def place_cells(cells: Grid, layer: DataFrame, out: str) -> None:
+
+def place_cells(cells: Grid, layer: DataFrame, out: str, work: Workspace, name: str) -> None:
     """Area weights and cut outlines of the cells, once for all indices and maps."""
-    sinks.write_table(spatial.cell_area(cells, layer), f"{out}/cell_area")
-    sinks.write_table(sinks.cell_outlines(spatial.overlay(cells, layer)), f"{out}/cell_outlines")
+    sinks.write_table(_keyed(spatial.cell_area(cells, layer), work, name), f"{out}/cell_area", "country", "layer")
+    outlines = sinks.cell_outlines(spatial.overlay(cells, layer))
+    sinks.write_table(_keyed(outlines, work, name), f"{out}/cell_outlines", "country", "layer")
+
+
+def _placed(spark: SparkSession, path: str, schema: str, work: Workspace, layer: str) -> DataFrame:
+    own = (F.col("country") == work.country) & (F.col("layer") == layer)
+    return _read(spark, path, schema + KEYED).filter(own).drop("country", "layer")
 
 
-def write_outputs(spark: SparkSession, layer: DataFrame, out: str, work: Workspace) -> None:
-    """Maps and series from the stored index values and weights."""
-    values = _read(spark, f"{out}/index_values", model.INDEX_VALUES)
-    weights = _read(spark, f"{out}/cell_area", model.CELL_AREA)
-    means = spatial.area_mean(values, weights)
-    sinks.write_table(means, f"{out}/area_values", "freq", "index")
-    means = _read(spark, f"{out}/area_values", "`index` string, freq string, period date, area string, value double")
+def write_outputs(spark: SparkSession, layer: DataFrame, out: str, work: Workspace, name: str) -> None:
+    """Maps and series from this run's stored index values and weights."""
+    values = stored_values(spark, out, work, name, work.selected)
+    weights = _placed(spark, f"{out}/cell_area", model.CELL_AREA, work, name)
+    means = _keyed(spatial.area_mean(values, weights), work, name).withColumn("setting", setting(work))
+    sinks.write_table(means, f"{out}/area_values", "country", "layer", "setting", "freq", "index")
+    own = (F.col("country") == work.country) & (F.col("layer") == name) & (F.col("setting") == setting(work))
+    selected = [r[0] for r in values.select("index").distinct().collect()]  # names out of the catalogue
+    means = _read(spark, f"{out}/area_values", AREA_VALUES + RUN).filter(own & F.col("index").isin(selected))
+    means = means.drop("country", "layer", "setting")
 
-    write_maps(spark, values, means, layer, out, work)
+    write_maps(spark, values, means, layer, out, work, name)
+    country = F.lit(work.country).alias("country")
     chartable = ~F.col("index").rlike("_(Drought|Flood)_")
     yearly = means.filter(chartable & (F.col("freq") == "YS"))
     # SPI exists monthly only; its yearly series is the mean of its months.
     spi = means.filter(chartable & (F.col("freq") == "MS") & F.col("index").startswith("SPI"))
-    sinks.write_series(series.yearly_series(yearly.unionByName(spi)), f"{out}/series/annual")
+    sinks.write_series(series.yearly_series(yearly.unionByName(spi)).select("*", country), f"{out}/series/annual")
     monthly = means.filter(chartable & (F.col("freq") == "MS"))
-    sinks.write_series(series.monthly_series(monthly), f"{out}/series/seasonal")
+    sinks.write_series(series.monthly_series(monthly).select("*", country), f"{out}/series/seasonal")
     units = F.broadcast(model.catalogue(spark).select("index", "units"))  # 65 fixed rows
     methods = F.when(F.col("freq") == "YS", "annual mean").otherwise("seasonal cycle")
-    metadata = maps.span(means.filter(chartable), ("index", "freq")).join(units, "index", "left").select(
-        F.lit(work.country).alias("country"), "index", "units", methods.alias("method"), "start_date", "end_date",
+    metadata = maps.span(means.filter(chartable), ("area", "index", "freq")).join(units, "index", "left").select(
+        country, "area", "index", "freq", "units", methods.alias("method"), "start_date", "end_date",
         F.array("first_year", "last_year").alias("years"),
     )
-    sinks.write_metadata(metadata, f"{out}/series_metadata")
+    sinks.write_metadata(metadata, f"{out}/series_metadata", ["country", "area", "index", "freq"])
 
 
 def _spanned(table: DataFrame, years: DataFrame, work: Workspace) -> DataFrame:
@@ -149,7 +201,7 @@ def _spanned(table: DataFrame, years: DataFrame, work: Workspace) -> DataFrame:
 
 
 def write_maps(
-    spark: SparkSession, values: DataFrame, means: DataFrame, layer: DataFrame, out: str, work: Workspace
+    spark: SparkSession, values: DataFrame, means: DataFrame, layer: DataFrame, out: str, work: Workspace, name: str
 ) -> None:
     """Actual and trend maps of cells (cut to their area) and of areas, with a metadata sidecar."""
     first, last = work.span or (None, None)
@@ -168,7 +220,7 @@ def write_maps(
 
     cell_values, area_values = mappable(values), mappable(means)
     years = maps.span(cell_values)
-    outlines = _read(spark, f"{out}/cell_outlines", CELL_OUTLINES)
+    outlines = _placed(spark, f"{out}/cell_outlines", CELL_OUTLINES, work, name)
     country = F.lit(work.country).alias("country")
 
     def cell_map(table: DataFrame, mode: str, properties: list[str]) -> DataFrame:
@@ -195,40 +247,52 @@ def write_maps(
     sinks.write_map(reduce(DataFrame.unionByName, features), f"{out}/maps")
     units = F.broadcast(model.catalogue(spark).select("index", "units"))  # 65 fixed rows
     is_event = F.col("index").rlike("_(Drought|Flood)_")
-    metadata = years.join(units, "index", "left").select(
-        country, "index", "units", "start_date", "end_date",
-        F.array("first_year", "last_year").alias("years"), F.lit("Mann-Kendall").alias("trend_method"),
+    # One row for each map: grid maps of every area, shape maps of the whole, trends where the index allows them.
+    has_trend = model.catalogue(spark).filter("supports_trend").select(F.col("index").alias("trended"))
+    modes = years.join(F.broadcast(has_trend), F.col("index") == F.col("trended"), "left").withColumn(
+        "mode", F.explode(F.when(F.col("trended").isNull(), F.array(F.lit("actual"))).otherwise(
+            F.array(F.lit("actual"), F.lit("trend"))))).drop("trended")
+    drawn = area_values.select("index", "area").distinct().withColumn("style", F.explode(F.when(
+        F.col("area") == model.OVERVIEW, F.array(F.lit("maps_grid"), F.lit("maps_shp"))).otherwise(F.array(F.lit("maps_grid")))))
+    metadata = _spanned(modes.join(drawn, "index").join(units, "index", "left"), years, work).select(
+        country, "area", "index", "style", "mode", "span", "units", "start_date", "end_date",
+        F.array("first_year", "last_year").alias("years"),
+        F.when(F.col("mode") == "trend", F.lit("Mann-Kendall")).alias("trend_method"),
         F.when(is_event, F.lit(float(work.spi_threshold))).alias("spi_threshold"),
+        F.lit(None if work.baseline is None else f"{work.baseline.start_year}-{work.baseline.end_year}").cast("string").alias("baseline"),
     )
-    sinks.write_metadata(metadata, f"{out}/maps_metadata")
+    sinks.write_metadata(metadata, f"{out}/maps_metadata", sinks.MAP_KEYS)
 
 
 def on_demand_map(
-    spark: SparkSession, obs_path: str, area_edges: DataFrame, out: str, index: str, span: tuple[int, int],
-    work: Workspace,
+    spark: SparkSession, source: str, area_edges: DataFrame, out: str, index: str, span: tuple[int, int],
+    work: Workspace, bucketed: bool = False,
 ) -> bool:
-    """The maps of one index over a span of years; nothing is done when they are already there."""
-    threshold = work.spi_threshold if "_" in index else None
-    wanted = spark.createDataFrame(
-        [(work.country, index, sinks.span_name(*span, None if threshold is None else float(threshold)))],
-        "country string, `index` string, span string",
-    )
-    existing = _existing_maps(spark, f"{out}/maps")
-    if existing is not None and sinks.not_yet_present(wanted, existing, ["country", "index", "span"]).isEmpty():
+    """The maps of one index over a span of years; nothing is done when they are already there.
+
+    Values that an index run has stored under the same country, layer and settings are used as they are.
+    """
+    threshold = float(work.spi_threshold) if "_" in index else None
+    if _has_map(spark, out, work.country, index, sinks.span_name(*span, threshold)):
         return False
-    observed = obs_source.read_obs(spark, obs_path)
-    layer = areas.with_overview(area_edges)
-    if not (_exists(spark, f"{out}/cell_area") and _exists(spark, f"{out}/cell_outlines")):
-        place_cells(grid.prepare(obs_source.cells_of(observed)), layer, out)
-    weights = _read(spark, f"{out}/cell_area", model.CELL_AREA)
-    clipped = spatial.clip(observed, weights, model.OVERVIEW)
-    values = runner.compute_indices(
-        clipped, [index], ("YS",), work.baseline, work.spi_threshold, work.missing
-    ).filter(F.col("index") == index)
-    sinks.write_index_values(values, f"{out}/on_demand/index_values")
-    stored = _read(spark, f"{out}/on_demand/index_values", model.INDEX_VALUES).filter(F.col("index") == index)
-    means = spatial.area_mean(stored, weights)
-    write_maps(spark, stored, means, layer, out, replace(work, span=span))
+    layer, name = areas.with_overview(area_edges), layer_id(area_edges)
+    placed = sinks.folder(country=work.country, layer=name)
+    if not all(_exists(spark, f"{out}/{table}/{placed}") for table in ("cell_area", "cell_outlines")):
+        observed = open_obs(spark, source, bucketed)
+        place_cells(grid.prepare(obs_source.cells_of(observed)), layer, out, work, name)
+    weights = _placed(spark, f"{out}/cell_area", model.CELL_AREA, work, name)
+
+    def stored() -> DataFrame:
+        mine = stored_values(spark, out, work, name, [index]).filter(F.col("index") == index)
+        return mine.filter((F.col("freq") == "YS") | F.col("index").rlike(r"^SPI\d+$"))
+
+    if not _exists(spark, f"{out}/index_values") or stored().isEmpty():
+        clipped = spatial.clip(open_obs(spark, source, bucketed), weights, model.OVERVIEW)
+        values = runner.compute_indices(
+            clipped, [index], ("YS",), work.baseline, work.spi_threshold, work.missing, colocated=bucketed
+        ).filter(F.col("index") == index)
+        write_values(values, out, work, name)
+    write_maps(spark, stored(), spatial.area_mean(stored(), weights), layer, out, replace(work, span=span), name)
     return True
 
 
@@ -237,25 +301,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
-def _existing_maps(spark: SparkSession, path: str) -> DataFrame | None:
-    """Keys of the maps on disk, from the partition folders alone; None when there are none yet."""
-    if not _exists(spark, path):
-        return None
-    schema = "feature string, country string, area string, `index` string, style string, mode string, span string"
-    return spark.read.schema(schema).format("text").load(path).select("country", "index", "span")
-
-
-def preview(spark: SparkSession, obs_path: str, area_edges: DataFrame, out: str, work: Workspace) -> bool:
-    """Maps and series of the raw variables; nothing is done where the country has them."""
-    raw = list(model.ALLOWED_VARIABLES)
-    existing = _existing_maps(spark, f"{out}/maps")
-    if existing is not None:
-        here = existing.filter((F.col("country") == work.country) & F.col("index").isin(raw))
-        if not here.isEmpty():
-            return False
-    observed = obs_source.read_obs(spark, obs_path)
-    present = {r[0] for r in observed.select("variable").distinct().collect()}
-    index_run(spark, obs_path, area_edges, out, replace(work, selected=[v for v in raw if v in present]))
+def _has_map(spark: SparkSession, out: str, country: str, index: str, span: str) -> bool:
+    """Whether the country's overview has the actual grid map; one folder is looked at, no map is read."""
+    keys = {"country": country, "area": model.OVERVIEW, "index": index, "style": "maps_grid", "mode": "actual", "span": span}
+    return _exists(spark, f"{out}/maps/{sinks.folder(**{k: keys[k] for k in sinks.MAP_KEYS})}")
+
+
+def preview(
+    spark: SparkSession, source: str, area_edges: DataFrame, out: str, work: Workspace, bucketed: bool = False
+) -> bool:
+    """Maps and series of the raw variables; a variable whose map of all years is there is left out."""
+    observed = open_obs(spark, source, bucketed)
+    facts = observed.groupBy("variable").agg(F.min(F.year("date")).alias("first"), F.max(F.year("date")).alias("last")).collect()
+    ends = {r["variable"]: (r["first"], r["last"]) for r in facts}  # a few variables
+    span = work.span or (min((a for a, _ in ends.values()), default=0), max((b for _, b in ends.values()), default=0))
+    lacking = [v for v in model.ALLOWED_VARIABLES if v in ends
+               and not _has_map(spark, out, work.country, v, sinks.span_name(*span))]
+    if not lacking:
+        return False
+    index_run(spark, source, area_edges, out, replace(work, selected=lacking), bucketed)
     return True
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from isohyet import model
 from isohyet.operators import clean
@@ -29,32 +30,66 @@ def _scan(spark: SparkSession, paths: list[str], fmt: str) -> DataFrame:
 
 def read_grid(
     spark: SparkSession, paths: str | list[str], units: dict[str, str], fmt: str = "parquet",
-    strict: bool = True,
+    strict: bool = True, only: list[str] | None = None, years: tuple[int | None, int | None] = (None, None),
 ) -> DataFrame:
     """Files of daily grids -> ``obs`` with canonical names and units.
 
     ``units`` states the unit of each variable, by its canonical name.  The file path becomes ``src``; when
-    files overlap, path order decides.  A CSV file must have a ``time`` column.
+    files overlap, path order decides.  A CSV file must have a ``time`` column.  ``only`` names the variables
+    to read (canonical names) and ``years`` the first and last year; both reach the scan.
     """
     paths = [paths] if isinstance(paths, str) else paths
     raw = _scan(spark, paths, fmt)
     if fmt == "csv" and "time" not in raw.columns:
         raise ValueError("a CSV grid needs a 'time' column")
     named = raw.select("*", source_file().alias("src"))
-    return to_obs(named, units, strict)
-
+    return to_obs(named, units, strict, only, years)
+
+
+def observed_columns(wide: DataFrame, only: list[str] | None = None) -> list[str]:
+    """The columns that hold observations: numbers, or text as CSV files give it, under names that are not auxiliary."""
+    types = {f.name: f.dataType for f in wide.schema}
+    found = []
+    for name, kind in types.items():
+        canonical = clean.canonical_name(name)
+        if name in (*COORDINATES, "src") or clean.is_auxiliary(name):
+            continue
+        if isinstance(kind, StringType) and canonical not in model.CANONICAL_UNITS:
+            continue
+        if isinstance(kind, (NumericType, StringType)) and (only is None or canonical in only):
+            found.append(name)
+    return found
+
+
+def _within(wide: DataFrame, years: tuple[int | None, int | None]) -> DataFrame:
+    """Rows of the wanted years, by a condition on the time column itself, so that it can be pushed to the files."""
+    first, last = years
+    if first is not None:
+        wide = wide.filter(F.col("time") >= F.lit(f"{first:04d}-01-01").cast(wide.schema["time"].dataType))
+    if last is not None:
+        wide = wide.filter(F.col("time") < F.lit(f"{last + 1:04d}-01-01").cast(wide.schema["time"].dataType))
+    return wide
+
+
+def to_obs(
+    wide: DataFrame, units: dict[str, str], strict: bool = True, only: list[str] | None = None,
+    years: tuple[int | None, int | None] = (None, None),
+) -> DataFrame:
+    """A wide table with ``src`` -> long ``obs``; auxiliary variables are never read, values are converted.
 
-def to_obs(wide: DataFrame, units: dict[str, str], strict: bool = True) -> DataFrame:
-    """A wide table with ``src`` -> long ``obs``; auxiliary variables dropped, values converted."""
-    wide = clean.standardise_coordinates(wide, strict)
-    variables = [c for c in wide.columns if c not in (*COORDINATES, "src")]
+    Texts of times are compared as texts, so they must be ISO dates.
+    """
+    wide = _within(clean.standardise_coordinates(wide, strict), years)
+    variables = observed_columns(wide, only)
+    if not variables:
+        raise ValueError("no variable to read among the columns")
     casts = [F.col(c).cast("double").alias(c) for c in variables]
     grid = wide.select(
         F.to_date("time").alias("date"), F.col("latitude").cast("double").alias("lat"),
         F.col("longitude").cast("double").alias("lon"), "src", *casts,
     )
     long = grid.unpivot(["date", "lat", "lon", "src"], variables, "variable", "value")
-    long = clean.normalise_variables(clean.drop_bounds_variables(long))
+    long = clean.normalise_variables(long)
     unit = clean.lookup(F.col("variable"), units) if units else F.lit(None).cast("string")
     long = clean.convert_units(long.withColumn("units", unit))
     return long.withColumn("cell_id", cell_id("lat", "lon")).select(

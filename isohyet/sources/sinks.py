@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from isohyet.operators.grid import Grid, outline
 from isohyet.sources.areas import as_polygons, polygons
 
+# The folders users look maps and series up in.
 MAP_KEYS = ["country", "area", "index", "style", "mode", "span"]
+SERIES_KEYS = ["country", "area", "index"]
 
 
 def balanced(table: DataFrame, *partitions: str) -> DataFrame:
@@ -55,8 +57,9 @@ def write_table(table: DataFrame, path: str, *partitions: str) -> None:
     writer.partitionBy(*partitions).parquet(path)
 
 
-def write_index_values(values: DataFrame, path: str) -> None:
-    write_table(values, path, "freq", "index")
+def write_index_values(values: DataFrame, path: str, *identity: str) -> None:
+    """Index values by what they belong to (``identity``), frequency and index."""
+    write_table(values, path, *identity, "freq", "index")
 
 
 def feature(geometry, properties: list[str]):
@@ -115,19 +118,29 @@ def write_map(features: DataFrame, path: str) -> None:
     )
 
 
-def write_metadata(metadata: DataFrame, path: str) -> None:
-    """The sidecar of maps or series: index, unit, dates, years, method, threshold."""
-    metadata.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("country").json(path)
+def write_metadata(metadata: DataFrame, path: str, keys: list[str]) -> None:
+    """The sidecar of maps or series - unit, dates, years, method, threshold - kept by the keys of what it describes."""
+    table = balanced(metadata, *keys)
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(path)
 
 
 def write_series(series: DataFrame, path: str) -> None:
-    """Chart records as JSON lines, by area and index."""
+    """Chart records as JSON lines, by country, area and index."""
     (
-        balanced(series, "area", "index").write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("area", "index").json(path)
+        balanced(series, *SERIES_KEYS).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(*SERIES_KEYS).json(path)
     )
 
 
 def not_yet_present(requested: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Requested outputs that do not exist yet."""
     return requested.join(existing.select(*keys).distinct(), keys, "left_anti")
+
+
+# Characters that Spark writes as %XX in the names of partition folders.
+ESCAPED = set('"#%\'*/:=?\\{[]^\x7f') | {chr(i) for i in range(1, 32)}
+
+
+def folder(**values: str) -> str:
+    """The path of one partition below its table."""
+    return "/".join(f"{k}=" + "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in v) for k, v in values.items())

@@ -74,6 +74,37 @@ def gap_fill(spark, sf_dir):
     return merged.select("variable", "cell_id", "date", "value")
 
 
+def _stepped(spark, sf_dir: str, month: str, day: int, dropped: str) -> DataFrame:
+    """The highest reading of each period at one date in it, with periods left out by a rule."""
+    year = F.year("date")
+    readings = cube.obs(spark, sf_dir).filter("variable = 'tmax'").withColumn("at", F.make_date(year, F.expr(month), F.lit(day)))
+    periods = readings.groupBy("variable", "cell_id", "lat", "lon", "at").agg(F.max("value").alias("value"))
+    return periods.withColumnRenamed("at", "date").filter(dropped).withColumn("src", F.lit("a"))
+
+
+def _stepped_sql(unit: str, at: str, dropped: str) -> str:
+    return with_cube(f"""
+WITH periods AS (
+  SELECT cell_id, {at} AS date, max(tmax) AS value FROM wide GROUP BY ALL),
+held AS (SELECT * FROM periods WHERE {dropped}),
+span AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 {unit})) AS DATE) AS date FROM held)
+SELECT 'tmax' AS variable, c.cell_id, s.date, h.value
+FROM (SELECT DISTINCT cell_id FROM held) c CROSS JOIN span s LEFT JOIN held h ON h.cell_id = c.cell_id AND h.date = s.date""")
+
+
+@register("gap_fill_monthly", _stepped_sql(
+    "MONTH", "make_date(year(date), month(date), 15)", "(year(date) * 12 + month(date) + cell_id) % 5 <> 0 AND month(date) <> 9"))
+def gap_fill_monthly(spark, sf_dir):
+    held = _stepped(spark, sf_dir, "month(date)", 15, "(year(date) * 12 + month(date) + cell_id) % 5 <> 0 and month(date) <> 9")
+    return merge.merge(held).select("variable", "cell_id", "date", "value")
+
+
+@register("gap_fill_yearly", _stepped_sql("YEAR", "make_date(year(date), 7, 1)", "(year(date) + cell_id) % 4 <> 0 AND year(date) <> 1998"))
+def gap_fill_yearly(spark, sf_dir):
+    held = _stepped(spark, sf_dir, "7", 1, "(year(date) + cell_id) % 4 <> 0 and year(date) <> 1998")
+    return merge.merge(held).select("variable", "cell_id", "date", "value")
+
+
 @register(
     "merge_mixed",
     with_cube(f"""

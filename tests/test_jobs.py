@@ -10,6 +10,7 @@ from isohyet.model import Baseline, Scope
 from isohyet.operators import runner, spatial
 from isohyet.plans import jobs
 from isohyet.sources import areas, obs
+from conftest import explain
 from isohyet.streaming.ingest import ingest_new_files
 
 UNITS = {"pr": "mm/s", "tmax": "K", "tmin": "K"}
@@ -200,6 +201,53 @@ def test_on_demand_map_is_made_once(spark, merged, run):
     assert jobs.on_demand_map(spark, merged, edges, out, "SPI3_Flood_Peak", (2000, 2001), work)
 
 
+def test_metadata_survives_an_on_demand_map(spark, run):
+    out, _, _ = run
+    meta = spark.read.json(f"{out}/maps_metadata").filter("`index` = 'TXx' and area = 'overview' and mode = 'actual'")
+    assert {r.span for r in meta.collect()} == {"2000_2003", "2001_2003"}
+    assert spark.read.json(f"{out}/maps_metadata").filter("`index` = 'PRCPTOT'").count() > 0
+
+
+def test_runs_do_not_touch_each_other(spark, merged, files):
+    """Another threshold, another selection and another layer leave what is stored as it is."""
+    out = str(files / "several")
+    edges = areas.read_areas(spark, str(files / "layer.geojson"), "name")
+    first = jobs.Workspace("Testland", ["SPI3"], spi_threshold=1.0)
+    jobs.index_run(spark, merged, edges.filter("area <> 'far'"), out, first)
+
+    def durations(span):
+        features = read_features(spark, out)
+        found = [f[5]["properties"] for f in features if f[1] == "SPI3_Flood_Duration" and f[4] == span and f[3] == "actual" and f[2] == "maps_grid"]
+        return sorted(str(p) for p in found)
+
+    before = durations("2000_2003_1.0")
+    jobs.index_run(spark, merged, edges.filter("area = 'west'"), out, jobs.Workspace("Westland", ["CDD", "SPI3"], spi_threshold=0.5))
+    assert before and durations("2000_2003_1.0") == before
+    low = durations("2000_2003_0.5")
+    fresh = str(files / "fresh")
+    jobs.index_run(spark, merged, edges.filter("area = 'west'"), fresh, jobs.Workspace("Westland", ["SPI3"], spi_threshold=0.5))
+    alone = [f[5]["properties"] for f in read_features(spark, fresh) if f[1] == "SPI3_Flood_Duration" and f[3] == "actual" and f[2] == "maps_grid"]
+    assert low == sorted(str(p) for p in alone)
+    areas_of = lambda country: {r.area for r in spark.read.json(f"{out}/series/annual").filter(F.col("country") == country).select("area").distinct().collect()}
+    assert areas_of("Testland") == {"west", "east", "overview"} and areas_of("Westland") == {"overview"}
+    # A map on demand for the second country uses its own layer.
+    assert jobs.on_demand_map(spark, merged, edges.filter("area = 'west'"), out, "CDD", (2001, 2002), jobs.Workspace("Westland"))
+    maps = spark.read.text(f"{out}/maps").filter("country = 'Westland' and `index` = 'CDD'")
+    assert {r.area for r in maps.select("area").distinct().collect()} == {"overview"}
+
+
+def test_reader_leaves_auxiliary_columns_alone(spark, tmp_path):
+    path = str(tmp_path / "odd")
+    table = raw(spark, "2000-01-01", "2001-12-31").select(
+        "*", F.lit("EPSG:4326").alias("crs"), F.array(F.lit(1.0), F.lit(2.0)).alias("time_bnds"), F.lit(3.0).alias("wind"))
+    table.write.parquet(path)
+    read = obs.read_grid(spark, path, UNITS, only=["pr", "tmax"], years=(2001, 2001))
+    assert read.count() == 2 * 6 * 365
+    schema = [line for line in explain(read).splitlines() if "ReadSchema" in line]
+    assert schema and all(name not in line for line in schema for name in ("height", "wind", "crs", "time_bnds", "TASMIN"))
+    assert any("GreaterThanOrEqual(valid_time,2001" in line for line in explain(read).splitlines() if "PushedFilters" in line)
+
+
 def test_preview(spark, merged, files):
     out = str(files / "preview")
     edges = areas.read_areas(spark, str(files / "layer.geojson"), "name").filter("area = 'west'")
@@ -214,7 +262,7 @@ def test_preview(spark, merged, files):
 def test_runner_names_the_index_that_lacks_its_variable(spark, merged):
     table = obs.read_obs(spark, merged).filter("variable = 'pr'")
     by_variable, windows, raw_names = runner.plan_selection(["CDD", "TXx"])
-    with pytest.raises(ValueError, match="TXx requires"):
+    with pytest.raises(ValueError, match="TXx needs"):
         runner.check_inputs(table, by_variable, windows, raw_names)
     with pytest.raises(ValueError, match="no known index"):
         runner.compute_indices(table, ["SPI7", "nothing"])

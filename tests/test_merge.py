@@ -132,7 +132,7 @@ def test_resolution(spark):
 
 def test_number_in_text(spark):
     texts = spark.createDataFrame([("0.25 degrees",), ("10 km",), ("-.5",), ("fine",), (None,)], "t string")
-    assert [r[0] for r in texts.select(profile.number_in(F.col("t"))).collect()] == [0.25, 10.0, 0.5, None, None]
+    assert [r[0] for r in texts.select(profile.number_in(F.col("t"))).collect()] == [0.25, None, 0.5, None, None]
 
 
 def test_profile_of_an_uneven_grid(spark):
@@ -155,3 +155,30 @@ def test_variable_files(spark):
     obs = table(spark, file("a", "pr", ["2020-01-01"]), file("b", "pr", ["2020-01-01"]), file("b", "tmax", ["2020-01-01"]))
     assert {tuple(r) for r in merge.variable_files(obs).collect()} == {("pr", "a"), ("pr", "b"), ("tmax", "b")}
     assert {r.src: r.variables for r in merge.file_variables(obs).collect()} == {"a": ["pr"], "b": ["pr", "tmax"]}
+
+
+@pytest.mark.parametrize("step, expected, first, rows", [
+    ("interval 1 year", "YS", "2000-07-01", 10), ("interval 5 day", "5D", "2000-02-20", 20), ("interval 1 month", "MS", "2000-01-15", 12),
+    ("interval 1 month", "MS", "2000-01-31", 14), ("interval 1 day", "D", "1999-12-20", 30)])
+def test_steps_are_inferred_and_filled(spark, step, expected, first, rows):
+    dates = spark.range(1).select(F.explode(F.expr(f"sequence(date'{first}', date'{first}' + {rows - 1} * {step}, {step})")).alias("date"))
+    table = dates.select(F.lit("pr").alias("variable"), F.lit(1).cast("long").alias("cell_id"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"),
+                         "date", F.lit(1.0).alias("value"), F.lit("a").alias("src"))
+    gap = table.orderBy("date").offset(3).limit(1)
+    holed = table.join(gap.select("date"), "date", "left_anti")
+    assert merge.infer_step(holed) == expected
+    filled = merge.merge(holed)
+    assert filled.count() == rows and filled.filter("value is null").count() == 1
+
+
+def test_steps_that_cannot_be_told(spark):
+    from datetime import date
+
+    def table(*days):
+        return spark.createDataFrame([("pr", 1, 1.0, 2.0, d, 1.0, "a") for d in days],
+                                     "variable string, cell_id long, lat double, lon double, date date, value double, src string")
+
+    with pytest.raises(ValueError, match="single date"):
+        merge.infer_step(table(date(2000, 1, 1)))
+    with pytest.raises(ValueError, match="do not follow"):
+        merge.infer_step(table(date(2000, 1, 1), date(2000, 1, 6), date(2000, 1, 13)))
