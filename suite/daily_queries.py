@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from isohyet.model import INDICES, Baseline
 from isohyet.operators import daily, thresholds
 from suite import cube
@@ -87,10 +90,25 @@ def series_sql(variable: str) -> str:
     return f"s AS (SELECT cell_id, date, {variable} AS v FROM wide)"
 
 
-def index_sql(index: str, freq: str, start: int | None = None, end: int | None = None) -> str:
+# A month's running mean, so that warm and cold days come in spells, shifted so that it passes through zero.
+MONTH_AROUND = 15
+PERSISTENT = "avg({0}) OVER (PARTITION BY cell_id ORDER BY date ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) - 30.0"
+
+
+def persistent_sql(variable: str) -> str:
+    return f"s AS (SELECT cell_id, date, {PERSISTENT.format(variable)} AS v FROM wide)"
+
+
+def persistent(spark, sf_dir, variable: str):
+    around = Window.partitionBy("cell_id").orderBy("date").rowsBetween(-MONTH_AROUND, MONTH_AROUND)
+    series = cube.series(spark, sf_dir, variable)
+    return series.select("cell_id", "date", (F.avg("value").over(around) - 30.0).alias("value"))
+
+
+def index_sql(index: str, freq: str, start: int | None = None, end: int | None = None, source: str | None = None) -> str:
     variable = INDICES[index][0]
     q = daily.QUANTILES.get(index)
-    ctes = series_sql(variable)
+    ctes = source or series_sql(variable)
     days = "SELECT *, " + first_day(freq) + " AS period FROM s"
     if q is not None:
         ctes += "," + thresholds_sql(q, variable == "pr", start, end)
@@ -156,6 +174,33 @@ def r95p_baseline(spark, sf_dir):
     return rounded(daily.daily_indices(series, ["R95p"], "YS", Baseline(1996, 1999)))
 
 
+def _register_baseline(index: str) -> None:
+    """Thresholds from part of the record, so that the rest can go beyond them."""
+    @register(f"{index.lower()}_baseline", rounded_sql(index_sql(index, "YS", 1996, 1999), [index]))
+    def query(spark, sf_dir):
+        return rounded(daily.daily_indices(cube.series(spark, sf_dir, "pr"), [index], "YS", Baseline(1996, 1999)))
+
+
+def _register_persistent(index: str, freq: str) -> None:
+    variable = INDICES[index][0]
+    name = f"{index.lower()}_persistent" + ("" if freq == "YS" else "_monthly")
+
+    @register(name, rounded_sql(index_sql(index, freq, source=persistent_sql(variable)), [index]))
+    def query(spark, sf_dir):
+        table = daily.daily_indices(
+            persistent(spark, sf_dir, variable), [index], freq, missing="skip",
+            record=cube.calendar_bounds(spark, sf_dir) if index in daily.QUANTILES else None,
+        )
+        return rounded(table)
+
+
+for _index in ("R99p", "R99pTOT"):
+    _register_baseline(_index)
+for _index in ("ID", "FD", "WSDI", "CSDI"):
+    _register_persistent(_index, "YS")
+_register_persistent("WSDI", "MS")
+
+
 RAIN_FAMILY = ["PRCPTOT", "Rx5day", "CDD", "R95p"]
 
 

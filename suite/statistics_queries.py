@@ -100,7 +100,7 @@ def spi_like(spark, sf_dir) -> DataFrame:
         F.sum("pr").alias("total"), F.count("tmax").alias("known"), F.count("*").alias("days")
     )
     means = totals.groupBy("cell_id").agg(F.avg("total").alias("mean"))
-    value = F.when(F.col("known") * 100 >= F.col("days") * 93, (F.col("total") - F.col("mean")) / 32.0)
+    value = F.when(F.col("known") * 100 >= F.col("days") * 93, (F.col("total") - F.col("mean")) / 8.0)
     return totals.join(means, "cell_id").select(F.lit("SPI3").alias("index"), "cell_id", "period", value.alias("value"))
 
 
@@ -110,7 +110,7 @@ totals AS (
   FROM wide GROUP BY 1, 2),
 like_ AS (
   SELECT cell_id, period, CASE WHEN known * 100 >= days * 93
-         THEN (total - avg(total) OVER (PARTITION BY cell_id)) / 32 END AS v FROM totals)"""
+         THEN (total - avg(total) OVER (PARTITION BY cell_id)) / 8 END AS v FROM totals)"""
 
 
 def events_sql(source: str, threshold: float) -> str:
