@@ -48,11 +48,17 @@ def prepare(cells: DataFrame) -> Grid:
 
 
 def cell_id(lat, lon) -> Column:
-    """A reversible identifier from the centre, exact to 1e-6 degree: no numbering pass is needed."""
+    """A reversible identifier from the centre, exact to 1e-4 degree: no numbering pass is needed.
+
+    The step is wider than the rounding of single-precision coordinates, so float and double copies of a grid
+    share their cells.  Coordinates that are no degrees (metres, say) fail.
+    """
     lat, lon = (F.col(c) if isinstance(c, str) else c for c in (lat, lon))
-    south = F.round((lat + 90.0) * 1e6).cast("long")
-    west = F.round((lon + 180.0) * 1e6).cast("long")
-    return south * F.lit(1_000_000_000) + west
+    south = F.round((lat + 90.0) * 1e4).cast("long")
+    west = F.round((lon + 180.0) * 1e4).cast("long")
+    message = F.concat(F.lit("not a latitude and longitude in degrees: "), lat.cast("string"), F.lit(", "), lon.cast("string"))
+    fits = lat.between(-90, 90) & lon.between(-360, 360)
+    return F.when(fits | lat.isNull() | lon.isNull(), south * F.lit(1_000_000_000) + west).otherwise(F.raise_error(message).cast("long"))
 
 
 def neighbours(df: DataFrame, axis: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -149,7 +149,9 @@ def write_values(values: DataFrame, out: str, work: Workspace, layer: str) -> No
 def place_cells(cells: Grid, layer: DataFrame, out: str, work: Workspace, name: str) -> None:
     """Area weights and cut outlines of the cells, once for all indices and maps."""
     sinks.write_table(_keyed(spatial.cell_area(cells, layer), work, name), f"{out}/cell_area", "country", "layer")
-    outlines = sinks.cell_outlines(spatial.overlay(cells, layer))
+    # A cell that only touches an area, or lies in a hole of it, has an outline but no share.
+    covered = _placed(layer.sparkSession, f"{out}/cell_area", model.CELL_AREA, work, name).select("cell_id", "area")
+    outlines = sinks.cell_outlines(spatial.overlay(cells, layer)).join(covered, ["cell_id", "area"], "left_semi")
     sinks.write_table(_keyed(outlines, work, name), f"{out}/cell_outlines", "country", "layer")
 
 

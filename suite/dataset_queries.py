@@ -316,7 +316,6 @@ def geojson_features(spark, sf_dir):
     """Map features, read back from their JSON text."""
     values = maps.actual(yearly_total(spark, sf_dir), ("cell_id",))
     rings = spatial.overlay(prepared(spark, sf_dir), layer(spark, sf_dir))
-    rings = rings.filter(F.abs(areas.signed_area(F.col("points"))) > 1e-5)
     features = sinks.cut_features(values, sinks.cell_outlines(rings), ["value"])
     schema = "type string, geometry struct<type: string, coordinates: array<array<array<double>>>>, properties struct<value: double>"
     parsed = features.select("area", "cell_id", F.from_json("feature", schema).alias("f"))

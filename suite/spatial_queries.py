@@ -191,7 +191,7 @@ def overlay_geometry(spark, sf_dir):
     sized = rings.groupBy("cell_id", "area").agg(
         F.sum(areas.signed_area(F.col("points"))).alias("size"), F.count("*").cast("int").alias("rings")
     )
-    return rounded(sized.filter("size > 0.00001"), 2)
+    return rounded(sized, 2)
 
 
 @register(

@@ -210,3 +210,13 @@ def test_a_hot_area_is_spread(spark):
     out = weights(spark, cells(spark, lats, lons), [("round", [ring]), ("box", [WEST])])
     total = sum(v for (a, _), v in out.items() if a == "round")
     assert total == pytest.approx(clip_area(ring, (97.5, 7.5, 102.5, 12.5)), abs=1e-7)
+
+
+def test_cell_ids_of_floats_and_of_metres(spark):
+    from isohyet.operators.grid import cell_id
+
+    table = spark.createDataFrame([(10.1, 102.1), (-33.3, 179.95)], "lat double, lon double")
+    single = table.select(F.col("lat").cast("float").cast("double").alias("lat"), F.col("lon").cast("float").cast("double").alias("lon"))
+    assert table.unionByName(single).select(cell_id("lat", "lon").alias("c")).distinct().count() == 2
+    with pytest.raises(Exception, match="not a latitude"):
+        spark.createDataFrame([(4_500_000.0, 300_000.0)], "lat double, lon double").select(cell_id("lat", "lon")).collect()
