@@ -38,7 +38,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 def hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit polynomial hash of the bytes between each start and end, finished with a mixer."""
     out = np.empty(len(starts), np.uint64)
-    step = 1 << 20  # at a time, so that the byte-wide 64-bit arrays stay small
+    step = 1 << 17  # at a time, so that the byte-wide 64-bit arrays stay small
     for a in range(0, len(out), step):
         s, e = starts[a:a + step], ends[a:a + step]
         low = s.min()
