@@ -1,12 +1,16 @@
 """Secrets in texts, as Column expressions only: fixed patterns, and tokens that pass for random.
 
-Fixed patterns (``assign``, ``access``, ``hex``) give the base spans.  The method adds spans of kind ``random``: a
-token whose encoding can be inferred (hexadecimal, base 32, base 36 or base 64) and that is long enough to carry 96
-bits is put to three tests of the hypothesis that its symbols are drawn uniformly and independently - chi-squared
-against the uniform alphabet, runs above and below the middle of the alphabet, and serial correlation.  The smallest
-of the three p-values, times three, is the token's.  Per encoding and class of length, Benjamini-Hochberg over all
+Fixed patterns (``assign``, ``access``, ``hex``) give the base spans.  The method adds spans of kind ``random``.  A
+token is a whole run of the symbols of base 64 in either spelling; an equals sign ends it, so what stands before and
+after one are two tokens and padding is not part of either.  A token whose encoding can be inferred (hexadecimal, base
+32 or base 36 in one case of letters, base 64 in two; runs of digits alone have none) and that is long enough to carry
+96 bits is put to four tests of the hypothesis that its symbols are drawn uniformly and independently - chi-squared
+against the uniform alphabet, chi-squared of the shares of three groups (digits, vowels and the rest, in base 64
+capitals, small letters and the rest: words have no digits, many vowels and few capitals), runs above and below the middle of the alphabet, and serial correlation.  The smallest of the four
+p-values, times four, is the token's.  Per encoding and class of length, Benjamini-Hochberg over all
 tokens of the corpus settles below which p-value a token is declared ordinary, so that at most 5 % of these
-declarations are expected to hit a random token; what is left is reported unless a base span covers it.
+declarations are expected to hit a random token; what is left is reported unless a base span covers it.  Where random
+tokens are the bulk of a class, its limit is low and a long word may be reported with them.
 
 Moments of the statistics are those for the token's own length.  P-values are counted on a grid of 1/1000, so what the
 driver reads is bounded: a few encodings, classes of length and grid steps.
@@ -37,7 +41,10 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 LEAST = {"hex": 24, "base32": 20, "base36": 19, "base64": 16}  # symbols that carry 96 bits
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
+# Groups of symbols whose shares are tested; what is in neither goes together.
+GROUPS = {"hex": ["0123456789", "ae"], "base32": ["234567", "AEIOU"], "base36": ["0123456789", "aeiou"],
+          "base64": ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"]}
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
 FALSE_DISCOVERIES, GRID = 0.05, 1000
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -98,8 +105,27 @@ def _symbols(x: Column) -> Column:
     return F.transform(F.split(form, ""), lambda c: F.call_function("instr", alphabet, c) - 1)
 
 
+def _among(places: list[int]):
+    return lambda c: c.isin(places)
+
+
+def _groups(v: Column, n: Column, encoding: Column) -> Column:
+    """Pearson's test of the shares of three groups of symbols, with the closed form for two degrees of freedom."""
+    out = F.lit(None).cast("double")
+    for name, groups in GROUPS.items():
+        alphabet = ALPHABETS[name]
+        rest = "".join(c for c in alphabet if not any(c in g for g in groups))
+        total = F.lit(0.0)
+        for group in (*groups, rest):
+            expected = n * (len(group) / len(alphabet))
+            found = F.size(F.filter(v, _among([alphabet.index(c) for c in group])))
+            total = total + F.pow(found - expected, F.lit(2.0)) / expected
+        out = F.when(encoding == name, F.exp(-total / 2)).otherwise(out)
+    return out
+
+
 def _p_value(x: Column) -> Column:
-    """Three tests of uniform independent symbols ``x.symbols`` out of ``x.size``, combined by Bonferroni."""
+    """Four tests of uniform independent symbols ``x.symbols`` out of ``x.size``, combined by Bonferroni."""
     v, n, m = x["symbols"], F.size(x["symbols"]).cast("double"), x["size"].cast("double")
     squares = F.aggregate(F.array_distinct(v), F.lit(0.0),
                           lambda s, c: s + F.pow(n - F.size(F.array_remove(v, c)), F.lit(2.0)))
@@ -113,10 +139,17 @@ def _p_value(x: Column) -> Column:
     spread = (mean - 1) * (mean - 2) / (n - 1)
     runs = F.when(spread > 0, _two_sided((changes + 1 - mean) / F.sqrt(spread))).otherwise(F.lit(0.0))
     centre = F.aggregate(v, F.lit(0.0), lambda s, c: s + c) / n
-    total = F.aggregate(v, F.lit(0.0), lambda s, c: s + (c - centre) * (c - centre))
-    lagged = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["0"] - centre) * (p["1"] - centre))
-    serial = F.when(total > 0, _two_sided((lagged / total + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0))
-    return F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))
+
+    def correlation(centre):  # the mean is taken once, not at every symbol
+        total = F.aggregate(v, F.lit(0.0), lambda s, c: s + (c - centre) * (c - centre))
+        lagged = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["0"] - centre) * (p["1"] - centre))
+        return F.when(total > 0, lagged / total)
+
+    def serial_p(r):
+        return F.when(r.isNotNull(), _two_sided((r + 1 / n) * F.sqrt(n))).otherwise(F.lit(0.0))
+
+    serial = once(once(centre, correlation), serial_p)
+    return F.least(F.lit(1.0), 4 * F.least(uniform, _groups(v, n, x["encoding"]), runs, serial))
 
 
 def _candidates(documents: DataFrame) -> DataFrame:

@@ -215,3 +215,28 @@ def test_secrets(spark, strange, nothing):
     assert secrets.scan(strange).count() == len(STRANGE) and secrets.scan(nothing).count() == 0
     assert secrets.redact(strange).columns == strange.columns
     assert {(r["doc_id"], r["text"]) for r in secrets.redact(strange).collect()} == set(STRANGE)
+
+
+def test_random_tokens_after_equals_signs_and_without_digits(spark):
+    rng = random.Random(8)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    base32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+    def drawn(symbols, n, digits):
+        while True:
+            token = "".join(rng.choice(symbols) for _ in range(n))
+            if digits or not re.search("[0-9]", token):
+                return token
+
+    tokens = [("sig=", drawn(base64, 40, True), "") for _ in range(20)] + [("AccountKey=", drawn(base64, 43, True), "=") for _ in range(20)]
+    tokens += [("https://x.org/?key=", drawn(base64, 40, True), "&v=1") for _ in range(20)]
+    after = len(tokens)
+    tokens += [("see ", drawn(base64, 16, False), "") for _ in range(40)] + [("see ", drawn(base32, 20, False), "") for _ in range(40)]
+    plain = ["internationalization", "getElementsByClassName", "characterizationalist", "INTERNATIONALIZATION", "TheQuickBrownFoxJumps",
+             "electroencephalograph", "AbstractSingletonProxyFactoryBean", "counterrevolutionaries", "Donaudampfschifffahrt",
+             "ThisIsAVeryLongIdentifier", "id=incomprehensibilities", "COUNTERREVOLUTIONARIES", "state-of-the-art-solutions"]
+    texts = [f"{a}{t}{z} end" for a, t, z in tokens] + [f"{w} end" for w in plain] * 40
+    rows = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [any((s["kind"], texts[i][s["start"]:s["end"]]) == ("random", t) for s in rows[i]) for i, (_, t, _) in enumerate(tokens)]
+    assert sum(found[:after]) >= 54 and sum(found[after:]) >= 68
+    assert [t for i, t in enumerate(texts) if i >= len(tokens) and rows[i]] == []
