@@ -5,11 +5,16 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas", "select",
-          "textarea", "button", "audio", "video", "map", "datalist"}
+SILENT = {"script", "style", "template", "head", "title", "svg", "iframe", "canvas", "select", "textarea", "audio", "video", "map",
+          "datalist"}
+# All that can stand in a head; any other start tag, or text, ends it as in HTML parsers.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "noframes", "template"}
+MATH = {"math", "semantics", "annotation", "mrow", "mi", "mn", "mo", "ms", "mtext", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup",
+        "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "none", "mtable", "mtr", "mtd", "mspace", "mpadded",
+        "mphantom", "menclose", "mstyle", "merror", "maction", "mglyph", "maligngroup", "malignmark"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img",
           "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub",
-          "sup", "time", "tt", "u", "var", "wbr", "input", "output", "meter", "progress", "picture", "source"}
+          "sup", "time", *MATH, "button", "tt", "u", "var", "wbr", "input", "output", "meter", "progress", "picture", "source"}
 # What a start tag closes if it is open, up to the nearest element of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -76,6 +81,8 @@ class _Builder(HTMLParser):
                 self.run = None
 
     def handle_starttag(self, tag, attributes):
+        if self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self._pop(len(self.open) - 1)
         if self.silent:
             if tag not in VOID and not (tag == "body" and self.open[-1][0] in ("head", "title")):
                 self.open.append((tag, None))
@@ -128,6 +135,8 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1][0] == "head" and not data.isspace():
+            self._pop(len(self.open) - 1)
         if self.silent or not data:
             return
         if self.run is None:

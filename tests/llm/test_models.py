@@ -280,3 +280,24 @@ def test_strange_pages(spark, extractor):
     assert next(r["text"] for r in rows if r["page_id"] == 4) == "unclosed bold x\n\ntwo"
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert extraction.extract(empty, extraction.Model()).count() == 0
+
+
+def runs_of(html):
+    return ["".join(n.text).strip() for n in in_order(parse(html)) if n.tag == "#text"]
+
+
+def test_a_head_ends_where_its_content_does(extractor):
+    article = "".join(f"<p>{prose(random.Random(i), 40)}</p>" for i in range(4))
+    plain = text_of(extractor, f"<html><head><title>t</title></head><body>{article}</body></html>")
+    assert plain
+    assert text_of(extractor, f"<html><head><title>t</title>{article}") == plain
+    assert text_of(extractor, f"<head><meta charset=utf-8><script>var a = '<p>';</script><style>p {{}}</style>{article}</html>") == plain
+    assert runs_of("<head><title>t</title>words<p>more") == ["words", "more"]
+    assert runs_of("<head><noscript><style>p {}</style></noscript><title>t</title><body><p>words") == ["words"]
+
+
+def test_content_of_math_object_noscript_and_button_is_text():
+    assert runs_of("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["if x=2 holds"]
+    assert runs_of("<p>one</p><object data=x><p>fallback</p></object><noscript><p>no script</p></noscript><p>press <button>go</button>") == [
+        "one", "fallback", "no script", "press go"]
+    assert runs_of("<p>a</p><script>s</script><style>t</style><template><p>u</p></template><p>b") == ["a", "b"]
