@@ -51,6 +51,19 @@ def unshielded(rows: DataFrame, documents: DataFrame, *names: str) -> DataFrame:
     return rows.select(*(F.col(f"`{c}`") if c in names else F.col(f"__c{i}").alias(c) for i, c in enumerate(documents.columns)))
 
 
+def joined(rows: DataFrame, lookup: DataFrame, keys: list[str], copies: str, share: int = 256) -> DataFrame:
+    """Inner join of ``rows`` with ``lookup``, which has one row a key and says in ``copies`` how many rows have the key.
+
+    A key with over 1/``share`` of all rows would fill one task; there are fewer than ``share`` of those, so their part
+    of ``lookup`` is broadcast.  All other keys meet in a shuffle.
+    """
+    total = lookup.agg(F.sum(copies)).first()[0] or 0
+    frequent = F.col(copies) * share > F.lit(total)
+    few = F.broadcast(lookup.filter(frequent))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(lookup.filter(~frequent), keys)
+    return rows.join(few, keys).unionByName(rest)
+
+
 def slices(texts, limit: int = 2_000_000, rows: int = 1000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` characters and at most ``rows`` texts, so that working arrays stay small."""
     a = size = 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import decontaminate, extraction, fingerprint, langid, lm, minhash, quality, secrets, sentencepiece, toxicity
+from isohyet.llm import decontaminate, extraction, fingerprint, langid, lm, minhash, quality, secrets, sentencepiece, toxicity, whitening
 from isohyet.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,8 @@ def op5(spark, sf_dir):
 def op8(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return extraction.extract(pages, extraction.fit(pages))
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
