@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import decontaminate, extraction, fingerprint, langid, lm, minhash, quality, secrets, sentencepiece, toxicity, whitening
+from isohyet.llm import collocations, decontaminate, extraction, fingerprint, langid, lm, minhash, quality, secrets, sentencepiece, toxicity, whitening
 from isohyet.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,41 @@ def op8(spark, sf_dir):
 @query("op13_whitening")
 def op13(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+# All n-grams inside pieces, the weakest cut of each frequent one, and no phrase inside a longer one as frequent.
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM words, unnest(generate_series(1, 5)) AS ks(k), unnest(generate_series(1, len(w) - k + 1)) AS g(i)
+  GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT * FROM grams WHERE f >= 100),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, x.f AS l, y.f AS r, cut,
+         (1000::HUGEINT * c.f::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score, n
+  FROM frequent c JOIN totals USING (lang), unnest(generate_series(1, c.k - 1)) AS g(cut)
+  JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(string_split(c.phrase, ' ')[1:cut], ' ')
+  JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(string_split(c.phrase, ' ')[cut + 1:], ' ')),
+weakest AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts) WHERE place = 1),
+inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase, max(f) AS covered
+  FROM frequent, unnest(generate_series(2, k - 1)) AS ms(m), unnest(generate_series(1, k - m + 1)) AS g(i)
+  WHERE k > 2 GROUP BY ALL),
+ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS place_in_lang
+  FROM weakest w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase WHERE covered IS NULL OR covered < a)
+SELECT lang, place_in_lang AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE place_in_lang <= 2000
+"""
+
+
+@query("op11_collocations", OP11)
+def op11(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
