@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import collocations, decontaminate, extraction, fingerprint, langid, lm, minhash, quality, secrets, sentencepiece, toxicity, whitening
+from isohyet.llm import collocations, decontaminate, extraction, fingerprint, jaccard, langid, lm, minhash, quality, secrets, sentencepiece, toxicity, whitening
 from isohyet.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,6 +187,35 @@ def op8(spark, sf_dir):
     return extraction.extract(pages, extraction.fit(pages))
 
 
+# Three-word shingle sets, all links of likeness 0.9, and the smallest doc_id that can be reached over them.
+OP12 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+  FROM words, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS g(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * m >= 90 * (x.n + y.n - m)),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM documents d JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
+@query("op12_jaccard_join", OP12)
+def op12(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 @query("op13_whitening")
 def op13(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
