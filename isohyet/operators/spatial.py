@@ -8,13 +8,14 @@ rows only for the grid lines it crosses; cells in the interior are filled in fro
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isohyet import model
-from isohyet.functions.rounding import snap
 from isohyet.operators.grid import Grid
+from isohyet.operators.rings import outline, parts_of
 
 # Covered shares below this are rounding noise of the edge sums.
 NOISE = 1e-9
@@ -191,11 +192,13 @@ def area_mean(
     )
 
 
-def overlay(grid: Grid, area_edges: DataFrame) -> DataFrame:
+def overlay(grid: Grid, area_edges: DataFrame, digits: int = 3) -> DataFrame:
     """Cells cut to areas: ``(cell_id, area, polygon, ring, points)``, counter-clockwise, holes clockwise.
 
     Every ring is cut into grid columns and each piece into rows.  Cutting keeps the ring's order; where it
-    leaves a column and comes back, the two ends lie on the same grid line and are joined along it.
+    leaves a column and comes back, the two ends lie on the same grid line and are joined along it.  Where such
+    joins run both ways along a side, or several rings of a polygon meet in a cell, the rings are rebuilt:
+    parts that hang together outside the cell only become polygons of their own, with new numbers.
     """
     key = ["area", "polygon", "ring", "col"]
     strips = _clip_to_columns(area_edges, grid).select(*key, "seq", "ax", "ay", "bx", "by")
@@ -212,13 +215,15 @@ def overlay(grid: Grid, area_edges: DataFrame) -> DataFrame:
     link = piece(F.col("seq") * 2 + 1, ("bx", "by", "nx", "ny"))
     pieces = linked.select(*key, F.explode(F.array(own, link)).alias("p")).select(*key, "p.*")
     pieces = pieces.filter("ax != bx or ay != by")
-    cut = _clip_to_rows(pieces, grid).withColumns({c: snap(c) for c in ("ax", "ay", "bx", "by")})
+    cut = _clip_to_rows(pieces, grid).withColumns({c: F.round(c, digits) for c in ("ax", "ay", "bx", "by")})
 
     point_pairs = F.array(
         F.array(F.col("ax"), F.col("ay")), F.array(F.col("bx"), F.col("by"))
     )
     ordered = F.array_sort(F.collect_list(F.struct("seq", point_pairs.alias("ends"))))
-    rings = cut.groupBy("area", "polygon", "ring", "row", "col").agg(
+    # One shuffle for both groupings: all rings of a polygon in a cell lie together.
+    together = cut.repartition("area", "polygon", "row", "col")
+    rings = together.groupBy("area", "polygon", "ring", "row", "col").agg(
         F.flatten(F.transform(ordered, lambda e: e.ends)).alias("points")
     )
     kept = F.filter(
@@ -226,9 +231,45 @@ def overlay(grid: Grid, area_edges: DataFrame) -> DataFrame:
         lambda p, i: p != F.when(i == 0, F.try_element_at("points", F.lit(-1))).otherwise(F.get("points", i - 1)),
     )
     rings = rings.withColumn("points", kept).filter(F.size("points") >= 3)
-    return rings.join(grid.cells.select("cell_id", "row", "col"), ["row", "col"]).select("cell_id", "area", "polygon", "ring", "points")
-
-
-def overlay_boundary(grid: Grid, area_edges: DataFrame) -> DataFrame:
-    """Cells cut to the outline of all areas together, as one part per original polygon."""
-    return overlay(grid, area_edges.withColumn("area", F.lit(model.OVERVIEW)))
+    sides = ["lon_lo", "lat_lo", "lon_hi", "lat_hi"]
+    placed = rings.join(grid.cells.select("cell_id", "row", "col", *[F.round(c, digits).alias(c) for c in sides]), ["row", "col"])
+    return _rebuilt(placed.withColumn("doubtful", _runs_both_ways()), sides)
+
+
+def _runs_both_ways() -> Column:
+    """Whether the ring ``points`` runs along a side of its cell in both directions, or passes a point twice."""
+    n = F.size("points")
+
+    def way(i):
+        a, b = F.get("points", i), F.get("points", (i + 1) % n)
+        x, y, u, v = (F.get(p, F.lit(axis)) for p in (a, b) for axis in (0, 1))
+        upright, level = (x == u) & x.isin(F.col("lon_lo"), F.col("lon_hi")), (y == v) & y.isin(F.col("lat_lo"), F.col("lat_hi"))
+        east, north = x == F.col("lon_hi"), y == F.col("lat_hi")
+        return (F.when(upright, F.when(east, 2).otherwise(1) * F.signum(v - y))
+                .when(level, F.when(north, 4).otherwise(3) * F.signum(u - x)).otherwise(0.0))
+
+    ways = F.transform(F.sequence(F.lit(0), n - 1), way)
+    both = F.transform(F.array(ways), lambda w: reduce(or_, [  # an array of one, so that the ways are listed once
+        F.array_contains(w, side) & F.array_contains(w, -side) for side in (1.0, 2.0, 3.0, 4.0)]))
+    return F.get(both, F.lit(0)) | (F.size(F.array_distinct("points")) < n)
+
+
+def _rebuilt(rings: DataFrame, sides: list[str]) -> DataFrame:
+    """Rings of each polygon in a cell; doubtful ones go through ``valid_parts``."""
+    shape = F.sort_array(F.collect_list(F.struct("ring", "points")))
+    shapes = rings.groupBy("area", "polygon", "row", "col", "cell_id", *sides).agg(
+        shape.alias("rings"), (F.max("doubtful") | (F.count("*") > 1)).alias("doubtful"))
+    loops = F.transform("rings", lambda r: r["points"])
+    again = parts_of(F.when(F.col("doubtful"), loops), *sides)
+    parts = shapes.withColumn("again", again).withColumn("parts", F.coalesce("again", F.array(loops)))
+    each = parts.select("cell_id", "area", "polygon", "rings", "doubtful", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "loops"))
+    polygon = F.when(F.col("n") > 1, F.xxhash64("polygon", "part")).otherwise(F.col("polygon"))
+    numbered = each.select("cell_id", "area", polygon.alias("polygon"), "part", F.get("rings.ring", F.lit(0)).alias("first"), "doubtful",
+                           F.posexplode("loops").alias("position", "points"))
+    ring = F.when(F.col("doubtful"), F.xxhash64("polygon", "part", "position")).otherwise(F.col("first"))
+    return numbered.select("cell_id", "area", "polygon", ring.alias("ring"), "points")
+
+
+def overlay_boundary(grid: Grid, area_edges: DataFrame, digits: int = 3) -> DataFrame:
+    """Cells cut to the outline of all areas together: no inner borders, one row a part of the whole."""
+    return overlay(grid, outline(area_edges), digits)

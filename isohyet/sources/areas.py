@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from isohyet import model
 from isohyet.functions.rounding import snap
+from isohyet.operators.rings import outline
 
 FEATURES = "type string, properties map<string, string>, geometry struct<type: string, coordinates: string>"
 
@@ -114,17 +115,17 @@ def sub_areas(area_edges: DataFrame) -> DataFrame:
 
 
 def dissolve(area_edges: DataFrame, name: str = model.OVERVIEW) -> DataFrame:
-    """All areas as one multi-part area.
+    """All areas as one multi-part area, for sums over edges.
 
     Areas are taken not to overlap.  A border shared by two of them occurs once in each direction, so it
-    cancels in every sum over edges and needs no removal.
+    cancels in every such sum and needs no removal; ``rings.outline`` removes it where geometry is shown.
     """
     return area_edges.withColumn("area", F.lit(name))
 
 
 def with_overview(area_edges: DataFrame) -> DataFrame:
-    """The sub-areas, where there are several, and the whole."""
-    return sub_areas(area_edges).unionByName(dissolve(area_edges))
+    """The sub-areas, where there are several, and the outline of the whole, which is found here and stored."""
+    return sub_areas(area_edges).unionByName(outline(area_edges))
 
 
 def extent(area_edges: DataFrame, area: str | None = None) -> DataFrame:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.operators import daily, grid, spatial, spi
-from isohyet.sources import areas
+from isohyet.operators import daily, grid, rings, spatial, spi
+from isohyet.sources import areas, sinks
 from suite import cube
 from suite.daily_queries import rounded_sql
 from suite.registry import first_day, period_days, register, rounded, with_cube
@@ -69,6 +69,10 @@ boxes AS (
   FROM grid)"""
 
 
+# The corners and edges of the layer without the grid's boxes.
+LAYER_ONLY = LAYER[:LAYER.rindex("boxes AS")].rstrip().rstrip(",")
+
+
 def weights_sql(name: str, cte: str = "cell_area") -> str:
     """Intersection areas ey the integral over x: every edge over or in the cell's column counts."""
     return f"""
@@ -229,3 +233,135 @@ def cell_outline(spark, sf_dir):
     return rounded(bounds.select(
         "cell_id", lon.alias("centre_lon"), lat.alias("centre_lat"), F.size(ring).alias("vertices")
     ), 9)
+
+
+# Combs and enclaves: one comb per region, teeth hanging across the grid row at 10.5 from a spine with a hole in
+# it, and the region's enclave in the hole.  Their cells are unions of rectangles, which SQL can list.
+def comb_rings(spark, sf_dir: str) -> DataFrame:
+    regions = cube.table(spark, sf_dir, "region")
+    left = F.lit(99.6) + F.col("r_regionkey") * 0.58
+
+    def point(dx: float, y: float):
+        return F.array(F.round(left + dx, 6), F.lit(y))
+
+    teeth = [p for t in range(4) for p in (
+        point(0.12 * t, 10.1 + 0.02 * t), point(0.12 * t + 0.06, 10.1 + 0.02 * t), point(0.12 * t + 0.06, 10.6), point(0.12 * t + 0.12, 10.6))]
+    comb = F.array(*teeth[:-1], point(0.42, 10.9), point(0.0, 10.9))
+    hole = F.array(point(0.1, 10.7), point(0.2, 10.7), point(0.2, 10.8), point(0.1, 10.8))
+    key = F.col("r_regionkey").cast("long")
+
+    def ring(area, polygon, number, is_hole, points):
+        return F.struct(area.alias("area"), polygon.alias("polygon"), number.alias("ring"), F.lit(is_hole).alias("hole"), points.alias("points"))
+
+    inner = F.concat(F.col("r_name"), F.lit(" enclave"))
+    made = F.array(ring(F.col("r_name"), key, key, False, comb), ring(F.col("r_name"), key, key + 10, True, hole), ring(inner, key + 20, key + 20, False, hole))
+    return regions.select(F.explode(made).alias("r")).select("r.*")
+
+
+COMB_PARTS = """
+combs AS (SELECT r_name, r_regionkey, 99.6::DOUBLE + r_regionkey * 0.58::DOUBLE AS x FROM region),
+teeth AS (
+  SELECT r_name, x + 0.12::DOUBLE * t AS a, x + 0.12::DOUBLE * t + 0.06::DOUBLE AS b, 10.1::DOUBLE + 0.02::DOUBLE * t AS c, 10.6::DOUBLE AS d
+  FROM combs, unnest(generate_series(0, 3)) AS g(t)),
+pieces AS (  -- rectangles with their sign and their place: below the spine, in it, the hole, the enclave
+  SELECT r_name AS area, 1 AS way, 'tooth' AS kind, a, b, c, d FROM teeth
+  UNION ALL SELECT r_name, 1, 'spine', x, x + 0.42::DOUBLE, 10.6::DOUBLE, 10.9::DOUBLE FROM combs
+  UNION ALL SELECT r_name, -1, 'hole', x + 0.1::DOUBLE, x + 0.2::DOUBLE, 10.7::DOUBLE, 10.8::DOUBLE FROM combs
+  UNION ALL SELECT r_name || ' enclave', 1, 'enclave', x + 0.1::DOUBLE, x + 0.2::DOUBLE, 10.7::DOUBLE, 10.8::DOUBLE FROM combs),
+boxes AS (
+  SELECT cell_id, lat - 0.5 / k AS y0, lat + 0.5 / k AS y1, lon - 0.5 / k AS x0, lon + 0.5 / k AS x1 FROM grid),
+met AS (
+  SELECT *, greatest(a, x0) AS p, least(b, x1) AS q, greatest(c, y0) AS r, least(d, y1) AS s
+  FROM pieces JOIN boxes ON a < x1 - 1e-7 AND b > x0 + 1e-7 AND c < y1 - 1e-7 AND d > y0 + 1e-7),
+-- Below the spine, and in the enclave, every rectangle is a part; in a cell with a piece of the spine all hangs together.
+single AS (SELECT * FROM met WHERE kind = 'enclave' OR (kind = 'tooth' AND y1 <= 10.6::DOUBLE)),
+joined AS (
+  SELECT cell_id, area, sum(way * (q - p) * (s - r)) AS size,
+         1 + count(*) FILTER (kind = 'hole' AND a > x0 + 1e-7 AND b < x1 - 1e-7 AND c > y0 + 1e-7 AND d < y1 - 1e-7) AS rings
+  FROM met WHERE kind <> 'enclave' AND NOT (kind = 'tooth' AND y1 <= 10.6::DOUBLE) GROUP BY cell_id, area)"""
+
+
+@register(
+    "overlay_parts",
+    rounded_sql(with_cube(f"""
+WITH {COMB_PARTS}
+SELECT cell_id, area, 1::BIGINT AS rings, (q - p) * (s - r) AS size,
+       printf('%.3f %.3f,%.3f %.3f,%.3f %.3f,%.3f %.3f', p, r, p, s, q, r, q, s) AS vertices FROM single
+UNION ALL SELECT cell_id, area, rings, size, NULL FROM joined"""), ["size"], 6),
+)
+def overlay_parts(spark, sf_dir):
+    """Parts of concave areas and enclaves in each cell: their size, and the corners of those that are rectangles."""
+    cut = spatial.overlay(prepared(spark, sf_dir), areas.edges(comb_rings(spark, sf_dir)), digits=9)
+    corners = F.transform(F.array_sort("points"), lambda p: F.format_string("%.3f %.3f", F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+    parts = cut.withColumn("corners", F.array_join(corners, ",")).groupBy("cell_id", "area", "polygon").agg(
+        F.count("*").alias("rings"), F.sum(areas.signed_area(F.col("points"))).alias("size"), F.max("corners").alias("corners"))
+    flat = grid.cell_bounds(cube.grid(spark, sf_dir)).select("cell_id", "lat_hi")
+    listed = F.col("area").endswith("enclave") | (F.col("lat_hi") <= 10.6)
+    return rounded(parts.join(flat, "cell_id").select(
+        "cell_id", "area", "rings", "size", F.when(listed, F.col("corners")).alias("vertices")), 6)
+
+
+@register(
+    "overview_outline",
+    rounded_sql(f"""
+WITH {LAYER_ONLY},
+held AS (SELECT * FROM layer WHERE ring <> 12),
+open_ AS (
+  SELECT a.ax, a.ay, a.ex AS bx, a.ey AS "by" FROM held a
+  WHERE NOT EXISTS (SELECT 1 FROM held b WHERE abs(a.ax - b.ex) < 1e-9 AND abs(a.ay - b.ey) < 1e-9 AND abs(a.ex - b.ax) < 1e-9 AND abs(a.ey - b.ay) < 1e-9)),
+marked AS (SELECT *, ax > 99.9 AND ax < 102.1 AND ay > 9.7 AND ay < 11.3 AS hole FROM open_)
+SELECT ax, ay, bx, "by", hole, count(*) OVER (PARTITION BY hole) AS ring_size, 1 AS polygons FROM marked""", ["ax", "ay", "bx", "by"], 6),
+)
+def overview_outline(spark, sf_dir):
+    """The outline of all nations but the one in the middle: the outside, and the hole it leaves."""
+    edges = areas.edges(nation_rings(spark, sf_dir).filter("ring <> 12"))
+    found = rings.outline(edges)
+    sizes = found.groupBy("ring").agg(F.count("*").alias("ring_size"), (F.sum(F.expr("ax * by - bx * ay")) < 0).alias("hole"))
+    polygons = found.agg(F.count_distinct("polygon").cast("int")).scalar()
+    return rounded(found.join(sizes, "ring").select("ax", "ay", "bx", "by", "hole", "ring_size", polygons.alias("polygons")), 6)
+
+
+@register(
+    "overlay_overview",
+    rounded_sql(with_cube(f"""
+WITH {weights_sql("'overview'")} SELECT cell_id, 1::BIGINT AS parts, weight AS size FROM cell_area"""), ["size"], 6),
+)
+def overlay_overview(spark, sf_dir):
+    """The cells of the whole layer: one part each, however many areas share a cell."""
+    cut = spatial.overlay_boundary(prepared(spark, sf_dir), layer(spark, sf_dir), digits=9)
+    return rounded(cut.groupBy("cell_id").agg(
+        F.count_distinct("polygon").alias("parts"), F.sum(areas.signed_area(F.col("points"))).alias("size")), 6)
+
+
+@register(
+    "boundary_vertices",
+    rounded_sql(f"""
+WITH {LAYER_ONLY}
+SELECT n_name AS area, 'Polygon' AS kind, count(*) + 1 AS vertices, sum(round(ax, 3)) AS sum_x, sum(round(ay, 3)) AS sum_y,
+       string_agg(printf('%.3f %.3f', round(ax, 3), round(ay, 3)), ',' ORDER BY seq) AS corners FROM layer GROUP BY n_name""", ["sum_x", "sum_y"], 6),
+)
+def boundary_vertices(spark, sf_dir):
+    """The exported boundary read back from its JSON: every vertex on the 0.001 degree lattice, rings closed."""
+    features = sinks.boundary_features(layer(spark, sf_dir))
+    schema = "type string, geometry struct<type: string, coordinates: array<array<array<double>>>>"
+    ring = F.get("f.geometry.coordinates", F.lit(0))
+    parsed = features.select("area", F.from_json("feature", schema).alias("f")).select("area", F.col("f.geometry.type").alias("kind"), ring.alias("ring"))
+    open_ring = F.when(F.element_at("ring", 1) == F.element_at("ring", -1), F.slice("ring", 1, F.size("ring") - 1))
+    opened = parsed.withColumn("open", open_ring)
+    add = lambda axis: F.aggregate("open", F.lit(0.0), lambda s, p: s + F.get(p, F.lit(axis)))
+    text = F.transform("open", lambda p: F.format_string("%.3f %.3f", F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+    return rounded(opened.select(
+        "area", "kind", F.size("ring").cast("long").alias("vertices"), add(0).alias("sum_x"), add(1).alias("sum_y"), F.array_join(text, ",").alias("corners")), 6)
+
+
+@register(
+    "cell_outline_vertices",
+    rounded_sql(with_cube("""
+SELECT cell_id, i AS position, CASE WHEN i IN (1, 2) THEN lon + 0.5 / k ELSE lon - 0.5 / k END AS x,
+       CASE WHEN i IN (2, 3) THEN lat + 0.5 / k ELSE lat - 0.5 / k END AS y
+FROM grid, (VALUES (0), (1), (2), (3), (4)) v(i)"""), ["x", "y"], 9),
+)
+def cell_outline_vertices(spark, sf_dir):
+    bounds = grid.cell_bounds(cube.grid(spark, sf_dir))
+    each = bounds.select("cell_id", F.posexplode(grid.outline()).alias("position", "p"))
+    return rounded(each.select("cell_id", "position", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y")), 9)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from isohyet.operators import grid, spatial
+from isohyet.operators import grid, rings, spatial
 from isohyet.sources import areas
 
 
@@ -220,3 +220,80 @@ def test_cell_ids_of_floats_and_of_metres(spark):
     assert table.unionByName(single).select(cell_id("lat", "lon").alias("c")).distinct().count() == 2
     with pytest.raises(Exception, match="not a latitude"):
         spark.createDataFrame([(4_500_000.0, 300_000.0)], "lat double, lon double").select(cell_id("lat", "lon")).collect()
+
+
+def comb(teeth, x=0.0):
+    """A polygon with teeth that hang down from a spine; edges are level or upright."""
+    down = [p for i in range(teeth) for p in ((x + 2 * i, 0.2), (x + 2 * i + 1, 0.2), (x + 2 * i + 1, 1.3), (x + 2 * i + 2, 1.3))]
+    return down[:-1] + [(x + 2 * teeth - 1, 1.8), (x, 1.8)]
+
+
+def parts_by_cell(rings):
+    out = {}
+    for r in rings.collect():
+        out.setdefault((r.area, r.cell_id), {}).setdefault(r.polygon, []).append([tuple(p) for p in r.points])
+    return out
+
+
+def test_overlay_separates_parts_that_meet_outside_the_cell(spark):
+    grid_cells = cells(spark, [0.5, 1.5], [2.5, 7.5])  # one row under the spine, one with it
+    edges = layer(spark, [("comb", [comb(4)])])
+    found = parts_by_cell(spatial.overlay(grid.prepare(grid_cells), edges))
+    teeth = [sorted(sorted(ring) for ring in part) for part in found["comb", 0].values()]
+    assert sorted(teeth) == [[sorted([(x, 0.2), (x + 1, 0.2), (x + 1, 1.0), (x, 1.0)])] for x in (0.0, 2.0, 4.0)]
+    assert len(found["comb", 1]) == 1 and len(found["comb", 2]) == 1
+
+
+def test_overlay_turns_holes_at_a_side_into_notches_and_keeps_enclaves(spark):
+    grid_cells = cells(spark, [0.5, 1.5], [0.5, 1.5])
+    square, hole, inner = [(0, 0), (2, 0), (2, 2), (0, 2)], [(0.8, 0.2), (1.2, 0.2), (1.2, 0.4), (0.8, 0.4)], [(0.2, 1.2), (0.4, 1.2), (0.4, 1.4), (0.2, 1.4)]
+    edges = layer(spark, [("land", [square, hole, inner]), ("enclave", [hole])])
+    found = parts_by_cell(spatial.overlay(grid.prepare(grid_cells), edges))
+    (notched,) = found["land", 0].values()
+    assert [len(ring) for ring in notched] == [8]
+    (holed,) = found["land", 2].values()
+    assert sorted(len(ring) for ring in holed) == [4, 4]
+    assert sorted(c for a, c in found if a == "enclave") == [0, 1]
+
+
+def test_overlay_parts_cover_exactly_the_polygon(spark):
+    rng = random.Random(31)
+    lats, lons = [0.5, 1.5, 2.5], [0.5, 1.5, 2.5]
+    grid_cells = cells(spark, lats, lons)
+    polygons = [(f"p{i}", [star(rng, 1.5, 1.5, 2.2, 40)]) for i in range(6)]  # spikes in and out of every cell
+    found = parts_by_cell(spatial.overlay(grid.prepare(grid_cells), layer(spark, polygons), digits=9))
+    several = 0
+    for name, (ring,) in polygons:
+        for cell in range(9):
+            x0, y0 = cell % 3, cell // 3
+            parts = list(found.get((name, cell), {}).values())
+            several += len(parts) > 1
+            for _ in range(60):
+                p = (x0 + rng.random(), y0 + rng.random())
+                odd = [sum(rings._inside(p, loop) for loop in part) % 2 for part in parts]
+                assert sum(odd) == rings._inside(p, [(float(a), float(b)) for a, b in ring]), (name, cell, p)
+    assert several > 5
+
+
+def test_outline_of_a_layer_has_no_inner_borders(spark):
+    # two tiles with a T-junction, a third around a hole, an island in the hole, and one that touches at a corner only
+    west, east_low, east_high = [(0, 0), (1, 0), (1, 2), (0, 2)], [(1, 0), (2, 0), (2, 1), (1, 1)], [(1, 1), (2, 1), (2, 2), (1, 2)]
+    frame, gap, island = [(5, 0), (9, 0), (9, 4), (5, 4)], [(6, 1), (8, 1), (8, 3), (6, 3)], [(6.5, 1.5), (7, 1.5), (7, 2)]
+    edges = layer(spark, [("a", [west]), ("b", [east_low]), ("c", [east_high]), ("d", [frame, gap]), ("e", [island]), ("f", [[(2, 2), (3, 2), (3, 3), (2, 3)]])])
+    rows = rings.outline(edges).collect()
+    loops, owner = {}, {}
+    for r in sorted(rows, key=lambda r: (r.ring, r.seq)):
+        loops.setdefault(r.ring, []).append((r.ax, r.ay))
+        owner[r.ring] = r.polygon
+    assert {r.area for r in rows} == {"overview"}
+    for r in rows:  # every edge starts where the one before it ends
+        loop = loops[r.ring]
+        assert (r.bx, r.by) == loop[(r.seq + 1) % len(loop)]
+    shapes = {k: frozenset(v) for k, v in loops.items()}
+    tiles = frozenset([(0, 0), (1, 0), (2, 0), (2, 1), (2, 2), (1, 2), (0, 2)])
+    assert sorted(map(sorted, shapes.values())) == sorted(map(sorted, [tiles, frozenset(frame), frozenset(gap), frozenset(island), frozenset([(2, 2), (3, 2), (3, 3), (2, 3)])]))
+    by_shape = {v: k for k, v in shapes.items()}
+    assert owner[by_shape[frozenset(gap)]] == by_shape[frozenset(frame)]  # the hole belongs to its polygon
+    assert owner[by_shape[frozenset(island)]] == by_shape[frozenset(island)]
+    cells_ = parts_by_cell(spatial.overlay_boundary(grid.prepare(cells(spark, [0.5, 1.5], [0.5, 1.5])), layer(spark, [("a", [west]), ("b", [east_low]), ("c", [east_high])])))
+    assert {k: len(v) for k, v in cells_.items()} == {("overview", c): 1 for c in range(4)}
