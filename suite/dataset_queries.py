@@ -449,6 +449,18 @@ def legend_breaks(spark, sf_dir):
     return rounded(table.select("index", "low", "high", F.explode("breaks").alias("tick")))
 
 
+@register(
+    "legend_range_selected",
+    rounded_sql(with_cube("""
+SELECT v AS variable, quantile_cont(value, 0.02) AS low, quantile_cont(value, 0.98) AS high FROM (
+  SELECT unnest(['pr', 'tmax', 'tmin']) AS v, unnest([pr, tmax, tmin]) AS value FROM wide) WHERE value IS NOT NULL GROUP BY v"""),
+        ["low", "high"], 9),
+)
+def legend_range_selected(spark, sf_dir):
+    """Colour ranges of all daily values, by selecting ranks instead of gathering histograms."""
+    return rounded(legend.colour_range(cube.obs(spark, sf_dir), "value", ("variable",), largest=0), 9)
+
+
 @register(
     "legend_breaks_trend",
     rounded_sql(with_cube(f"""

@@ -1,5 +1,7 @@
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,17 @@ def test_writers_rebalance_by_folder(spark):
     table = spark.range(100).select((F.col("id") % 3).alias("freq"), "id")
     plan = sinks.balanced(table, "freq")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(freq" in plan and "REBALANCE_PARTITIONS_BY_COL" in plan
+
+
+@pytest.mark.parametrize("kind", ["even", "outlier", "same", "two"])
+def test_selected_ranks_equal_percentiles(spark, kind):
+    rng = random.Random(5)
+    values = {"even": [rng.uniform(-3, 9) for _ in range(3000)], "outlier": [rng.gauss(0, 1e-6) for _ in range(2000)] + [1e9, -1e9],
+              "same": [4.25] * 7, "two": [1.0, 2.0]}[kind]
+    table = spark.createDataFrame([("a", v) for v in values] + [(None, 1.0), (None, 3.0), ("b", None)], "index string, v double")
+    by_ranks = {r["index"]: (r.low, r.high) for r in legend.colour_range(table, "v", largest=0).collect()}
+    gathered = {r["index"]: (r.low, r.high) for r in legend.colour_range(table, "v").collect()}
+    assert set(by_ranks) == {"a", None}
+    for key, pair in by_ranks.items():
+        assert pair == pytest.approx(gathered[key], rel=1e-12)
+    assert by_ranks["a"] == pytest.approx(tuple(np.quantile(values, [0.02, 0.98])), rel=1e-12)

@@ -2,6 +2,8 @@ import itertools
 import math
 import random
 import statistics
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -230,3 +232,32 @@ def test_spi_of_a_cell_without_data(spark):
     assert {r.cell_id: r[1] for r in table.groupBy("cell_id").agg(F.count("value")).collect()}[1] == 0
     out = events.yearly_events(table.withColumn("index", F.lit("SPI3"))).filter("cell_id = 1").collect()
     assert all(r.Frequency is None for r in out)
+
+
+def direct(pos, value):
+    i, j = np.triu_indices(len(value), 1)
+    d = value[j] - value[i]
+    return np.sign(d).sum(), np.median(d / (pos[j] - pos[i]))
+
+
+@pytest.mark.parametrize("kind", ["normal", "rounded", "zeros", "trend", "constant", "steps"])
+def test_selected_median_slope_equals_all_slopes(kind):
+    rng = np.random.default_rng(1)
+    n = trend.DIRECT + 900
+    value = {"normal": rng.normal(size=n), "rounded": np.round(rng.normal(size=n), 2), "zeros": np.where(rng.random(n) < 0.7, 0.0, rng.random(n)),
+             "trend": np.arange(n) * 0.01 + np.round(rng.normal(size=n), 1), "constant": np.ones(n), "steps": np.floor(np.arange(n) / 7)}[kind]
+    for pos in (np.arange(float(n)), np.sort(rng.choice(5 * n, n, replace=False)).astype(float)):
+        _, s, _, median = trend._series_statistics(pos, value)
+        assert (s, median) == direct(pos, value)
+    assert trend._paired_median(np.arange(300.0), value[:300], 300 * 299 // 4 - 1, 300 * 299 // 4) == direct(np.arange(300.0), value[:300])[1]
+
+
+def test_long_daily_series_stay_small():
+    rng = np.random.default_rng(2)
+    value = np.round(rng.normal(25, 5, 24_000) + np.arange(24_000) * 1e-4, 1)
+    tracemalloc.start()
+    began = time.perf_counter()
+    trend._series_statistics(np.arange(24_000.0), value)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.perf_counter() - began < 20 and peak < 400e6  # 288 million pairs would be 2.3 GB
