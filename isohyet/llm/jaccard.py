@@ -32,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm.common import dealt, joined, runs, slices, stored
-from isohyet.llm.components import components
+from isohyet.llm.contraction import components
 from isohyet.llm.words import mix64, shingle_sets
 
 WIDTH, LIKENESS = 3, 90     # words a shingle, per cent
-MEMBERS = 1024              # documents and
+MEMBERS = 512               # documents and
 SHINGLES = 4_000_000        # shingles of a part
 HELD = 1 << 20              # segment keys that are linked inside a task before the shuffle
 WEAK = 2                    # shingles of a segment that says little
-MU = 0.01                   # DivideSkip's balance between merging and probing
+MU = 0.0001                 # DivideSkip's balance between merging and probing
+PROBED = 64                 # ids that are probed in the long lists at a time
 
 
 def limits(most: int, likeness: int) -> np.ndarray:
@@ -160,7 +161,7 @@ def candidate_clusters(described: DataFrame) -> DataFrame:
     """``h1, cluster`` of all sets that agree with another on a segment, directly or in a chain."""
     here = described.select("h1", "keys").mapInArrow(_linked_here, "key long, a long, b long")
     n = int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = here.repartition(n, "key").sortWithinPartitions("key", "a").mapInArrow(_linked, "a long, b long").distinct()
+    edges = here.repartition(n, "key").sortWithinPartitions("key", "a").mapInArrow(_linked, "a long, b long")
     return components(edges).select(F.col("node").alias("h1"), F.col("component").alias("cluster"))
 
 
@@ -168,7 +169,8 @@ class Index:
     """Inverted lists of the sets in a block; ids are places in it."""
 
     def __init__(self, sets: np.ndarray, offsets: np.ndarray, likeness: int):
-        self.likeness, self.sizes, self.m = likeness, np.diff(offsets).tolist(), len(offsets) - 1
+        self.likeness, self.lengths, self.m = likeness, np.diff(offsets), len(offsets) - 1
+        self.sizes = self.lengths.tolist()
         owner = np.repeat(np.arange(self.m), np.diff(offsets))
         order = np.argsort(sets, kind="stable")  # ids ascend inside a list
         new = np.concatenate((np.ones(min(len(sets), 1), bool), sets[order][1:] != sets[order][:-1]))
@@ -204,6 +206,8 @@ class Index:
         heap = [(v[0], i) for i, v in enumerate(values)]
         heapify(heap)
         at = [0] * len(values)
+        waiting: list[int] = []   # ids that reached T - L, with their counts; probed together
+        counts: list[int] = []
         while len(heap) >= least:
             found, out = heap[0][0], []
             while heap and heap[0][0] == found:
@@ -211,23 +215,37 @@ class Index:
             if len(out) >= least:
                 go = skip(found)
                 if go == found:
-                    places = probed * self.m + found
-                    at_places = np.minimum(np.searchsorted(self.places, places), len(self.places) - 1)
-                    both = len(out) + np.count_nonzero(self.places[at_places] == places)
-                    if 100 * both >= self.likeness * (size + self.sizes[found] - both):
-                        yield found
-                    go = max(skip(found), found + 1)
+                    waiting.append(found)
+                    counts.append(len(out))
+                    go = found + 1
+                    if len(waiting) == PROBED:
+                        yield from self._reached(waiting, counts, probed, size, skip)
+                        waiting, counts = [], []
+                        go = max(skip(found), go)
             else:
                 while heap and len(out) < least - 1:
                     out.append(heappop(heap)[1])
                 if not heap:
-                    return
+                    break
                 go = heap[0][0]
             for i in out:
                 place = bisect_left(values[i], go, at[i])
                 if place < len(values[i]):
                     at[i] = place
                     heappush(heap, (values[i][place], i))
+        if waiting:
+            yield from self._reached(waiting, counts, probed, size, skip)
+
+    def _reached(self, ids: list[int], counts: list[int], probed: np.ndarray, size: int, skip):
+        """Those of the ids that reach the overlap with the long lists, unless they became uninteresting meanwhile."""
+        who = np.array(ids, np.int64)
+        places = (probed[:, None] * self.m + who[None, :]).ravel()
+        at = np.minimum(np.searchsorted(self.places, places), len(self.places) - 1)
+        both = np.array(counts) + (self.places[at] == places).reshape(len(probed), len(who)).sum(axis=0)
+        linked = 100 * both >= self.likeness * (size + self.lengths[who] - both)
+        for found in who[linked].tolist():
+            if skip(found) == found:
+                yield found
 
 
 class _Groups:
@@ -255,26 +273,29 @@ def _arranged(sets: np.ndarray, offsets: np.ndarray, order: np.ndarray) -> tuple
 def links(sets: np.ndarray, offsets: np.ndarray, likeness: int) -> list[tuple[int, int]]:
     """Links between the sets that hold their components together; no component is missed or too large."""
     index, m = Index(sets, offsets, likeness), len(offsets) - 1
-    groups, found, free = _Groups(m), [], [True] * m
+    groups, found, free, pivots = _Groups(m), [], [True] * m, [False] * m
     for pivot in range(m):
         if free[pivot]:
-            free[pivot] = False
-            for other in index.search(index.of[pivot], index.sizes[pivot], pivot + 1,
-                                      lambda i: i if groups.find(i) != groups.find(pivot) else i + 1):
+            free[pivot], pivots[pivot] = False, True
+            # Pivots before this one have searched it already.
+            for other in index.search(index.of[pivot], index.sizes[pivot], 0,
+                                      lambda i: i + 1 if pivots[i] or groups.find(i) == groups.find(pivot) else i):
                 free[other] = False
                 groups.join(pivot, other)
                 found.append((pivot, other))
-    label = np.array([groups.find(i) for i in range(m)])
+    # Whatever links are left are between documents that are no pivots, in different components.
+    rest = np.flatnonzero(~np.array(pivots))
+    label = np.array([groups.find(i) for i in rest], np.int64)
     kinds, kind, size = np.unique(label, return_inverse=True, return_counts=True)
     if len(kinds) < 2:
         return found
     # Components side by side, the largest last: its members need not search.
-    order = np.lexsort((np.arange(m), kind, size[kind]))
+    by_size = np.lexsort((rest, kind, size[kind]))
+    order, kind = rest[by_size], kind[by_size].tolist()
     index = Index(*_arranged(sets, offsets, order), likeness)
-    kind = kind[order].tolist()
     end = {k: i + 1 for i, k in enumerate(kind)}
     groups = _Groups(len(kinds))
-    for query in range(m):
+    for query in range(len(order)):
         for other in index.search(index.of[query], index.sizes[query], end[kind[query]],
                                   lambda i: i if groups.find(kind[i]) != groups.find(kind[query]) else end[kind[i]]):
             groups.join(kind[query], kind[other])

@@ -124,3 +124,22 @@ def test_linked_sets_share_a_segment():
         if like(x, y) and x != y:
             keys, owner = jaccard.segment_keys(*shingle_sets([" ".join(words), " ".join(other)], 3), 90)
             assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+
+
+@pytest.mark.parametrize("limit", [1 << 21, 20])
+def test_components_by_contraction(spark, monkeypatch, limit):
+    from isohyet.llm import contraction
+
+    rng = random.Random(limit)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(60)]
+    monkeypatch.setattr(contraction, "EDGES", limit)
+    monkeypatch.setattr(contraction, "HELD", 16)
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    loops = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    found = {r["node"]: r["component"] for r in contraction.components(frame).collect()}
+    assert found == {k: v for k, v in label.items() if k not in loops}
+    assert contraction.components(frame.filter("a < 0")).collect() == []
