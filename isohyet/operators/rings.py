@@ -12,16 +12,16 @@ successors by a join, and rings, with the order inside them, by pointer doubling
 
 from __future__ import annotations
 
+import json
 import math
 import sys
 from collections import Counter, defaultdict
-from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import StringType
 
 from isohyet import model
 from isohyet.session import settle
@@ -30,7 +30,7 @@ from isohyet.session import settle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Point = tuple[float, float]
-PARTS = reduce(lambda kind, _: ArrayType(kind), range(4), DoubleType())
+PARTS = "array<array<array<array<double>>>>"
 DIGITS = 9           # coordinates that agree so far are one vertex
 ON_EDGE = 1e-9       # degrees between a vertex and an edge that it lies on
 
@@ -136,15 +136,12 @@ def valid_parts(rings: list[list[Point]], box: tuple[float, float, float, float]
     return parts
 
 
-@F.pandas_udf(PARTS)
+@F.pandas_udf(StringType())
 def parts_of(rings: pd.Series, west: pd.Series, south: pd.Series, east: pd.Series, north: pd.Series) -> pd.Series:
-    """``valid_parts`` of the rows that have rings."""
+    """``valid_parts`` of the rows that have rings, as JSON, since nested arrays do not travel safely to and fro."""
 
-    def row(shapes, *box):
-        if shapes is None:
-            return None
-        loops = [[(float(p[0]), float(p[1])) for p in ring] for ring in shapes]
-        return [[[list(p) for p in ring] for ring in part] for part in valid_parts(loops, box)]
+    def row(text, *box):
+        return None if text is None else json.dumps(valid_parts([[tuple(p) for p in ring] for ring in json.loads(text)], box))
 
     return pd.Series([row(*values) for values in zip(rings, west, south, east, north)], dtype=object)
 

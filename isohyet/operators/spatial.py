@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.operators.grid import Grid
-from isohyet.operators.rings import outline, parts_of
+from isohyet.operators.rings import PARTS, outline, parts_of
 
 # Covered shares below this are rounding noise of the edge sums.
 NOISE = 1e-9
@@ -260,7 +260,7 @@ def _rebuilt(rings: DataFrame, sides: list[str]) -> DataFrame:
     shapes = rings.groupBy("area", "polygon", "row", "col", "cell_id", *sides).agg(
         shape.alias("rings"), (F.max("doubtful") | (F.count("*") > 1)).alias("doubtful"))
     loops = F.transform("rings", lambda r: r["points"])
-    again = parts_of(F.when(F.col("doubtful"), loops), *sides)
+    again = F.from_json(parts_of(F.when(F.col("doubtful"), F.to_json(loops)), *sides), PARTS)
     parts = shapes.withColumn("again", again).withColumn("parts", F.coalesce("again", F.array(loops)))
     each = parts.select("cell_id", "area", "polygon", "rings", "doubtful", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "loops"))
     polygon = F.when(F.col("n") > 1, F.xxhash64("polygon", "part")).otherwise(F.col("polygon"))

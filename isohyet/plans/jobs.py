@@ -16,7 +16,7 @@ from isohyet import model
 from isohyet.model import Baseline, Scope
 from isohyet.operators import clean, events, grid, legend, maps, merge, profile, runner, series, spatial
 from isohyet.operators.grid import Grid
-from isohyet.sources import areas, obs as obs_source, sinks
+from isohyet.sources import areas, manifest, obs as obs_source, sinks
 
 
 CELL_OUTLINES = "cell_id bigint, area string, polygon bigint, coordinates array<array<array<double>>>"
@@ -114,9 +114,10 @@ def index_run(
     ``source`` is the path of the merged dataset, or with ``bucketed`` the name of its table.  On a bucketed
     table neither the clip to the areas nor the indices shuffle the observations.
 
-    Written under ``out``: boundary, cell_area, cell_outlines, index_values, area_values, maps, maps_metadata, series and
-    series_metadata.  All but the boundary are kept by country and layer, values also by their settings, and a run
-    writes and reads only its own, so runs for other countries, layers, selections or thresholds stay as they are.
+    Written under ``out``: boundary, cell_area, cell_outlines, uncovered_areas, index_values, area_values, maps,
+    maps_metadata, series and series_metadata, and the manifest of what is finished.  All but the boundary are kept by
+    country and layer, values, maps and series also by their settings, and a run writes and reads only its own, so runs
+    for other countries, layers, selections, baselines or thresholds stay as they are.
     """
     observed = open_obs(spark, source, bucketed)
     by_variable, windows, raw = runner.plan_selection(work.selected)
@@ -138,6 +139,7 @@ def index_run(
         stored = stored_values(spark, out, work, name, [f"SPI{w}" for w in windows])
         base = stored.filter((F.col("freq") == "MS") & F.col("index").isin([f"SPI{w}" for w in windows]))
         write_values(events.event_values(base, work.spi_threshold), out, work, name)
+    record_values(spark, out, work, name, work.selected)
     write_outputs(spark, layer, out, work, name)
 
 
@@ -146,6 +148,12 @@ def write_values(values: DataFrame, out: str, work: Workspace, layer: str) -> No
     sinks.write_index_values(keyed, f"{out}/index_values", "country", "layer", "setting")
 
 
+def record_values(spark: SparkSession, out: str, work: Workspace, layer: str, selected: list[str] | None) -> None:
+    """Notes which of the selected indices are stored, and at which frequency."""
+    there = stored_values(spark, out, work, layer, selected).select("index", F.col("freq").alias("span")).distinct()
+    manifest.record(_keyed(there, work, layer).withColumn("setting", setting(work)), manifest.VALUES, out)
+
+
 def place_cells(cells: Grid, layer: DataFrame, out: str, work: Workspace, name: str) -> None:
     """Area weights and cut outlines of the cells, once for all indices and maps."""
     sinks.write_table(_keyed(spatial.cell_area(cells, layer), work, name), f"{out}/cell_area", "country", "layer")
@@ -153,6 +161,16 @@ def place_cells(cells: Grid, layer: DataFrame, out: str, work: Workspace, name:
     covered = _placed(layer.sparkSession, f"{out}/cell_area", model.CELL_AREA, work, name).select("cell_id", "area")
     outlines = sinks.cell_outlines(spatial.overlay(cells, layer)).join(covered, ["cell_id", "area"], "left_semi")
     sinks.write_table(_keyed(outlines, work, name), f"{out}/cell_outlines", "country", "layer")
+    # Areas too small for the grid have no output; they are listed instead.
+    without = spatial.uncovered_areas(layer, covered)
+    sinks.write_table(_keyed(without, work, name), f"{out}/uncovered_areas", "country", "layer")
+    manifest.record(_own(layer.sparkSession, work, name), manifest.CELLS, out)
+
+
+def _own(spark: SparkSession, work: Workspace, layer: str, *indices: str) -> DataFrame:
+    """What this run calls its own: country and layer, and for each index its setting."""
+    table = _keyed(spark.createDataFrame([(i,) for i in indices] or [("",)], "`index` string"), work, layer)
+    return table.withColumn("setting", setting(work)) if indices else table
 
 
 def _placed(spark: SparkSession, path: str, schema: str, work: Workspace, layer: str) -> DataFrame:
@@ -172,21 +190,22 @@ def write_outputs(spark: SparkSession, layer: DataFrame, out: str, work: Workspa
     means = means.drop("country", "layer", "setting")
 
     write_maps(spark, values, means, layer, out, work, name)
-    country = F.lit(work.country).alias("country")
+    owner = [F.lit(work.country).alias("country"), F.lit(name).alias("layer"), setting(work).alias("setting")]
     chartable = ~F.col("index").rlike("_(Drought|Flood)_")
     yearly = means.filter(chartable & (F.col("freq") == "YS"))
     # SPI exists monthly only; its yearly series is the mean of its months.
     spi = means.filter(chartable & (F.col("freq") == "MS") & F.col("index").startswith("SPI"))
-    sinks.write_series(series.yearly_series(yearly.unionByName(spi)).select("*", country), f"{out}/series/annual")
+    sinks.write_series(series.yearly_series(yearly.unionByName(spi)).select("*", *owner), f"{out}/series/annual")
     monthly = means.filter(chartable & (F.col("freq") == "MS"))
-    sinks.write_series(series.monthly_series(monthly).select("*", country), f"{out}/series/seasonal")
+    sinks.write_series(series.monthly_series(monthly).select("*", *owner), f"{out}/series/seasonal")
     units = F.broadcast(model.catalogue(spark).select("index", "units"))  # 65 fixed rows
     methods = F.when(F.col("freq") == "YS", "annual mean").otherwise("seasonal cycle")
     metadata = maps.span(means.filter(chartable), ("area", "index", "freq")).join(units, "index", "left").select(
-        country, "area", "index", "freq", "units", methods.alias("method"), "start_date", "end_date",
+        *owner, "area", "index", "freq", "units", methods.alias("method"), "start_date", "end_date",
         F.array("first_year", "last_year").alias("years"),
     )
-    sinks.write_metadata(metadata, f"{out}/series_metadata", ["country", "area", "index", "freq"])
+    sinks.write_metadata(metadata, f"{out}/series_metadata", [*sinks.SERIES_KEYS, "freq"])
+    manifest.record(_own(spark, work, name, *selected), manifest.SERIES, out)
 
 
 def _spanned(table: DataFrame, years: DataFrame, work: Workspace) -> DataFrame:
@@ -223,19 +242,19 @@ def write_maps(
     cell_values, area_values = mappable(values), mappable(means)
     years = maps.span(cell_values)
     outlines = _placed(spark, f"{out}/cell_outlines", CELL_OUTLINES, work, name)
-    country = F.lit(work.country).alias("country")
+    owner = [F.lit(work.country).alias("country"), F.lit(name).alias("layer"), setting(work).alias("setting")]
 
     def cell_map(table: DataFrame, mode: str, properties: list[str]) -> DataFrame:
         cut = sinks.cut_features(table, outlines, properties)
         return _spanned(cut, years, work).select(
-            country, "area", "index", F.lit("maps_grid").alias("style"), F.lit(mode).alias("mode"), "span", "feature"
+            *owner, "area", "index", F.lit("maps_grid").alias("style"), F.lit(mode).alias("mode"), "span", "feature"
         )
 
     def area_map(table: DataFrame, mode: str, properties: list[str]) -> DataFrame:
         table = table.filter(F.col("area") != model.OVERVIEW)
         drawn = sinks.area_features(table, layer, properties)
         return _spanned(drawn, years, work).select(
-            country, F.lit(model.OVERVIEW).alias("area"), "index", F.lit("maps_shp").alias("style"),
+            *owner, F.lit(model.OVERVIEW).alias("area"), "index", F.lit("maps_shp").alias("style"),
             F.lit(mode).alias("mode"), "span", "feature",
         )
 
@@ -257,13 +276,14 @@ def write_maps(
     drawn = area_values.select("index", "area").distinct().withColumn("style", F.explode(F.when(
         F.col("area") == model.OVERVIEW, F.array(F.lit("maps_grid"), F.lit("maps_shp"))).otherwise(F.array(F.lit("maps_grid")))))
     metadata = _spanned(modes.join(drawn, "index").join(units, "index", "left"), years, work).select(
-        country, "area", "index", "style", "mode", "span", "units", "start_date", "end_date",
+        *owner, "area", "index", "style", "mode", "span", "units", "start_date", "end_date",
         F.array("first_year", "last_year").alias("years"),
         F.when(F.col("mode") == "trend", F.lit("Mann-Kendall")).alias("trend_method"),
         F.when(is_event, F.lit(float(work.spi_threshold))).alias("spi_threshold"),
         F.lit(None if work.baseline is None else f"{work.baseline.start_year}-{work.baseline.end_year}").cast("string").alias("baseline"),
     )
     sinks.write_metadata(metadata, f"{out}/maps_metadata", sinks.MAP_KEYS)
+    manifest.record(_spanned(years, years, work).select(*owner, "index", "span"), manifest.MAP, out)
 
 
 def on_demand_map(
@@ -274,54 +294,51 @@ def on_demand_map(
 
     Values that an index run has stored under the same country, layer and settings are used as they are.
     """
-    threshold = float(work.spi_threshold) if "_" in index else None
-    if _has_map(spark, out, work.country, index, sinks.span_name(*span, threshold)):
+    name = layer_id(area_edges)
+    if _lacking_maps(spark, out, [index], span, work, name).isEmpty():
         return False
-    layer, name = areas.with_overview(area_edges), layer_id(area_edges)
-    placed = sinks.folder(country=work.country, layer=name)
-    if not all(_exists(spark, f"{out}/{table}/{placed}") for table in ("cell_area", "cell_outlines")):
+    layer = areas.with_overview(area_edges)
+    if not manifest.lacking(_own(spark, work, name), manifest.CELLS, out).isEmpty():
         observed = open_obs(spark, source, bucketed)
         place_cells(grid.prepare(obs_source.cells_of(observed)), layer, out, work, name)
     weights = _placed(spark, f"{out}/cell_area", model.CELL_AREA, work, name)
 
-    def stored() -> DataFrame:
-        mine = stored_values(spark, out, work, name, [index]).filter(F.col("index") == index)
-        return mine.filter((F.col("freq") == "YS") | F.col("index").rlike(r"^SPI\d+$"))
-
-    if not _exists(spark, f"{out}/index_values") or stored().isEmpty():
+    # Base SPI has monthly values only.
+    freq = "MS" if model.spi_window(index) is not None and "_" not in index else "YS"
+    if not manifest.lacking(_own(spark, work, name, index).withColumn("span", F.lit(freq)), manifest.VALUES, out).isEmpty():
         clipped = spatial.clip(open_obs(spark, source, bucketed), weights, model.OVERVIEW)
         values = runner.compute_indices(
             clipped, [index], ("YS",), work.baseline, work.spi_threshold, work.missing, colocated=bucketed
         ).filter(F.col("index") == index)
         write_values(values, out, work, name)
-    write_maps(spark, stored(), spatial.area_mean(stored(), weights), layer, out, replace(work, span=span), name)
+        record_values(spark, out, work, name, [index])
+    mine = stored_values(spark, out, work, name, [index]).filter(F.col("index") == index)
+    stored = mine.filter((F.col("freq") == "YS") | F.col("index").rlike(r"^SPI\d+$"))
+    write_maps(spark, stored, spatial.area_mean(stored, weights), layer, out, replace(work, span=span), name)
     return True
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
-def _has_map(spark: SparkSession, out: str, country: str, index: str, span: str) -> bool:
-    """Whether the country's overview has the actual grid map; one folder is looked at, no map is read."""
-    keys = {"country": country, "area": model.OVERVIEW, "index": index, "style": "maps_grid", "mode": "actual", "span": span}
-    return _exists(spark, f"{out}/maps/{sinks.folder(**{k: keys[k] for k in sinks.MAP_KEYS})}")
+def _lacking_maps(
+    spark: SparkSession, out: str, indices: list[str], span: tuple[int, int], work: Workspace, layer: str
+) -> DataFrame:
+    """Those of the indices whose maps of this span, country, layer and setting are not finished."""
+    wanted = _own(spark, work, layer, *indices)
+    return manifest.lacking(_spanned(wanted, wanted, replace(work, span=span)), manifest.MAP, out)
 
 
 def preview(
     spark: SparkSession, source: str, area_edges: DataFrame, out: str, work: Workspace, bucketed: bool = False
 ) -> bool:
-    """Maps and series of the raw variables; a variable whose map of all years is there is left out."""
+    """Maps and series of the raw variables; a variable whose maps of all years are finished is left out."""
     observed = open_obs(spark, source, bucketed)
     facts = observed.groupBy("variable").agg(F.min(F.year("date")).alias("first"), F.max(F.year("date")).alias("last")).collect()
     ends = {r["variable"]: (r["first"], r["last"]) for r in facts}  # a few variables
     span = work.span or (min((a for a, _ in ends.values()), default=0), max((b for _, b in ends.values()), default=0))
-    lacking = [v for v in model.ALLOWED_VARIABLES if v in ends
-               and not _has_map(spark, out, work.country, v, sinks.span_name(*span))]
+    there = [v for v in model.ALLOWED_VARIABLES if v in ends]
+    lacking = {r["index"] for r in _lacking_maps(spark, out, there, span, work, layer_id(area_edges)).collect()} if there else set()
     if not lacking:
         return False
-    index_run(spark, source, area_edges, out, replace(work, selected=lacking), bucketed)
+    index_run(spark, source, area_edges, out, replace(work, selected=[v for v in there if v in lacking]), bucketed)
     return True
 
 

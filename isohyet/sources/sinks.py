@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from isohyet.operators.grid import Grid, outline
 from isohyet.sources.areas import as_polygons, polygons
 
-# The folders users look maps and series up in.
-MAP_KEYS = ["country", "area", "index", "style", "mode", "span"]
-SERIES_KEYS = ["country", "area", "index"]
+# The folders users look maps and series up in.  What they belong to - the layer and the settings - comes
+# right after the country, so that another layer or baseline has folders of its own.
+MAP_KEYS = ["country", "layer", "setting", "area", "index", "style", "mode", "span"]
+SERIES_KEYS = ["country", "layer", "setting", "area", "index"]
 
 
 def balanced(table: DataFrame, *partitions: str) -> DataFrame:
@@ -111,7 +112,7 @@ def span_name(first_year: int, last_year: int, threshold: float | None = None) -
 
 
 def write_map(features: DataFrame, path: str) -> None:
-    """Features as newline-delimited GeoJSON under country/area/index/style/mode/span."""
+    """Features as newline-delimited GeoJSON under country/layer/setting/area/index/style/mode/span."""
     (
         balanced(features.select(*MAP_KEYS, "feature"), *MAP_KEYS).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(*MAP_KEYS).text(path)
@@ -125,7 +126,7 @@ def write_metadata(metadata: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def write_series(series: DataFrame, path: str) -> None:
-    """Chart records as JSON lines, by country, area and index."""
+    """Chart records as JSON lines, by country, layer, setting, area and index."""
     (
         balanced(series, *SERIES_KEYS).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(*SERIES_KEYS).json(path)
@@ -135,12 +136,3 @@ def write_series(series: DataFrame, path: str) -> None:
 def not_yet_present(requested: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Requested outputs that do not exist yet."""
     return requested.join(existing.select(*keys).distinct(), keys, "left_anti")
-
-
-# Characters that Spark writes as %XX in the names of partition folders.
-ESCAPED = set('"#%\'*/:=?\\{[]^\x7f') | {chr(i) for i in range(1, 32)}
-
-
-def folder(**values: str) -> str:
-    """The path of one partition below its table."""
-    return "/".join(f"{k}=" + "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in v) for k, v in values.items())

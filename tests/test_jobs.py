@@ -2,6 +2,7 @@ import datetime
 import json
 import math
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from isohyet.model import Baseline, Scope
 from isohyet.operators import runner, spatial
 from isohyet.plans import jobs
-from isohyet.sources import areas, obs
+from isohyet.sources import areas, manifest, obs
 from conftest import explain
 from isohyet.streaming.ingest import ingest_new_files
 
@@ -201,6 +202,44 @@ def test_on_demand_map_is_made_once(spark, merged, run):
     assert jobs.on_demand_map(spark, merged, edges, out, "SPI3_Flood_Peak", (2000, 2001), work)
 
 
+def test_another_baseline_or_layer_gets_maps_of_its_own(spark, merged, run):
+    out, edges, work = run
+    span = (2001, 2002)
+    assert jobs.on_demand_map(spark, merged, edges, out, "TX90p", span, work)
+    assert not jobs.on_demand_map(spark, merged, edges, out, "TX90p", span, work)
+    other = replace(work, baseline=Baseline(2001, 2003))
+    assert jobs.on_demand_map(spark, merged, edges, out, "TX90p", span, other)
+    west = edges.filter("area = 'west'")
+    assert jobs.on_demand_map(spark, merged, west, out, "TX90p", span, work)
+    assert not jobs.on_demand_map(spark, merged, west, out, "TX90p", span, work)
+    # An index without a baseline has the same setting under both, and its map is there.
+    assert jobs.on_demand_map(spark, merged, edges, out, "CDD", span, work)
+    assert not jobs.on_demand_map(spark, merged, edges, out, "CDD", span, other)
+    maps = spark.read.text(f"{out}/maps").filter("`index` = 'TX90p' and span = '2001_2002' and style = 'maps_grid' and mode = 'actual' and area = 'overview'")
+    per_map = {(r.layer, r.setting): r.n for r in maps.groupBy("layer", "setting").agg(F.count("*").alias("n")).collect()}
+    assert len(per_map) == 3 and sorted(per_map.values()) == [4, 6, 6]
+
+
+def test_a_map_that_was_not_finished_is_made_again(spark, merged, run, tmp_path):
+    out, edges, work = str(tmp_path / "half"), run[1].filter("area = 'west'"), run[2]
+    assert jobs.on_demand_map(spark, merged, edges, out, "TXx", (2001, 2002), work)
+    before = read_features(spark, out)
+    noted = spark.read.parquet(manifest.path(out)).filter("kind <> 'map'").collect()
+    elsewhere = manifest.path(str(tmp_path / "kept"))
+    spark.createDataFrame(noted, manifest.SCHEMA).write.parquet(elsewhere)  # as if the job had died before it was done
+    spark.read.parquet(elsewhere).write.mode("overwrite").parquet(manifest.path(out))
+    assert jobs.on_demand_map(spark, merged, edges, out, "TXx", (2001, 2002), work)
+    assert not jobs.on_demand_map(spark, merged, edges, out, "TXx", (2001, 2002), work)
+    assert sorted(map(str, read_features(spark, out))) == sorted(map(str, before))
+
+
+def test_small_areas_are_reported_and_series_belong_to_a_layer(spark, run):
+    out, edges, work = run
+    assert [r.area for r in spark.read.parquet(f"{out}/uncovered_areas").collect()] == ["far"]
+    annual = spark.read.json(f"{out}/series/annual").filter("`index` = 'CDD'")
+    assert {(r.layer, r.setting) for r in annual.select("layer", "setting").distinct().collect()} == {(jobs.layer_id(edges), "missing_any")}
+
+
 def test_metadata_survives_an_on_demand_map(spark, run):
     out, _, _ = run
     meta = spark.read.json(f"{out}/maps_metadata").filter("`index` = 'TXx' and area = 'overview' and mode = 'actual'")
