@@ -1,15 +1,15 @@
 """Phrases whose words occur together more often than apart, by Apriori levels over broadcast double-array tries.
 
-Level k counts candidate phrases of k words.  They go out as double-array tries, ``BLOCK`` phrases at a time; in each
-task numpy moves the states of all text positions one word further at a time, a bincount over the accepting states
-gives the shard's counts, and Spark sums the shards.  The same scan finds the next level's candidates: a position
-that accepted phrase p hands on (p, hash of its next word) with a count, if the k words from its second one on are a
-candidate too (tested in a bit table of fixed size, which may let more through but never less).  Pairs whose sum
-reaches the limit, spelled with the frequent words of that hash, are the next candidates.  Hashes can only merge
-counts and so add candidates; what is returned was counted by the tries, in which a word is known by two independent
-64-bit hashes.
+Words are counted first; those that are frequent in their language get numbers, and texts are stored once as runs of
+such numbers.  Level k then counts candidate phrases of k words.  They go out as double-array tries, ``BLOCK`` phrases
+at a time, a word being one step a digit of its number; in each task numpy moves the states of all text positions one word further at a time, a bincount over the
+accepting states gives the shard's counts, and Spark sums the shards.  The same scan finds the next level's
+candidates: a position that accepted phrase p hands on (p, next word) with a count, if the k words from its second one
+on are a candidate too (tested in a bit table of fixed size, which may let more through but never less).  Pairs whose
+sum reaches the limit are the next candidates.  At level 1 a frequent word is its own state.
 
-A broadcast holds at most ``BLOCK`` phrases; more of them need more scans of the texts, one after the other.
+Words are known by two independent 64-bit hashes.  A broadcast holds at most ``WORDS`` words or ``BLOCK`` phrases; more
+of them need more scans, one after the other.
 
 Defined cases: null texts are empty; a null language is ``und``; repeated rows and rows without doc_id count like any
 other; texts without words and empty tables add nothing; ties are ordered by phrase.  Other columns are ignored.
@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.llm.common import slices, stored
-from isohyet.llm.trie import DoubleArray, build
+from isohyet.llm.trie import DoubleArray, build, digits
 from isohyet.llm.words import Words, hashed, mix64
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-BLOCK = 1 << 19      # phrases in one broadcast
+WORDS = 1 << 21      # words and
+BLOCK = 1 << 18      # phrases in one broadcast
 BITS = 24            # the bit table has 2**BITS bits
-HELD = 1 << 20       # pairs that a task holds before it adds them up
+HELD = 1 << 20       # counts that a task holds before it adds them up
+NEXT = 1 << 32       # a continuation is phrase * NEXT + word; 0 in place of the word is the phrase itself
 
 _BREAKS = np.zeros(256, bool)  # end a piece
 _BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -40,228 +42,345 @@ _APART[[0x20, 0x09]] = True
 _SECOND = np.random.default_rng(11).permutation(256).astype(np.uint8)
 
 
+def _language_hash(lang: str) -> int:
+    data = np.frombuffer(lang.encode("utf-8", "surrogatepass") + b"\x00", np.uint8)
+    return int(hashed(data, np.array([0]), np.array([len(data)]))[0])
+
+
 class Pieces(Words):
-    """Words of texts; ``linked[i]`` tells whether word i + 1 follows in the same piece."""
+    """Words of texts; ``linked[i]`` tells whether word i + 1 follows in the same piece, ``key`` and ``proof`` are two
+    hashes of the word in its language."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, langs):
         super().__init__(texts, _APART)
-        breaks = np.concatenate(([0], np.cumsum(_BREAKS[self.raw])))
         self.linked = np.zeros(len(self.start), bool)
         if len(self.start):
-            self.linked[:-1] = (self.text[1:] == self.text[:-1]) & (breaks[self.start[1:]] == breaks[self.end[:-1]])
-        self.h1 = self.hashes()
-        self.h2 = hashed(_SECOND[self.raw], self.start, self.end) if len(self.start) else self.h1
-
+            breaks = np.flatnonzero(_BREAKS[self.raw])
+            self.linked[:-1] = ((self.text[1:] == self.text[:-1])
+                                & (np.searchsorted(breaks, self.start[1:]) == np.searchsorted(breaks, self.end[:-1])))
+        language = np.array([_language_hash(x) for x in langs], np.uint64)[self.text]
+        self.key = mix64(self.hashes() + language)
+        self.proof = hashed(_SECOND[self.raw], self.start, self.end) + language if len(self.start) else self.key
 
-def _window_hashes(h1: np.ndarray, width: int, language: np.ndarray) -> np.ndarray:
-    """Hashes of ``width`` words from each place that has so many; pieces are not looked at."""
-    n = max(len(h1) - width + 1, 0)
-    out = mix64(language[:n])
-    for t in range(width):
-        out = mix64(out + h1[t:n + t])
-    return out
-
-
-def _language_hash(lang: str) -> int:
-    data = np.frombuffer(lang.encode("utf-8", "surrogatepass") + b"\x00", np.uint8)
-    return int(hashed(data, np.array([0]), np.array([len(data)]))[0])
+    def spelled(self, which: np.ndarray) -> pa.Array:
+        """Some of the words, as an Arrow array."""
+        size = self.end[which] - self.start[which]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        raw = self.raw[np.repeat(self.start[which] - ends[:-1], size) + np.arange(ends[-1])]
+        return pa.Array.from_buffers(pa.string(), len(which), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
 
 
 def _texts(batches):
     for batch in batches:
         texts, langs = batch["text"].to_pylist(), batch["lang"].to_pylist()
         for a, b in slices(texts):
-            yield Pieces(texts[a:b]), langs[a:b]
+            yield Pieces(texts[a:b], langs[a:b]), langs[a:b], batch.slice(a, b - a)
 
 
 def _count_words(batches):
-    """``lang, word, w1, w2, f`` of each task's words, added up as long as they fit."""
-    held: dict[tuple[str, bytes], list[int]] = {}
+    """``lang, word, key, proof, f`` of each task's words, added up as long as they fit."""
+    held, size = [], 0
 
     def flush():
-        if held:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in held]), pa.array([k[1].decode("utf-8", "replace") for k in held]),
-                 pa.array(np.array([v[0] for v in held.values()], np.uint64).view(np.int64)),
-                 pa.array(np.array([v[1] for v in held.values()], np.uint64).view(np.int64)),
-                 pa.array([v[2] for v in held.values()], pa.int64())], ["lang", "word", "w1", "w2", "f"])
-        held.clear()
-
-    for pieces, langs in _texts(batches):
-        names = sorted(set(langs))
-        numbers = {x: i for i, x in enumerate(names)}
-        number = np.array([numbers[x] for x in langs], np.int64)[pieces.text]
-        order = np.lexsort((pieces.h2, pieces.h1, number))
-        h1, h2, language = pieces.h1[order], pieces.h2[order], number[order]
-        new = np.flatnonzero(np.concatenate((np.ones(min(len(h1), 1), bool), (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (language[1:] != language[:-1]))))
-        for at, m in zip(new, np.diff(np.append(new, len(h1)))):
-            known = held.setdefault((names[language[at]], pieces.word(order[at])), [int(h1[at]), int(h2[at]), 0])
-            known[2] += int(m)
-        if len(held) > HELD // 4:
-            yield from flush()
-    yield from flush()
+        whole = pa.concat_tables(held).combine_chunks()
+        key, proof = (whole[c].to_numpy() for c in ("key", "proof"))
+        order = np.lexsort((proof, key))
+        new = np.flatnonzero(np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (proof[order][1:] != proof[order][:-1]))))
+        out = whole.take(pa.array(order[new]))
+        return out.set_column(out.schema.get_field_index("f"), "f", pa.array(np.add.reduceat(whole["f"].to_numpy()[order], new)))
+
+    for pieces, langs, _ in _texts(batches):
+        if not len(pieces.key):
+            continue
+        order = np.lexsort((pieces.proof, pieces.key))
+        key, proof = pieces.key[order], pieces.proof[order]
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (proof[1:] != proof[:-1]))))
+        which = order[new]
+        held.append(pa.table({
+            "lang": pa.array(langs, pa.string()).take(pa.array(pieces.text[which])), "word": pieces.spelled(which),
+            "key": pa.array(key[new].view(np.int64)), "proof": pa.array(proof[new].view(np.int64)),
+            "f": pa.array(np.diff(np.append(new, len(key))).astype(np.int64))}))
+        size += len(which)
+        if size > HELD // 4:
+            held = [flush()]
+            size = held[0].num_rows
+            if size > HELD // 8:
+                yield from held[0].to_batches()
+                held, size = [], 0
+    if held:
+        yield from flush().to_batches()
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Stored rows with a number from 1 on, without gaps; only the sizes of the partitions reach the driver."""
+    low = F.lit((1 << 33) - 1).cast("long")
+    placed = stored(rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(low)}), "numbered")
+    sizes = sorted(placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    before = np.concatenate(([0], np.cumsum([n for _, n in sizes])))
+    starts = rows.sparkSession.createDataFrame([(p, int(b)) for (p, _), b in zip(sizes, before)], "_part int, _before long")
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Words of one broadcast by their hashes, ascending, with their codes."""
+
+    key: np.ndarray
+    proof: np.ndarray
+    code: np.ndarray
+    most: int            # words of one key
+
+    def codes(self, pieces: Pieces) -> np.ndarray:
+        out = np.zeros(len(pieces.key), np.int32)
+        if len(self.key):
+            at = np.searchsorted(self.key, pieces.key)
+            for shift in range(self.most):
+                here = np.minimum(at + shift, len(self.key) - 1)
+                same = (self.key[here] == pieces.key) & (self.proof[here] == pieces.proof)
+                out[same] = self.code[here[same]]
+        return out
+
+
+def _vocabulary(rows: pa.Table) -> Vocabulary:
+    key, proof = (rows[c].to_numpy().view(np.uint64) for c in ("key", "proof"))
+    order = np.lexsort((proof, key))
+    key = key[order]
+    runs = np.diff(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))) if len(key) else np.ones(1, int)
+    return Vocabulary(key, proof[order], rows["code"].to_numpy()[order].astype(np.int32), int(runs.max()))
+
+
+def _runs_of_codes(codes: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Codes of linked frequent words, in order; 0 between runs, words on their own are left out."""
+    joins = linked & (codes > 0)
+    joins[:-1] &= codes[1:] > 0
+    joins[-1:] = False
+    after = np.concatenate(([False], joins[:-1]))
+    inside = joins | after
+    ends = inside & ~joins
+    out = np.zeros((2, len(codes)), np.int32)
+    out[0] = codes
+    used = np.stack((inside, ends))
+    return out.T[used.T]
+
+
+def _encode(shared, last: bool):
+    """Adds the codes of one block of words to those found before; the last block's pass leaves runs of codes only."""
+
+    def task(batches):
+        for pieces, _, batch in _texts(batches):
+            codes = shared.value.codes(pieces)
+            if "codes" in batch.schema.names:
+                codes += np.frombuffer(b"".join(batch["codes"].to_pylist()), np.int32)
+            if last:
+                runs = _runs_of_codes(codes, pieces.linked)
+                if len(runs):
+                    yield pa.RecordBatch.from_arrays([pa.array([runs.tobytes()], pa.binary())], ["codes"])
+            else:
+                parts = [codes[a:b].tobytes() for a, b in zip(pieces.first[:-1], pieces.first[1:])]
+                yield pa.RecordBatch.from_arrays([batch["lang"], batch["text"], pa.array(parts, pa.binary())], ["lang", "text", "codes"])
+
+    return task
+
+
+def _blocks(table: DataFrame, size: int, key: str, columns: list[str]):
+    """The table in parts of about ``size`` rows, collected one at a time."""
+    n = -(-table.count() // size)
+    for i in range(n):
+        yield i == n - 1, table.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i).select(*columns).toArrow()
+
+
+def _coded(texts: DataFrame, words: DataFrame) -> DataFrame | None:
+    """``codes``: the texts as runs of the numbers of frequent words; None without any."""
+    table = None
+    for last, rows in _blocks(words, WORDS, "code", ["key", "proof", "code"]):
+        shared = texts.sparkSession.sparkContext.broadcast(_vocabulary(rows))
+        table = texts if table is None else table
+        table = stored(table.mapInArrow(_encode(shared, last), "codes binary" if last else "lang string, text string, codes binary"), "codes")
+        shared.destroy()
+    return table
 
 
 @dataclass(frozen=True)
 class Block:
-    """A trie of phrases of ``width`` words, below one node a language; ``ids`` of accepting states, else -1."""
+    """A trie of phrases of ``width`` words, each word one step a digit of its place in ``words``; ``ids`` belong to
+    accepting states."""
 
     width: int
-    languages: list[str]
-    h1: np.ndarray           # of the words, ascending; codes follow those of the languages
-    h2: np.ndarray
-    most: int                # words of one first hash
+    words: np.ndarray        # codes, ascending
+    digits: np.ndarray       # a row for each of them; the first row is for all others and leads nowhere
     trie: DoubleArray
     ids: np.ndarray
     bits: np.ndarray         # of the windows that are candidates, in any block
 
-    def codes(self, pieces: Pieces) -> np.ndarray:
-        code = np.zeros(len(pieces.h1), np.int64)
-        at = np.searchsorted(self.h1, pieces.h1)
-        for shift in range(self.most):
-            here = np.minimum(at + shift, len(self.h1) - 1)
-            same = (self.h1[here] == pieces.h1) & (self.h2[here] == pieces.h2)
-            code[same] = here[same] + 1 + len(self.languages)
-        return code
-
-
-def _block(rows: pa.Table, width: int, bits: np.ndarray) -> Block:
-    langs, phrases = rows["lang"].to_pylist(), rows["phrase"].to_pylist()
-    languages = sorted(set(langs))
-    words = Words(phrases)
-    h1, h2 = words.hashes(), hashed(_SECOND[words.raw], words.start, words.end)
-    order = np.lexsort((h2, h1))
-    first, second = h1[order], h2[order]
-    new = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
-    code = np.empty(len(h1), np.int64)
-    code[order] = np.cumsum(new) + len(languages)
-    numbers = {x: i + 1 for i, x in enumerate(languages)}
-    language = np.array([numbers[x] for x in langs])
-    paths = np.concatenate((language[:, None], code.reshape(-1, width)), axis=1)
-    trie, ends = build(paths, int(code.max()))
-    ids = np.full(len(trie.base), -1, np.int64)
+    def step(self, state: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States and positions that are alive after one more word (its place in ``words`` from 1 on, 0 for others)."""
+        codes = self.digits[word]
+        for k in range(codes.shape[1]):
+            state = self.trie.step(state, codes[:, k])
+            alive = state >= 0
+            state, at, codes = state[alive], at[alive], codes[alive]
+        return state, at
+
+
+def _paths(rows: pa.Table) -> np.ndarray:
+    return np.array(rows["path"].combine_chunks().flatten()).reshape(rows.num_rows, -1).astype(np.int64)
+
+
+def _block(rows: pa.Table, bits: np.ndarray) -> Block:
+    paths = _paths(rows)
+    words, local = np.unique(paths, return_inverse=True)
+    table = digits(np.arange(len(words)), len(words))
+    trie, ends = build(table[local.reshape(paths.shape)].reshape(len(paths), -1), 256)
+    ids = np.full(trie.states, -1, np.int32)
     ids[ends] = rows["pid"].to_numpy()
-    first, second = first[new], second[new]
-    runs = np.diff(np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1], [True]))))
-    return Block(width, languages, first, second, int(runs.max()), trie, ids, bits)
+    return Block(paths.shape[1], words.astype(np.int32), np.concatenate((np.zeros_like(table[:1]), table)).astype(np.int16), trie, ids, bits)
 
 
-def _mark(bits: np.ndarray, rows: pa.Table, width: int) -> None:
-    words = Words(rows["phrase"].to_pylist())
-    language = np.repeat(np.array([_language_hash(x) for x in rows["lang"].to_pylist()], np.uint64), width)
-    place = (_window_hashes(words.hashes(), width, language)[::width] >> np.uint64(64 - BITS)).astype(np.int64)
+def _places(windows: list[np.ndarray]) -> np.ndarray:
+    """Places in the bit table of windows, given word by word."""
+    out = np.zeros(len(windows[0]), np.uint64)
+    for word in windows:
+        out = mix64(out + word.astype(np.uint64))
+    return (out >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _mark(bits: np.ndarray, rows: pa.Table) -> None:
+    place = _places(list(_paths(rows).T))
     np.bitwise_or.at(bits, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
 
 
-def _added(pid: np.ndarray, word: np.ndarray, m: np.ndarray):
-    order = np.lexsort((word, pid))
-    pid, word, m = pid[order], word[order], m[order]
-    new = np.flatnonzero(np.concatenate((np.ones(min(len(pid), 1), bool), (pid[1:] != pid[:-1]) | (word[1:] != word[:-1]))))
-    return pid[new], word[new], np.add.reduceat(m, new) if len(new) else m
+class _Counts:
+    """Counts by key, added up now and then; ``full`` says when they should go on."""
+
+    def __init__(self):
+        self.keys, self.counts, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+        if self.size > HELD:
+            self._shrink()
+
+    def _shrink(self) -> None:
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        new = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
+        self.keys, self.counts, self.size = [keys[new]], [np.add.reduceat(counts, new) if len(new) else counts], len(new)
+
+    @property
+    def full(self) -> bool:
+        return self.size > HELD // 2 and len(self.keys) == 1
+
+    def taken(self):
+        if self.keys:
+            self._shrink()
+            if self.size:
+                yield pa.RecordBatch.from_arrays([pa.array(self.keys[0]), pa.array(self.counts[0])], ["key", "m"])
+            self.__init__()
+
+
+def _code_arrays(batches):
+    for batch in batches:
+        for codes in batch["codes"]:
+            yield np.frombuffer(codes.as_buffer(), np.int32)
+
+
+def _pairs(batches):
+    """Continuations of single words: a word is followed by another."""
+    counts = _Counts()
+    for codes in _code_arrays(batches):
+        pairs = codes[:-1].astype(np.int64) * NEXT + codes[1:]
+        keys, m = np.unique(pairs[(codes[:-1] > 0) & (codes[1:] > 0)], return_counts=True)
+        counts.add(keys, m.astype(np.int64))
+        if counts.full:
+            yield from counts.taken()
+    yield from counts.taken()
 
 
 def _scan(shared, extend: bool):
-    """Counts of a block's phrases, ``next_word`` null, and of their continuations, ``next_word`` its hash."""
+    """Counts of a block's phrases and of their continuations."""
 
     def task(batches):
         block = shared.value
-        counts = np.zeros(len(block.trie.base), np.int64)
-        empty = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held = [empty]
-        numbers = {x: i + 1 for i, x in enumerate(block.languages)}
-
-        def flush():
-            pid, word, m = _added(*map(np.concatenate, zip(*held)))
-            held[:] = [empty]
-            if len(pid):
-                yield pa.RecordBatch.from_arrays([pa.array(pid), pa.array(word.view(np.int64)), pa.array(m)], ["pid", "next_word", "m"])
-
-        for pieces, langs in _texts(batches):
-            if not len(pieces.h1):
-                continue
-            code, linked = block.codes(pieces), pieces.linked
-            language = np.array([numbers.get(x, 0) for x in langs], np.int64)
-            root = block.trie.step(np.zeros(len(language), np.int64), language)
-            at = np.flatnonzero((code > 0) & (root[pieces.text] >= 0))
-            state = root[pieces.text[at]]
+        accepted, counts = np.zeros(block.trie.states, np.int64), _Counts()
+        for codes in _code_arrays(batches):
+            at = np.minimum(np.searchsorted(block.words, codes), len(block.words) - 1)
+            local = np.where(block.words[at] == codes, at + 1, 0)  # 0: a break, or a word of no phrase of the block
+            at = np.flatnonzero(local)
+            at = at[at + block.width <= len(codes)]
+            state = np.zeros(len(at), np.int64)
             for step in range(block.width):
-                if step:
-                    going = linked[at + step - 1]
-                    at, state = at[going], state[going]
-                state = block.trie.step(state, code[at + step])
-                alive = state >= 0
-                at, state = at[alive], state[alive]
-            counts += np.bincount(state, minlength=len(counts))
+                state, at = block.step(state, at, local[at + step])
+            accepted += np.bincount(state, minlength=len(accepted))
             if extend:
-                going = linked[at + block.width - 1]
+                going = at + block.width < len(codes)
                 at, state = at[going], state[going]
-                names = np.array([_language_hash(x) for x in langs], np.uint64)[pieces.text]
-                place = (_window_hashes(pieces.h1, block.width, names)[at + 1] >> np.uint64(64 - BITS)).astype(np.int64)
+                following = codes[at + block.width]
+                at, state, following = (x[following > 0] for x in (at, state, following))
+                place = _places([codes[at + t] for t in range(1, block.width + 1)])
                 known = (block.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                at, state = at[known], state[known]
-                held.append(_added(block.ids[state], pieces.h1[at + block.width], np.ones(len(at), np.int64)))
-                if sum(len(h[0]) for h in held) > HELD:
-                    held[:] = [_added(*map(np.concatenate, zip(*held)))]
-                    if len(held[0][0]) > HELD // 2:
-                        yield from flush()
-        yield from flush()
-        seen = np.flatnonzero(counts)
-        if len(seen):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block.ids[seen]), pa.nulls(len(seen), pa.int64()), pa.array(counts[seen])], ["pid", "next_word", "m"])
+                keys, m = np.unique(block.ids[state[known]].astype(np.int64) * NEXT + following[known], return_counts=True)
+                counts.add(keys, m.astype(np.int64))
+                if counts.full:
+                    yield from counts.taken()
+        seen = np.flatnonzero(accepted)
+        counts.add(block.ids[seen].astype(np.int64) * NEXT, accepted[seen])
+        yield from counts.taken()
 
     return task
 
 
-def _counted(texts: DataFrame, candidates: DataFrame, width: int, least: int, extend: bool) -> DataFrame | None:
-    """``pid, next_word, m`` of at least ``least``: candidates (``next_word`` null) and their continuations."""
-    spark = texts.sparkSession
-    blocks = -(-candidates.count() // BLOCK)
-    if not blocks:
-        return None
+def _summed(counts: DataFrame, least: int) -> DataFrame:
+    """``pid, next, m`` of at least ``least``; ``next`` is 0 for the phrase itself."""
+    sums = counts.groupBy("key").agg(F.sum("m").alias("m")).filter(F.col("m") >= least)
+    return stored(sums.select(F.shiftright("key", 32).alias("pid"), F.col("key").bitwiseAND(F.lit(NEXT - 1)).alias("next"), "m"), "sums")
 
-    def rows(i):
-        return candidates.filter(F.pmod(F.xxhash64("pid"), F.lit(blocks)) == i).select("pid", "lang", "phrase").toArrow()
 
+def _counted(coded: DataFrame, candidates: DataFrame, least: int, extend: bool) -> DataFrame | None:
+    """Counts of candidates ``(pid, path)`` and their continuations."""
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     if extend:
-        for i in range(blocks):
-            _mark(bits, rows(i), width)
+        for _, rows in _blocks(candidates, BLOCK, "pid", ["path"]):
+            if rows.num_rows:
+                _mark(bits, rows)
     parts = None
-    for i in range(blocks):  # one after the other, so that one block at a time is in the driver and in each worker
-        part = rows(i)
-        if not part.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast(_block(part, width, bits))
-        found = texts.mapInArrow(_scan(shared, extend), "pid long, next_word long, m long")
-        done = stored(found.groupBy("pid", "next_word").agg(F.sum("m").alias("m")).filter(F.col("m") >= least), "sums")
-        shared.destroy()
-        parts = done if parts is None else parts.unionByName(done)
+    for _, rows in _blocks(candidates, BLOCK, "pid", ["pid", "path"]):  # one block at a time in the driver and in each worker
+        if rows.num_rows:
+            shared = coded.sparkSession.sparkContext.broadcast(_block(rows, bits))
+            done = _summed(coded.mapInArrow(_scan(shared, extend), "key long, m long"), least)
+            shared.destroy()
+            parts = done if parts is None else parts.unionByName(done)
     return parts
 
 
 def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, k, f`` of all phrases of up to ``longest`` words with ``least`` occurrences, and ``lang, n``."""
     texts = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    words = stored(texts.mapInArrow(_count_words, "lang string, word string, w1 long, w2 long, f long")
-                   .groupBy("lang", "word", "w1", "w2").agg(F.sum("f").alias("f")), "words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    known = words.filter(F.col("f") >= least)
+    words = stored(texts.mapInArrow(_count_words, "lang string, word string, key long, proof long, f long")
+                   .groupBy("lang", "word", "key", "proof").agg(F.sum("f").alias("f")), "words")
+    totals = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+    known = numbered(words.filter(F.col("f") >= least), "code")
     found = known.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f")
-    candidates = stored(known.select(F.monotonically_increasing_id().alias("pid"), "lang", F.col("word").alias("phrase")), "candidates")
+    spelled = known.select(F.col("code").alias("next"), "lang", "word")
+    candidates = spelled.select(F.col("next").alias("pid"), F.array("next").alias("path"), "lang", F.col("word").alias("phrase"))
+    coded = _coded(texts, known) if longest > 1 else None
     for width in range(1, longest + 1):
-        sums = _counted(texts, candidates, width, least, width < longest)
-        if sums is None:
+        if coded is None:
             break
-        if width > 1:
-            found = found.unionByName(sums.filter("next_word is null").join(candidates, "pid")
+        if width == 1:
+            sums = _summed(coded.mapInArrow(_pairs, "key long, m long"), least)
+        else:
+            sums = _counted(coded, candidates, least, width < longest)
+            if sums is None:
+                break
+            found = found.unionByName(sums.filter("next = 0").join(candidates, "pid")
                                       .select("lang", "phrase", F.lit(width).alias("k"), F.col("m").alias("f")))
-        if width < longest:
-            spelled = (sums.filter("next_word is not null").join(candidates, "pid")
-                       .join(known.select("lang", "word", F.col("w1").alias("next_word")), ["lang", "next_word"]))
-            candidates = stored(spelled.select(F.monotonically_increasing_id().alias("pid"), "lang",
-                                               F.concat_ws(" ", "phrase", "word").alias("phrase")), "candidates")
-    return stored(found, "phrases"), stored(totals, "totals")
+        longer = (sums.filter("next > 0").join(candidates, "pid").join(spelled.drop("lang"), "next")
+                  .select(F.concat("path", F.array("next")).alias("path"), "lang", F.concat_ws(" ", "phrase", "word").alias("phrase")))
+        candidates = numbered(longer, "pid") if width < longest else None
+    return stored(found, "phrases"), totals
 
 
 def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:

@@ -10,8 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-TRIES = 8        # windows of free places that are looked through before a family goes behind all others
-WINDOW = 256
+TRIES = 12       # windows of free places that are looked through before a family goes behind all others
+WINDOW = 512
 
 
 @dataclass(frozen=True)
@@ -19,12 +19,22 @@ class DoubleArray:
     base: np.ndarray
     check: np.ndarray
 
+    @property
+    def states(self) -> int:
+        return len(self.base)
+
     def step(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The next states; -1 where there is none.  States must be live, codes in range or 0 for 'unknown'."""
         at = self.base[states] + codes
         return np.where((codes > 0) & (self.check[at] == states), at, -1)
 
 
+def digits(numbers: np.ndarray, highest: int) -> np.ndarray:
+    """Numbers from 0 to ``highest`` as codes from 1 to 256, one column a digit: small families pack closely."""
+    size = max(1, -(-int(highest).bit_length() // 8))
+    return np.stack([(numbers >> (8 * i) & 255) + 1 for i in reversed(range(size))], axis=-1).astype(np.int64)
+
+
 class _Places:
     """Taken places, in an array that grows."""
 
