@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.operators.summary import cells_and_dates
+from isohyet.session import settle
+
 POINT = ["variable", "cell_id", "lat", "lon", "date"]
 
 
@@ -14,7 +17,11 @@ def infer_step(obs: DataFrame) -> str:
     The smallest spacing counts, as gaps only widen it; two dates alone are taken for days.  Dates that do not lie on such a calendar fail, and so
     does a spacing that cannot be told from a single date.  One row to the driver.
     """
-    dates = obs.select("date").distinct()
+    return step_of(settle(obs.select("date").distinct()))
+
+
+def step_of(dates: DataFrame) -> str:
+    """``infer_step`` of the distinct dates, which it reads several times: store them first."""
     inside = Window.partitionBy(F.year("date")).orderBy("date")  # a calendar year holds few dates
     steps = dates.select("date", F.datediff("date", F.lag("date").over(inside)).alias("step"))
     years = dates.groupBy(F.year("date").alias("year")).agg(F.min("date").alias("first"), F.max("date").alias("last"))
@@ -48,10 +55,10 @@ def interval(step: str) -> Column:
     raise ValueError(f"unknown step '{step}'")
 
 
-def calendar_rows(obs: DataFrame, step: str) -> DataFrame:
+def calendar_rows(cells: DataFrame, dates: DataFrame, step: str) -> DataFrame:
     """A row without a value for every step between the first and the last date, per variable and cell."""
-    bounds = obs.agg(F.struct(F.min("date").alias("first"), F.max("date").alias("last"))).scalar()
-    cells = obs.select("variable", "cell_id", "lat", "lon").distinct().withColumn("b", bounds)
+    bounds = dates.agg(F.struct(F.min("date").alias("first"), F.max("date").alias("last"))).scalar()
+    cells = cells.withColumn("b", bounds)
     days = F.sequence(F.col("b.first"), F.col("b.last"), interval(step))
     return cells.select("variable", "cell_id", "lat", "lon", F.explode(days).alias("date"))
 
@@ -62,11 +69,13 @@ def merge(obs: DataFrame, fill: bool = True, step: str | None = None) -> DataFra
     Where files overlap, the row of the first file (in name order) is kept, whatever its value.  With
     ``fill`` the calendar between the first and the last date is completed; ``step`` is ``'D'``,
     ``'5D'`` (any number of days), ``'MS'`` or ``'YS'`` and is inferred when not given.  Choosing and completing are one aggregation, so copies are
-    reduced before the shuffle and no key ever holds more than one row per file after it.
+    reduced before the shuffle and no key ever holds more than one row per file after it.  With ``fill`` the input is
+    read twice: for its cells and dates, and for its rows.
     """
     rows = obs.select(*POINT, "value", "src", F.lit(0).alias("filler"))
     if fill:
-        calendar = calendar_rows(obs, step or infer_step(obs))
+        cells, dates = cells_and_dates(obs)
+        calendar = calendar_rows(cells, dates, step or step_of(dates))
         rows = rows.unionByName(calendar.select(
             *POINT, F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("src"),
             F.lit(1).alias("filler"),

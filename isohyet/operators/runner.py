@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from isohyet import model
 from isohyet.model import INDICES, Baseline
-from isohyet.operators import daily, events, spi
+from isohyet.operators import daily, events, months, spi
 from isohyet.operators.thresholds import Record
+from isohyet.session import settle
 from isohyet.sources.obs import series_of
 
 
@@ -42,7 +43,10 @@ def check_inputs(obs: DataFrame, by_variable: dict[str, list[str]], windows: lis
 
 def raw_values(obs: DataFrame, variable: str, freq: str) -> DataFrame:
     """A raw variable as an index: sums of precipitation, means of temperatures."""
-    table = daily.resample(series_of(obs, variable), variable, freq)
+    return _raw(daily.resample(series_of(obs, variable), variable, freq), variable, freq)
+
+
+def _raw(table: DataFrame, variable: str, freq: str) -> DataFrame:
     return table.select(
         F.lit(variable).alias("index"), F.lit(freq).alias("freq"), "period", "cell_id", "value",
         F.lit(model.CANONICAL_UNITS[variable]).alias("units"),
@@ -60,24 +64,32 @@ def compute_indices(
     colocated: bool = False,
     with_events: bool = True,
 ) -> DataFrame:
-    """``obs`` -> ``index_values`` for the selection: one pass per variable and one per SPI window.
+    """``obs`` -> ``index_values`` for the selection: one pass per variable for the daily indices, and one of all for
+    the monthly state, which is stored and gives raw values, SPI and the bounds of the record.
 
     SPI is monthly; its yearly drought and flood events come with the yearly pass.  ``with_events=False``
     leaves them out, for callers that store the SPI first and derive the events from the stored values.
     """
     by_variable, windows, raw = plan_selection(selected)
+    known = {v: record for v in by_variable} if record is not None else {}
+    bounded = [v for v, names in by_variable.items() if v not in known and any(n in daily.QUANTILES for n in names)]
+    monthly = sorted({*(["pr"] if windows else []), *raw, *bounded})
+    if monthly:
+        # Read once for all windows, raw variables and frequencies, and for the bounds that percentiles need.
+        state = settle(months.monthly_state(obs, monthly))
+        if bounded:
+            known |= months.records(state)
     tables = []
     for variable, names in by_variable.items():
         tables.append(daily.daily_index_values(
-            series_of(obs, variable), names, freqs, baseline, missing, record, colocated
+            series_of(obs, variable), names, freqs, baseline, missing, known.get(variable), colocated
         ))
     if windows:
-        monthly = spi.monthly_mean(series_of(obs, "pr"), missing)
-        standardised = spi.spi_values(monthly, windows)
+        standardised = spi.spi_values(months.monthly_mean(state, "pr", missing), windows)
         tables.append(standardised)
         if "YS" in freqs and with_events:
             tables.append(events.event_values(standardised, spi_threshold))
-    tables += [raw_values(obs, v, freq) for v in raw for freq in freqs]
+    tables += [_raw(months.resampled(state, v, freq), v, freq) for v in raw for freq in freqs]
     if not tables:
         raise ValueError(f"no known index among {selected}")
     return reduce(DataFrame.unionByName, tables)

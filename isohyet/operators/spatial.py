@@ -21,6 +21,8 @@ from isohyet.operators.rings import PARTS, outline, parts_of
 NOISE = 1e-9
 # Further out than any coordinate.
 FAR = 1e6
+# Degrees between a line and an edge on it.
+TOUCH = 1e-9
 
 
 def _between(value: Column, low: Column, high: Column) -> Column:
@@ -158,6 +160,24 @@ def cell_area(grid: Grid, area_edges: DataFrame, spherical: bool = False) -> Dat
     )
 
 
+def touched_cells(grid: Grid, area_edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """``(cell_id, area)`` of every cell that an area covers or whose closed box its boundary meets, if only at a line.
+
+    Edges meet rows, and what is left of them in a row meets columns, both ends included and ``TOUCH`` degrees more;
+    cells inside an area are those with a weight.
+    """
+    edges = area_edges.select("area", "ax", "ay", "bx", "by")
+    low, high = F.least("ay", "by") - TOUCH, F.greatest("ay", "by") + TOUCH
+    rows = interval_join(edges, low, high, grid.rows, "lat", grid.row_height, grid.south, grid.north)
+    at = [_between(F.col(c), F.col("lat_lo"), F.col("lat_hi")) for c in ("ay", "by")]
+    level = F.col("ay") == F.col("by")
+    ends = [F.when(level, F.col(x)).otherwise(_at(F.col("ax"), F.col("bx"), y, F.col("ay"), F.col("by"))) for x, y in zip(("ax", "bx"), at)]
+    pieces = rows.select("area", "row", F.least(*ends).alias("from"), F.greatest(*ends).alias("to"))
+    met = interval_join(pieces, F.col("from") - TOUCH, F.col("to") + TOUCH, grid.columns, "lon", grid.col_width, grid.west, grid.east)
+    on_boundary = met.select("area", "row", "col").distinct().join(grid.cells.select("cell_id", "row", "col"), ["row", "col"])
+    return on_boundary.select("cell_id", "area").unionByName(weights.select("cell_id", "area")).distinct()
+
+
 def clip(obs: DataFrame, weights: DataFrame, area: str | None = None) -> DataFrame:
     """Rows of the cells that any area (or one area) covers."""
     if area is not None:

@@ -56,19 +56,32 @@ def baseline_bounds(series: DataFrame, baseline: Baseline | None, record: Record
 
 
 def _fill_gaps(values: Column) -> Column:
-    """Linear interpolation over nulls between known neighbours; nothing is invented beyond the ends."""
-    known = F.filter(
+    """Linear interpolation over nulls between known neighbours; nothing is invented beyond the ends.
+
+    The known entries are listed once, and every two neighbours give the entries after the first one up to the
+    second, so the work grows with the length of the year and not with its square.
+    """
+    listed = F.filter(
         F.transform(values, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e.v.isNotNull()
     )
 
-    def filled(v, i):
-        before = F.try_element_at(F.filter(known, lambda e: e.i < i), F.lit(-1))
-        after = F.get(F.filter(known, lambda e: e.i > i), F.lit(0))
-        return F.coalesce(v, before.v + (after.v - before.v) * ((i - before.i) / (after.i - before.i)))
-
-    complete = F.size(known) == YEAR_DAYS
-    enough = (F.size(known) > 0) & ~complete
-    return F.when(enough, F.transform(values, filled)).otherwise(values)
+    def up_to_next(known: Column, j: Column) -> Column:
+        a, b = F.get(known, j), F.get(known, j + 1)
+        width = b.i - a.i
+        return F.transform(F.sequence(F.lit(1), width), lambda s: F.when(s == width, b.v).otherwise(
+            a.v + (b.v - a.v) * (s / width)))
+
+    def filled(known: Column) -> Column:
+        unknown = F.lit(None).cast("double")
+        first, last = F.get(known, F.lit(0)), F.get(known, F.size(known) - 1)
+        between = F.when(F.size(known) > 1, F.flatten(F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(known) - 2, F.lit(0))), lambda j: up_to_next(known, j)))).otherwise(
+            F.array().cast("array<double>"))
+        return F.concat(F.array_repeat(unknown, first.i), F.array(first.v), between, F.array_repeat(unknown, F.size(values) - 1 - last.i))
+
+    # An array of one, so that the list is made once however often it is mentioned.
+    return F.get(F.transform(F.array(listed), lambda known: F.when(
+        (F.size(known) > 0) & (F.size(known) < YEAR_DAYS), filled(known)).otherwise(values)), F.lit(0))
 
 
 def _stretch(values: Column) -> Column:

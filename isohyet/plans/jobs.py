@@ -16,7 +16,7 @@ from isohyet import model
 from isohyet.model import Baseline, Scope
 from isohyet.operators import clean, events, grid, legend, maps, merge, profile, runner, series, spatial
 from isohyet.operators.grid import Grid
-from isohyet.sources import areas, manifest, obs as obs_source, sinks
+from isohyet.sources import areas, attributes, manifest, obs as obs_source, sinks
 
 
 CELL_OUTLINES = "cell_id bigint, area string, polygon bigint, coordinates array<array<array<double>>>"
@@ -35,6 +35,7 @@ class Workspace:
     spi_threshold: float = 1.0
     missing: str | float = "any"
     span: tuple[int, int] | None = None
+    all_touched: bool = False  # also cells that an area meets at a line only
 
 
 def layer_id(area_edges: DataFrame) -> str:
@@ -47,7 +48,7 @@ def setting(work: Workspace) -> Column:
     """What, besides country and layer, the values of ``index`` depend on: missing rule, baseline, threshold of events."""
     baseline = work.baseline
     years = "record" if baseline is None else f"{baseline.start_year}_{baseline.end_year}"
-    text = F.concat(F.lit(f"missing_{work.missing}"), F.when(
+    text = F.concat(F.lit(f"missing_{work.missing}" + ("_touched" if work.all_touched else "")), F.when(
         F.col("index").isin([n for n, (_, _, needs) in model.INDICES.items() if needs]), F.lit(f"_baseline_{years}")
     ).otherwise(""))
     is_event = F.col("index").rlike("_(Drought|Flood)_")
@@ -69,16 +70,28 @@ def _keyed(table: DataFrame, work: Workspace, layer: str) -> DataFrame:
 
 
 def clip_and_clean(
-    spark: SparkSession, paths: str | list[str], units: dict[str, str], scope: Scope = Scope(), fmt: str = "parquet"
+    spark: SparkSession, paths: str | list[str], units: dict[str, str], scope: Scope = Scope(), fmt: str = "parquet",
+    described: str | list[str] | None = None, pattern: str | None = None,
 ) -> DataFrame:
-    """Raw files -> cleaned observations within the scope.  Incompatible files fail the job."""
+    """Raw files -> cleaned observations within the scope.  Incompatible files fail the job.
+
+    Every file under ``paths`` whose name fits the ``pattern`` (by default the format's extension) must be readable,
+    whatever its years.  Folders ``described`` hold the files' attributes as sidecars; calendars and resolutions stated
+    there count.
+    """
+    pattern = pattern or f"*.{fmt}"
     raw = obs_source.read_grid(
-        spark, paths, units, fmt, only=list(model.ALLOWED_VARIABLES), years=(scope.start_year, scope.end_year)
+        spark, paths, units, fmt, only=list(model.ALLOWED_VARIABLES), tolerant=True, pattern=pattern
     )
-    verdict = merge.check_compatibility(profile.file_profile(raw)).first()
+    known = attributes.read_attributes(spark, described) if described else None
+    listed = attributes.list_files(spark, paths, pattern)
+    verdict = merge.check_compatibility(profile.file_profile(raw, known, listed=listed)).first()
     if not verdict["ok"]:
         raise ValueError(f"files cannot be merged: {', '.join(verdict['errors'])}")
-    return clean.apply_scope(clean.keep_allowed(raw), scope)
+    wanted = obs_source.read_grid(
+        spark, paths, units, fmt, only=list(model.ALLOWED_VARIABLES), years=(scope.start_year, scope.end_year), pattern=pattern
+    )
+    return clean.apply_scope(clean.keep_allowed(wanted), scope)
 
 
 def merge_files(
@@ -125,10 +138,9 @@ def index_run(
 
     sinks.write_boundary(area_edges, f"{out}/boundary")
     layer, name = areas.with_overview(area_edges), layer_id(area_edges)
-    place_cells(grid.prepare(obs_source.cells_of(observed)), layer, out, work, name)
-    weights = _placed(spark, f"{out}/cell_area", model.CELL_AREA, work, name)
-
-    clipped = spatial.clip(observed, weights, model.OVERVIEW)
+    cells = grid.prepare(obs_source.cells_of(observed))
+    place_cells(cells, layer, out, work, name)
+    clipped = _clipped(observed, layer, out, work, name, cells)
     values = runner.compute_indices(
         clipped, work.selected, ("YS", "MS"), work.baseline, missing=work.missing, colocated=bucketed,
         with_events=False,
@@ -143,6 +155,15 @@ def index_run(
     write_outputs(spark, layer, out, work, name)
 
 
+def _clipped(observed: DataFrame, layer: DataFrame, out: str, work: Workspace, name: str, cells: Grid | None = None) -> DataFrame:
+    """The observations of the cells that belong to the whole layer by the run's rule."""
+    held = _placed(observed.sparkSession, f"{out}/cell_area", model.CELL_AREA, work, name)
+    if work.all_touched:
+        cells = cells or grid.prepare(obs_source.cells_of(observed))
+        held = spatial.touched_cells(cells, layer.filter(F.col("area") == model.OVERVIEW), held.filter(F.col("area") == model.OVERVIEW))
+    return spatial.clip(observed, held, model.OVERVIEW)
+
+
 def write_values(values: DataFrame, out: str, work: Workspace, layer: str) -> None:
     keyed = _keyed(values, work, layer).withColumn("setting", setting(work))
     sinks.write_index_values(keyed, f"{out}/index_values", "country", "layer", "setting")
@@ -306,7 +327,7 @@ def on_demand_map(
     # Base SPI has monthly values only.
     freq = "MS" if model.spi_window(index) is not None and "_" not in index else "YS"
     if not manifest.lacking(_own(spark, work, name, index).withColumn("span", F.lit(freq)), manifest.VALUES, out).isEmpty():
-        clipped = spatial.clip(open_obs(spark, source, bucketed), weights, model.OVERVIEW)
+        clipped = _clipped(open_obs(spark, source, bucketed), layer, out, work, name)
         values = runner.compute_indices(
             clipped, [index], ("YS",), work.baseline, work.spi_threshold, work.missing, colocated=bucketed
         ).filter(F.col("index") == index)

@@ -22,14 +22,20 @@ def path(out: str) -> str:
     return f"{out}/manifest"
 
 
-def finished(spark: SparkSession, out: str) -> DataFrame:
-    """All finished outputs under ``out``; none where nothing was written yet."""
+def read_if_there(spark: SparkSession, path_: str, schema: str) -> DataFrame | None:
+    """A Parquet table, or None where its folder does not exist."""
     try:
-        return spark.read.schema(SCHEMA).parquet(path(out))
+        return spark.read.schema(schema).parquet(path_)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], SCHEMA)
+        return None
+
+
+def finished(spark: SparkSession, out: str) -> DataFrame:
+    """All finished outputs under ``out``; none where nothing was written yet."""
+    table = read_if_there(spark, path(out), SCHEMA)
+    return spark.createDataFrame([], SCHEMA) if table is None else table
 
 
 def entries(rows: DataFrame, kind: str) -> DataFrame:

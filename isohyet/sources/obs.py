@@ -18,8 +18,12 @@ def source_file() -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), "/part-[^/]*$", "")
 
 
-def _scan(spark: SparkSession, paths: list[str], fmt: str) -> DataFrame:
+def _scan(spark: SparkSession, paths: list[str], fmt: str, tolerant: bool = False, pattern: str | None = None) -> DataFrame:
     reader = spark.read
+    if tolerant:
+        reader = reader.option("ignoreCorruptFiles", True)
+    if pattern is not None:
+        reader = reader.option("pathGlobFilter", pattern)
     if fmt == "csv":
         # Everything arrives as text and is cast below, which spares the inference pass.
         reader = reader.option("header", True)
@@ -31,15 +35,18 @@ def _scan(spark: SparkSession, paths: list[str], fmt: str) -> DataFrame:
 def read_grid(
     spark: SparkSession, paths: str | list[str], units: dict[str, str], fmt: str = "parquet",
     strict: bool = True, only: list[str] | None = None, years: tuple[int | None, int | None] = (None, None),
+    tolerant: bool = False, pattern: str | None = None,
 ) -> DataFrame:
     """Files of daily grids -> ``obs`` with canonical names and units.
 
     ``units`` states the unit of each variable, by its canonical name.  The file path becomes ``src``; when
     files overlap, path order decides.  A CSV file must have a ``time`` column.  ``only`` names the variables
-    to read (canonical names) and ``years`` the first and last year; both reach the scan.
+    to read (canonical names) and ``years`` the first and last year; both reach the scan.  ``tolerant`` passes over
+    files that cannot be read; compare with ``sources.attributes.list_files`` to find them.  ``pattern`` tells grid files
+    from others by their name.
     """
     paths = [paths] if isinstance(paths, str) else paths
-    raw = _scan(spark, paths, fmt)
+    raw = _scan(spark, paths, fmt, tolerant, pattern)
     if fmt == "csv" and "time" not in raw.columns:
         raise ValueError("a CSV grid needs a 'time' column")
     named = raw.select("*", source_file().alias("src"))

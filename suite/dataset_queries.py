@@ -623,3 +623,83 @@ def dashboard_months(spark, sf_dir):
         "index", F.lit("MS").alias("freq"), "period", F.concat(F.lit("cell "), F.col("cell_id").cast("string")).alias("area"), "value"
     )
     return jobs.dashboard(table, "SPI3", "cell 3", 1997, 1999)["months"].select("index", "area", "period", "label")
+
+
+# Attributes of files -------------------------------------------------------------------------------
+
+def attribute_table(spark, sf_dir: str):
+    """What sidecars of the files would say: calendars by return flag, resolutions as text or as a transform."""
+    sources = cube.table(spark, sf_dir, "lineitem").select(F.concat_ws("_", "l_returnflag", "l_linestatus").alias("src")).distinct()
+    flag = F.substring("src", 1, 1)
+    return sources.select(
+        "src", F.when(flag == "R", "noleap").otherwise("standard").alias("calendar"),
+        F.when(flag == "A", "0.5 degrees").alias("lat_text"), F.when(flag == "A", "2.5e-1°").alias("lon_text"),
+        F.when(flag == "N", F.array(*map(F.lit, (0.75, 0.0, 99.5, 0.0, -1.5, 11.5)))).alias("transform"))
+
+
+@register(
+    "file_attributes",
+    rounded_sql(with_cube(f"""
+WITH {FILES}, axes AS (
+  SELECT (max(lat) - min(lat)) / (count(DISTINCT lat) - 1) AS lat_res, (max(lon) - min(lon)) / (count(DISTINCT lon) - 1) AS lon_res
+  FROM grid),
+sources AS (SELECT DISTINCT src FROM files)
+SELECT src, CASE substr(src, 1, 1) WHEN 'R' THEN 'noleap' ELSE 'standard' END AS calendar,
+       CASE substr(src, 1, 1) WHEN 'N' THEN 1.5::DOUBLE WHEN 'A' THEN 0.5::DOUBLE ELSE lat_res END AS lat_res,
+       CASE substr(src, 1, 1) WHEN 'N' THEN 0.75::DOUBLE WHEN 'A' THEN 0.25::DOUBLE ELSE lon_res END AS lon_res, NULL AS error
+FROM sources, axes
+UNION ALL SELECT 'broken', NULL, NULL, NULL, 'no row could be read'"""), ["lat_res", "lon_res"], 9),
+)
+def file_attributes(spark, sf_dir):
+    """Calendars and resolutions as files state them - transform, then text, then spacing - and a file without rows."""
+    known = attribute_table(spark, sf_dir)
+    listed = known.select("src").unionByName(spark.range(1).select(F.lit("broken").alias("src")))
+    table = profile.file_profile(file_obs(spark, sf_dir), known, listed=listed)
+    return rounded(table.select("src", "calendar", "lat_res", "lon_res", "error"), 9)
+
+
+@register(
+    "compatibility_of_files",
+    with_cube(f"""
+WITH {FILES}, sources AS (
+  SELECT DISTINCT src, CASE substr(src, 1, 1) WHEN 'R' THEN 'noleap' ELSE 'standard' END AS calendar,
+         CASE substr(src, 1, 1) WHEN 'N' THEN 1.5 WHEN 'A' THEN 0.5 ELSE 1.0 END AS step FROM files),
+verdicts AS (
+  SELECT 'plain' AS layout, NULL AS error FROM sources GROUP BY ALL
+  UNION ALL SELECT 'calendars', CASE WHEN count(DISTINCT calendar) > 1 THEN 'different calendars' END FROM sources
+  UNION ALL SELECT 'resolutions', CASE WHEN count(DISTINCT step) > 1 THEN 'different resolutions' END FROM sources
+  UNION ALL SELECT 'unreadable', CASE WHEN count(*) < (SELECT count(*) + 1 FROM sources) THEN 'unreadable file' END FROM sources)
+SELECT layout, error IS NULL AS ok, coalesce(error, '') AS errors FROM verdicts"""),
+)
+def compatibility_of_files(spark, sf_dir):
+    """Each reason why files cannot be merged, from their attributes and the list of files."""
+    obs, known = file_obs(spark, sf_dir), attribute_table(spark, sf_dir)
+    none = {c: F.lit(None).cast(t) for c, t in known.dtypes if c in ("lat_text", "lon_text", "transform")}
+    listed = known.select("src").unionByName(spark.range(1).select(F.lit("broken").alias("src")))
+    layouts = {
+        "plain": profile.file_profile(obs),
+        "calendars": profile.file_profile(obs, known.withColumns(none)),
+        "resolutions": profile.file_profile(obs, known.withColumn("calendar", F.lit("standard"))),
+        "unreadable": profile.file_profile(obs, listed=listed),
+    }
+    rows = [
+        merge.check_compatibility(table).select(F.lit(name).alias("layout"), "ok", F.concat_ws(",", "errors").alias("errors"))
+        for name, table in layouts.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@register(
+    "dataset_names",
+    with_cube("""
+SELECT unnest(['pr', 'tmax', 'tmin']) AS variable, unnest(['precipitation_flux', 'Highest of the day', 'tmin']) AS name, count(DISTINCT date) AS n_time
+FROM wide"""),
+)
+def dataset_names(spark, sf_dir):
+    """The dataset's profile with names: standard name, else long name, else the variable itself."""
+    described = spark.createDataFrame(
+        [("pr", "precipitation_flux", "Rain", "mm/day"), ("tmax", "unknown", "Highest of the day", "C"), ("tmin", " ", None, None)],
+        "variable string, standard_name string, long_name string, units string")
+    table = profile.dataset_profile(cube.obs(spark, sf_dir), described=described)
+    return table.select(F.explode(F.arrays_zip("variables", "names")).alias("v"), "n_time").select(
+        F.col("v.variables").alias("variable"), F.col("v.names").alias("name"), "n_time")

@@ -365,3 +365,27 @@ def cell_outline_vertices(spark, sf_dir):
     bounds = grid.cell_bounds(cube.grid(spark, sf_dir))
     each = bounds.select("cell_id", F.posexplode(grid.outline()).alias("position", "p"))
     return rounded(each.select("cell_id", "position", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y")), 9)
+
+
+@register(
+    "touched_cells",
+    with_cube("""
+WITH boxes AS (
+  SELECT cell_id, lat - 0.5 / k AS y0, lat + 0.5 / k AS y1, lon - 0.5 / k AS x0, lon + 0.5 / k AS x1 FROM grid),
+blocks AS (  -- their west side and their north side lie on grid lines
+  SELECT r_name AS area, 100.5::DOUBLE AS a, 100.8::DOUBLE + 0.1::DOUBLE * r_regionkey AS b, 9.7::DOUBLE AS c, 10.5::DOUBLE AS d FROM region)
+SELECT cell_id, area, a < x1 - 1e-7 AND b > x0 + 1e-7 AND c < y1 - 1e-7 AND d > y0 + 1e-7 AS covered
+FROM boxes JOIN blocks ON a <= x1 + 1e-7 AND b >= x0 - 1e-7 AND c <= y1 + 1e-7 AND d >= y0 - 1e-7"""),
+)
+def touched_cells(spark, sf_dir):
+    """Clipping by the touch rule keeps cells that an area meets at a line; by area it does not."""
+    east = F.round(F.lit(100.8) + 0.1 * F.col("r_regionkey"), 6)
+    corner = lambda x, y: F.array(x if not isinstance(x, float) else F.lit(x), F.lit(y))
+    key = F.col("r_regionkey").cast("long")
+    blocks = cube.table(spark, sf_dir, "region").select(
+        F.col("r_name").alias("area"), key.alias("polygon"), key.alias("ring"), F.lit(False).alias("hole"),
+        F.array(corner(100.5, 9.7), corner(east, 9.7), corner(east, 10.5), corner(100.5, 10.5)).alias("points"))
+    cells, edges = prepared(spark, sf_dir), areas.edges(blocks)
+    share = spatial.cell_area(cells, edges)
+    found = spatial.touched_cells(cells, edges, share)
+    return found.join(share, ["cell_id", "area"], "left").select("cell_id", "area", F.col("weight").isNotNull().alias("covered"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import daily as daily_table
 from conftest import days
 from isohyet.model import Baseline
-from isohyet.operators import daily, thresholds
+from isohyet.operators import daily, months, spi, thresholds
 
 
 def yearly(spark, values, index, first="2000-01-01", **options):
@@ -215,3 +215,40 @@ def test_missing_share(spark):
     table = daily_table(spark, [None] * 3 + [1.0] * 28, "2001-01-01")
     for missing, expected in (("any", None), ("skip", 1.0), (0.1, 1.0), (0.09, None)):
         assert daily.daily_indices(table, ["Rx1day"], "MS", missing=missing).first().Rx1day == expected
+
+
+def test_gap_filling_is_interpolation_between_known_days(spark):
+    rng = np.random.default_rng(4)
+    cases = []
+    for share in (0.02, 0.5, 0.98, 1.0):
+        values = rng.normal(size=365)
+        cases.append([float(v) if k else None for v, k in zip(values, rng.random(365) < share)])
+    cases += [[None] * 365, [None] * 100 + [2.0] + [None] * 264, [1.0] + [None] * 363 + [3.0]]
+    frame = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id int, v array<double>")
+    found = {r.id: r.f for r in frame.select("id", thresholds._fill_gaps(F.col("v")).alias("f")).collect()}
+    for i, case in enumerate(cases):
+        known = [k for k, v in enumerate(case) if v is not None]
+        expected = [None] * 365
+        for d in range(known[0], known[-1] + 1) if known else ():
+            expected[d] = float(np.interp(d, known, [case[k] for k in known]))
+        assert [v is None for v in found[i]] == [v is None for v in expected]
+        assert [v for v in found[i] if v is not None] == pytest.approx([v for v in expected if v is not None], abs=1e-12)
+
+
+def test_monthly_states_add_up(spark):
+    rows = [("pr", c, datetime.date(2000, 1, 1) + datetime.timedelta(days=d), None if (d + c) % 11 == 0 else float(d % 7)) for c in (1, 2) for d in range(500)]
+    rows += [("tmax", 1, day, v) for _, c, day, v in rows if c == 1]
+    table = spark.createDataFrame(rows, "variable string, cell_id bigint, date date, value double")
+    whole = months.monthly_state(table, ["pr", "tmax"])
+    early, late = table.filter("date < '2000-05-17'"), table.filter("date >= '2000-05-17'")
+    joined = months.united(months.monthly_state(early, ["pr", "tmax"]), months.monthly_state(late, ["pr", "tmax"]))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, joined.select(*whole.columns).collect()))
+    series = table.filter("variable = 'pr'").select("cell_id", "date", "value")
+    for freq in ("MS", "YS"):
+        direct = {(r.cell_id, r.period): r.value for r in daily.resample(series, "pr", freq).collect()}
+        assert direct == {(r.cell_id, r.period): r.value for r in months.resampled(joined, "pr", freq).collect()}
+    for missing in ("any", "skip", 0.2):
+        direct = {(r.cell_id, r.period): r.value for r in spi.monthly_mean(series, missing).collect()}
+        ours = {(r.cell_id, r.period): r.value for r in months.monthly_mean(joined, "pr", missing).collect()}
+        assert direct.keys() == ours.keys() and all((a is None) == (ours[k] is None) and (a is None or a == pytest.approx(ours[k])) for k, a in direct.items())
+    assert months.records(whole)["pr"] == (datetime.date(2000, 1, 1), datetime.date(2001, 5, 14))

@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohyet.model import Baseline, Scope
-from isohyet.operators import runner, spatial
+from isohyet.operators import clean, merge, profile, runner, spatial, summary
 from isohyet.plans import jobs
-from isohyet.sources import areas, manifest, obs
+from isohyet.sources import areas, attributes, manifest, obs
 from conftest import explain
-from isohyet.streaming.ingest import ingest_new_files
+from isohyet.streaming.ingest import ingest_new_files, merge_new_files
 
 UNITS = {"pr": "mm/s", "tmax": "K", "tmin": "K"}
 
@@ -327,3 +327,81 @@ def test_files_arriving_later_are_ingested_once(spark, files, tmp_path):
         landed = spark.read.parquet(out)
         assert landed.count() == 3 * 6 * 5 * (year - 1999)
     assert landed.agg(F.min("date")).first()[0] == datetime.date(2000, 1, 1)
+
+
+def test_new_files_are_merged_into_touched_partitions_only(spark, tmp_path):
+    """Late and overlapping files, in any order of arrival: the result is that of merging all files at once."""
+    folder, out, state = tmp_path / "in", str(tmp_path / "merged"), str(tmp_path / "state")
+    os.makedirs(folder)
+    schema = "valid_time string, lat double, lon double, tp double, tasmax double, TASMIN double, height double"
+
+    def arrive(name, first, last, shift):
+        table = raw(spark, first, last).withColumn("tasmax", F.col("tasmax") + shift).toPandas()
+        table.to_parquet(str(folder / name))
+
+    def stamps():
+        return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "merged").rglob("*.parquet")}
+
+    arrive("m.parquet", "2000-12-25", "2001-01-05", 0.0)
+    for _ in range(2):
+        merge_new_files(spark, str(folder), schema, UNITS, out, state).awaitTermination()
+    before = stamps()
+    arrive("a.parquet", "2001-01-03", "2001-01-08", 1.0)  # late, and first in name order
+    arrive("z.parquet", "2001-01-07", "2002-01-02", 2.0)
+    merge_new_files(spark, str(folder), schema, UNITS, out, state).awaitTermination()
+    kept = {p for p, t in stamps().items() if before.get(p) == t}
+    assert kept and all("year=2000" in p for p in kept)
+    point = ["variable", "cell_id", "date", "value", "src"]
+    whole = merge.merge(clean.keep_allowed(obs.read_grid(spark, str(folder), UNITS)), fill=False).select(*point)
+    ours = obs.read_obs(spark, out).select(*point)
+    assert ours.exceptAll(whole).isEmpty() and whole.exceptAll(ours).isEmpty()
+    assert ours.filter("variable = 'tmax' and date = '2001-01-04'").select(F.regexp_extract("src", "[^/]*$", 0)).distinct().first()[0] == "a.parquet"
+
+
+def test_attributes_and_unreadable_files(spark, files, tmp_path):
+    folder = tmp_path / "grids"
+    os.makedirs(folder)
+    for name in ("one", "two"):
+        raw(spark, "2000-01-01", "2000-01-03").toPandas().to_parquet(str(folder / f"{name}.parquet"))
+    side = lambda name, **a: (folder / f"{name}.parquet.attributes.json").write_text(json.dumps(a, indent=1))
+    side("one", calendar="standard", transform=[1.0, 0, 99.5, 0, -1.0, 11.5], variables={"pr": {"standard_name": "rain", "units": "mm/s"}})
+    side("two", calendar="standard", geospatial_lat_resolution="1 degree", geospatial_lon_resolution="1.0")
+    paths = str(folder)
+    assert jobs.clip_and_clean(spark, paths, UNITS, described=paths).count() == 2 * 3 * 6 * 3
+    assert {(r.variable, r.standard_name) for r in attributes.variables_of(attributes.read_attributes(spark, paths)).collect()} == {("pr", "rain")}
+    side("two", calendar="noleap")
+    with pytest.raises(ValueError, match="different calendars"):
+        jobs.clip_and_clean(spark, paths, UNITS, described=paths)
+    side("two", calendar="standard", transform=[0.5, 0, 99.5, 0, -0.5, 11.5])
+    with pytest.raises(ValueError, match="different resolutions"):
+        jobs.clip_and_clean(spark, paths, UNITS, described=paths)
+    (folder / "three.parquet").write_bytes(b"PAR1 this is no table PAR1")
+    with pytest.raises(ValueError, match="unreadable file"):
+        jobs.clip_and_clean(spark, paths, UNITS)
+
+
+def scans(df):
+    return len([line for line in explain(df).splitlines() if line.startswith("(") and "Scan parquet" in line])
+
+
+def test_profiles_and_merge_read_the_input_once_and_twice(spark, merged, monkeypatch):
+    table = obs.read_obs(spark, merged).drop("year")
+    stored = []
+    for module in (summary, merge):
+        real = module.settle
+        monkeypatch.setattr(module, "settle", lambda df, real=real: (stored.append(scans(df)), real(df))[1])
+    assert scans(profile.dataset_profile(table)) == 0 and scans(profile.file_profile(table)) == 0
+    assert stored == [1, 1]
+    assert scans(merge.merge(table)) == 1 and stored == [1, 1, 1]
+
+
+def test_runner_reads_the_rain_twice_at_most(spark, merged, monkeypatch):
+    table = obs.read_obs(spark, merged).drop("year")
+    stored, real = [], runner.settle
+    monkeypatch.setattr(runner, "settle", lambda df: (stored.append(scans(df)), real(df))[1])
+    values = runner.compute_indices(table, ["PRCPTOT", "R95p", "SPI3", "SPI6", "SPI9", "SPI12", "pr"], with_events=False)
+    values.count()
+    plan = values._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("+- == Initial Plan ==")[0]
+    read = final.count("FileScan parquet")
+    assert stored == [1] and read <= 2  # the daily family's thresholds and days share one shuffle

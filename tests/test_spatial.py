@@ -297,3 +297,15 @@ def test_outline_of_a_layer_has_no_inner_borders(spark):
     assert owner[by_shape[frozenset(island)]] == by_shape[frozenset(island)]
     cells_ = parts_by_cell(spatial.overlay_boundary(grid.prepare(cells(spark, [0.5, 1.5], [0.5, 1.5])), layer(spark, [("a", [west]), ("b", [east_low]), ("c", [east_high])])))
     assert {k: len(v) for k, v in cells_.items()} == {("overview", c): 1 for c in range(4)}
+
+
+def test_touched_cells_keep_what_is_met_at_a_line_or_a_corner(spark):
+    prepared = grid.prepare(cells(spark, [0.5, 1.5, 2.5], [0.5, 1.5, 2.5]))
+    edges = layer(spark, [("square", [[(1, 1), (2, 1), (2, 2), (1, 2)]]), ("inside", [[(0.2, 0.2), (0.4, 0.2), (0.3, 0.4)]]),
+                          ("slanted", [[(0.5, 1.5), (1.5, 2.5), (0.5, 2.5)]])])
+    share = spatial.cell_area(prepared, edges)
+    found = {}
+    for r in spatial.touched_cells(prepared, edges, share).collect():
+        found.setdefault(r.area, set()).add(r.cell_id)
+    assert found == {"square": set(range(9)), "inside": {0}, "slanted": {3, 6, 7, 4}}
+    assert {r.cell_id for r in share.filter("area = 'square'").collect()} == {4}
