@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.operators import daily, grid, rings, spatial, spi
+from isohyet.operators import daily, grid, maps, rings, spatial, spi
 from isohyet.sources import areas, sinks
 from suite import cube
 from suite.daily_queries import rounded_sql
@@ -389,3 +389,50 @@ def touched_cells(spark, sf_dir):
     share = spatial.cell_area(cells, edges)
     found = spatial.touched_cells(cells, edges, share)
     return found.join(share, ["cell_id", "area"], "left").select("cell_id", "area", F.col("weight").isNotNull().alias("covered"))
+
+
+@register(
+    "uncovered_areas",
+    with_cube("SELECT n_name AS area FROM nation WHERE n_nationkey % 3 = 0"),
+)
+def uncovered_areas(spark, sf_dir):
+    """Areas without a cell of the grid: every third nation, moved ten degrees to the east."""
+    moved = F.transform("points", lambda p: F.array(F.get(p, F.lit(0)) + 10.0, F.get(p, F.lit(1))))
+    ring = nation_rings(spark, sf_dir).withColumn("points", F.when(F.col("polygon") % 3 == 0, moved).otherwise(F.col("points")))
+    edges = areas.edges(ring)
+    return spatial.uncovered_areas(edges, spatial.cell_area(prepared(spark, sf_dir), edges))
+
+
+@register(
+    "sub_areas",
+    """
+SELECT 'regions' AS layer, r_name AS area, CAST(count(*) * 4 AS BIGINT) AS edges FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
+)
+def sub_areas(spark, sf_dir):
+    """A layer of several areas has sub-areas, one of a single area has none."""
+    edges = layer(spark, sf_dir, "region")
+    layers = [("regions", edges), ("one region", edges.filter("area = 'ASIA'"))]
+    rows = [areas.sub_areas(table).groupBy("area").agg(F.count("*").alias("edges")).select(F.lit(name).alias("layer"), "area", "edges")
+            for name, table in layers]
+    return rows[0].unionByName(rows[1])
+
+
+@register(
+    "area_map_features",
+    rounded_sql(with_cube(f"""
+WITH {weights_sql('n_name')}, {PRCPTOT_SQL},
+means AS (SELECT period, area, sum(v * weight) / sum(weight) AS m FROM yearly JOIN cell_area USING (cell_id) WHERE v IS NOT NULL GROUP BY 1, 2),
+mapped AS (SELECT area, round(avg(m), 2) AS value FROM means GROUP BY area)
+SELECT area, area AS name, value, 5 AS vertices, round(ax, 3) AS x, round(ay, 3) AS y FROM mapped JOIN layer ON n_name = area"""), ["value", "x", "y"], 2),
+)
+def area_map_features(spark, sf_dir):
+    """Values of areas with their polygons, read back from the features' text vertex by vertex."""
+    edges = layer(spark, sf_dir)
+    means = spatial.area_mean(yearly_total(spark, sf_dir), spatial.cell_area(prepared(spark, sf_dir), edges))
+    features = sinks.area_features(maps.actual(means, ("area",)), edges, ["value"])
+    schema = "geometry struct<coordinates: array<array<array<double>>>>, properties struct<name: string, value: double>"
+    parsed = features.select("area", F.from_json("feature", schema).alias("f"))
+    ring = F.get("f.geometry.coordinates", F.lit(0))
+    corners = parsed.select("area", "f.properties.name", "f.properties.value", F.size(ring).alias("vertices"),
+                            F.explode(F.slice(ring, 1, F.size(ring) - 1)).alias("p"))
+    return rounded(corners.select("area", "name", "value", "vertices", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y")), 2)
