@@ -5,8 +5,9 @@ such numbers.  Level k then counts candidate phrases of k words.  They go out as
 at a time, a word being one step a digit of its number; in each task numpy moves the states of all text positions one word further at a time, a bincount over the
 accepting states gives the shard's counts, and Spark sums the shards.  The same scan finds the next level's
 candidates: a position that accepted phrase p hands on (p, next word) with a count, if the k words from its second one
-on are a candidate too (tested in a bit table of fixed size, which may let more through but never less).  Pairs whose
-sum reaches the limit are the next candidates.  At level 1 a frequent word is its own state.
+on are a candidate too (tested in a bit table of fixed size, which may let more through but never less).  Before that,
+a scan counts the pairs by hash in a table of fixed size, and pairs whose counter stays below the limit are not handed
+on at all.  Pairs whose sum reaches the limit are the next candidates.  At level 1 a frequent word is its own state.
 
 Words are known by two independent 64-bit hashes.  A broadcast holds at most ``WORDS`` words or ``BLOCK`` phrases; more
 of them need more scans, one after the other.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import slices, stored
+from isohyet.llm.common import dealt, slices, stored
 from isohyet.llm.trie import DoubleArray, build, digits
 from isohyet.llm.words import Words, hashed, mix64
 
@@ -32,6 +33,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 WORDS = 1 << 21      # words and
 BLOCK = 1 << 18      # phrases in one broadcast
 BITS = 24            # the bit table has 2**BITS bits
+COUNTERS = 23        # 2**COUNTERS one-byte counters of hashed continuations, summed in
+PIECE = 1 << 16      # pieces of so many
 HELD = 1 << 20       # counts that a task holds before it adds them up
 NEXT = 1 << 32       # a continuation is phrase * NEXT + word; 0 in place of the word is the phrase itself
 
@@ -287,51 +290,118 @@ def _code_arrays(batches):
             yield np.frombuffer(codes.as_buffer(), np.int32)
 
 
-def _pairs(batches):
-    """Continuations of single words: a word is followed by another."""
-    counts = _Counts()
-    for codes in _code_arrays(batches):
-        pairs = codes[:-1].astype(np.int64) * NEXT + codes[1:]
-        keys, m = np.unique(pairs[(codes[:-1] > 0) & (codes[1:] > 0)], return_counts=True)
-        counts.add(keys, m.astype(np.int64))
-        if counts.full:
-            yield from counts.taken()
-    yield from counts.taken()
+def _walk(codes: np.ndarray, block: Block | None, extend: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Accepting states of all positions of a text, and the keys of their continuations; without a block, of single words."""
+    nothing = np.zeros(0, np.int64)
+    if block is None:
+        keys = codes[:-1].astype(np.int64) * NEXT + codes[1:]
+        return nothing, keys[(codes[:-1] > 0) & (codes[1:] > 0)]
+    at = np.minimum(np.searchsorted(block.words, codes), len(block.words) - 1)
+    local = np.where(block.words[at] == codes, at + 1, 0)  # 0: a break, or a word of no phrase of the block
+    at = np.flatnonzero(local)
+    at = at[at + block.width <= len(codes)]
+    state = np.zeros(len(at), np.int64)
+    for step in range(block.width):
+        state, at = block.step(state, at, local[at + step])
+    if not extend:
+        return state, nothing
+    going = at + block.width < len(codes)
+    at, ended = at[going], state[going]
+    following = codes[at + block.width]
+    at, ended, following = (x[following > 0] for x in (at, ended, following))
+    place = _places([codes[at + t] for t in range(1, block.width + 1)])
+    known = (block.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    return state, block.ids[ended[known]].astype(np.int64) * NEXT + following[known]
+
+
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return (mix64(keys.view(np.uint64)) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _bucket_counts(shared):
+    """A shard's continuations counted by hash, up to 255 a counter, in pieces of the table that hold any."""
+
+    def task(batches):
+        table = np.zeros(1 << COUNTERS, np.uint8)
+        for codes in _code_arrays(batches):
+            which, m = np.unique(_bucket(_walk(codes, shared.value, True)[1]), return_counts=True)
+            table[which] = np.minimum(table[which] + m, 255)
+        for piece, part in enumerate(table.reshape(-1, PIECE)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["piece", "counts"])
+
+    return task
+
+
+def _heavy_bits(least: int):
+    """Sums of the pieces of all shards, as bits for the counters that reach the limit (or 255, past which none counts)."""
+
+    def task(batches):
+        at, total = None, None
+
+        def out():
+            bits = np.packbits(total >= min(least, 255), bitorder="little")
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["piece", "bits"])
+
+        for batch in batches:
+            for piece, counts in zip(batch["piece"].to_pylist(), batch["counts"]):
+                if piece != at:
+                    if at is not None:
+                        yield out()
+                    at, total = piece, np.zeros(PIECE, np.int64)
+                total = np.minimum(total + np.frombuffer(counts.as_buffer(), np.uint8), 1 << 40)
+        if at is not None:
+            yield out()
+
+    return task
+
+
+def _heavy(coded: DataFrame, shared, least: int) -> np.ndarray:
+    """Bits of the counters that a continuation must hit to reach the limit: a table of fixed size, 1 MB."""
+    pieces = coded.mapInArrow(_bucket_counts(shared), "piece int, counts binary")
+    sums = dealt(pieces, "piece").mapInArrow(_heavy_bits(least), "piece int, bits binary")
+    bits = np.zeros((1 << COUNTERS) // 8, np.uint8).reshape(-1, PIECE // 8)
+    for piece, part in sums.collect():
+        bits[piece] = np.frombuffer(part, np.uint8)
+    return bits.ravel()
 
 
 def _scan(shared, extend: bool):
-    """Counts of a block's phrases and of their continuations."""
+    """Counts of a block's phrases and of their continuations that may reach the limit."""
 
     def task(batches):
-        block = shared.value
-        accepted, counts = np.zeros(block.trie.states, np.int64), _Counts()
+        block, heavy = shared.value
+        accepted, counts = np.zeros(block.trie.states if block else 0, np.int64), _Counts()
         for codes in _code_arrays(batches):
-            at = np.minimum(np.searchsorted(block.words, codes), len(block.words) - 1)
-            local = np.where(block.words[at] == codes, at + 1, 0)  # 0: a break, or a word of no phrase of the block
-            at = np.flatnonzero(local)
-            at = at[at + block.width <= len(codes)]
-            state = np.zeros(len(at), np.int64)
-            for step in range(block.width):
-                state, at = block.step(state, at, local[at + step])
+            state, keys = _walk(codes, block, extend)
             accepted += np.bincount(state, minlength=len(accepted))
             if extend:
-                going = at + block.width < len(codes)
-                at, state = at[going], state[going]
-                following = codes[at + block.width]
-                at, state, following = (x[following > 0] for x in (at, state, following))
-                place = _places([codes[at + t] for t in range(1, block.width + 1)])
-                known = (block.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                keys, m = np.unique(block.ids[state[known]].astype(np.int64) * NEXT + following[known], return_counts=True)
+                place = _bucket(keys)
+                keys, m = np.unique(keys[(heavy[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1], return_counts=True)
                 counts.add(keys, m.astype(np.int64))
                 if counts.full:
                     yield from counts.taken()
-        seen = np.flatnonzero(accepted)
-        counts.add(block.ids[seen].astype(np.int64) * NEXT, accepted[seen])
+        if block:
+            seen = np.flatnonzero(accepted)
+            counts.add(block.ids[seen].astype(np.int64) * NEXT, accepted[seen])
         yield from counts.taken()
 
     return task
 
 
+def _scanned(coded: DataFrame, block: Block | None, least: int, extend: bool) -> DataFrame:
+    """Sums of at least ``least`` for a block, or for the pairs of single words."""
+    context, heavy = coded.sparkSession.sparkContext, None
+    if extend:
+        shared = context.broadcast(block)
+        heavy = _heavy(coded, shared, least)
+        shared.destroy()
+    shared = context.broadcast((block, heavy))
+    done = _summed(coded.mapInArrow(_scan(shared, extend), "key long, m long"), least)
+    shared.destroy()
+    return done
+
+
 def _summed(counts: DataFrame, least: int) -> DataFrame:
     """``pid, next, m`` of at least ``least``; ``next`` is 0 for the phrase itself."""
     sums = counts.groupBy("key").agg(F.sum("m").alias("m")).filter(F.col("m") >= least)
@@ -348,9 +418,7 @@ def _counted(coded: DataFrame, candidates: DataFrame, least: int, extend: bool)
     parts = None
     for _, rows in _blocks(candidates, BLOCK, "pid", ["pid", "path"]):  # one block at a time in the driver and in each worker
         if rows.num_rows:
-            shared = coded.sparkSession.sparkContext.broadcast(_block(rows, bits))
-            done = _summed(coded.mapInArrow(_scan(shared, extend), "key long, m long"), least)
-            shared.destroy()
+            done = _scanned(coded, _block(rows, bits), least, extend)
             parts = done if parts is None else parts.unionByName(done)
     return parts
 
@@ -370,7 +438,7 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
         if coded is None:
             break
         if width == 1:
-            sums = _summed(coded.mapInArrow(_pairs, "key long, m long"), least)
+            sums = _scanned(coded, None, least, True)
         else:
             sums = _counted(coded, candidates, least, width < longest)
             if sums is None:

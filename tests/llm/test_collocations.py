@@ -64,6 +64,7 @@ def test_many_blocks_a_full_bit_table_and_small_buffers(spark, monkeypatch):
     monkeypatch.setattr(c, "BLOCK", 5)
     monkeypatch.setattr(c, "BITS", 4)
     monkeypatch.setattr(c, "WORDS", 7)
+    monkeypatch.setattr(c, "COUNTERS", 16)
     monkeypatch.setattr(c, "HELD", 16)
     rows = some(5, 60)
     assert ours(spark, rows, least=20) == brute(rows, 20)
