@@ -253,17 +253,18 @@ def _mark(bits: np.ndarray, rows: pa.Table) -> None:
 
 
 class _Counts:
-    """Counts by key, added up now and then; ``full`` says when they should go on."""
+    """Counts by key, added up whenever twice as many are held as there were keys."""
 
     def __init__(self):
-        self.keys, self.counts, self.size = [], [], 0
+        self.keys, self.counts, self.size, self.limit = [], [], 0, HELD
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.keys.append(keys)
         self.counts.append(counts)
         self.size += len(keys)
-        if self.size > HELD:
+        if self.size > self.limit:
             self._shrink()
+            self.limit = max(HELD, 2 * self.size)
 
     def _shrink(self) -> None:
         keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
@@ -276,12 +277,49 @@ class _Counts:
     def full(self) -> bool:
         return self.size > HELD // 2 and len(self.keys) == 1
 
-    def taken(self):
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """All keys, ascending, with their counts; nothing is held afterwards."""
+        out = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if self.keys:
             self._shrink()
-            if self.size:
-                yield pa.RecordBatch.from_arrays([pa.array(self.keys[0]), pa.array(self.counts[0])], ["key", "m"])
-            self.__init__()
+            out = self.keys[0], self.counts[0]
+        self.__init__()
+        return out
+
+
+def _packed(counts: _Counts, parts: int):
+    """A shard's counts as arrays, one row for each part that the keys are dealt to."""
+    keys, m = counts.taken()
+    part = (mix64(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    rows = [(p, keys[order[a:b]].tobytes(), m[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+    if rows:
+        part, keys, m = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(m, pa.binary())], ["part", "keys", "counts"])
+
+
+def _summed_parts(least: int):
+    """Sums of the shards' arrays, part by part; those that reach the limit as rows."""
+
+    def task(batches):
+        at, held = None, _Counts()
+
+        def out():
+            keys, m = held.taken()
+            kept = m >= least
+            return pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(m[kept])], ["key", "m"])
+
+        for batch in batches:
+            for part, keys, counts in zip(batch["part"].to_pylist(), batch["keys"], batch["counts"]):
+                if part != at and at is not None:
+                    yield out()
+                at = part
+                held.add(np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64))
+        if at is not None:
+            yield out()
+
+    return task
 
 
 def _code_arrays(batches):
@@ -366,7 +404,7 @@ def _heavy(coded: DataFrame, shared, least: int) -> np.ndarray:
     return bits.ravel()
 
 
-def _scan(shared, extend: bool):
+def _scan(shared, extend: bool, parts: int):
     """Counts of a block's phrases and of their continuations that may reach the limit."""
 
     def task(batches):
@@ -380,11 +418,11 @@ def _scan(shared, extend: bool):
                 keys, m = np.unique(keys[(heavy[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1], return_counts=True)
                 counts.add(keys, m.astype(np.int64))
                 if counts.full:
-                    yield from counts.taken()
+                    yield from _packed(counts, parts)
         if block:
             seen = np.flatnonzero(accepted)
             counts.add(block.ids[seen].astype(np.int64) * NEXT, accepted[seen])
-        yield from counts.taken()
+        yield from _packed(counts, parts)
 
     return task
 
@@ -397,14 +435,15 @@ def _scanned(coded: DataFrame, block: Block | None, least: int, extend: bool) ->
         heavy = _heavy(coded, shared, least)
         shared.destroy()
     shared = context.broadcast((block, heavy))
-    done = _summed(coded.mapInArrow(_scan(shared, extend), "key long, m long"), least)
+    parts = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done = _summed(coded.mapInArrow(_scan(shared, extend, parts), "part int, keys binary, counts binary"), least)
     shared.destroy()
     return done
 
 
 def _summed(counts: DataFrame, least: int) -> DataFrame:
     """``pid, next, m`` of at least ``least``; ``next`` is 0 for the phrase itself."""
-    sums = counts.groupBy("key").agg(F.sum("m").alias("m")).filter(F.col("m") >= least)
+    sums = dealt(counts, "part").mapInArrow(_summed_parts(least), "key long, m long")
     return stored(sums.select(F.shiftright("key", 32).alias("pid"), F.col("key").bitwiseAND(F.lit(NEXT - 1)).alias("next"), "m"), "sums")
 
 
