@@ -31,6 +31,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(table: DataFrame) -> None:
+    """Frees the space of a stored table that nothing reads any more: its files are replaced by an empty one."""
+    files = table.inputFiles()
+    if files:
+        table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
 def remainder(key: str, divisor: int) -> Column:
     """crc32 of a key written as text, modulo a divisor; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % divisor

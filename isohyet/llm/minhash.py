@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import dealt, runs, slices, stored
-from isohyet.llm.components import components
+from isohyet.llm.common import dealt, released, runs, slices, stored
+from isohyet.llm.contraction import components
 from isohyet.llm.words import mix64, shingle_sets
 
 BANDS, ROWS = 85, 7
@@ -209,10 +209,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
                                  F.xxhash64("text").alias("text_key"))
     described = stored(documents.mapInArrow(
         _describe, "doc_id long, text_key long, h1 long, h2 long, n_shingles long, keys array<long>, sketch binary"), "described")
-    classes = stored(described.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
+    rows = stored(described.select("doc_id", "text_key", "h1", "h2", "n_shingles"), "rows")
+    classes = stored(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = stored(described.filter("n_shingles > 0 and doc_id is not null")
                    .join(classes, ["h1", "h2"]).filter("doc_id = node")
-                   .select("node", "n_shingles", "keys", "sketch").dropDuplicates(["node"]), "nodes")
+                   .dropDuplicates(["h1", "h2"])  # they lie together already
+                   .select("node", "n_shingles", "keys", "sketch"), "nodes")
+    released(described)  # the keys and sketches that are needed from here on are those of the nodes
     banded = nodes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).filter("m > 1").drop("m")
     bands = stored(banded.join(shared, "key"), "bands")  # only buckets of two and more
@@ -220,9 +223,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = stored(verified(stars, documents), "links")
     labels = stored(components(links), "labels")
     more = stored(_residual(bands.select("key", "node"), nodes, labels, documents), "links")
+    # A doc_id with several sets is in all their classes.
+    several = (rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
+               .filter("low < high").select("doc_id"))
+    same = rows.join(several, "doc_id").join(classes, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     final = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-                       .unionByName(links))
-    return (described.select("doc_id", "text_key", "h1", "h2", "n_shingles")
+                       .unionByName(links).unionByName(same))
+    return (rows
             .join(classes, ["h1", "h2"])
             .join(final, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), "text_key")

@@ -240,3 +240,15 @@ def test_random_tokens_after_equals_signs_and_without_digits(spark):
     found = [any((s["kind"], texts[i][s["start"]:s["end"]]) == ("random", t) for s in rows[i]) for i, (_, t, _) in enumerate(tokens)]
     assert sum(found[:after]) >= 54 and sum(found[after:]) >= 68
     assert [t for i, t in enumerate(texts) if i >= len(tokens) and rows[i]] == []
+
+
+def test_a_repeated_id_links_through_all_its_texts(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 120, 10**6).split(), prose(rng, 90, 10**6).split()
+    near_a, near_b = a[:60] + ["x1"] + a[61:], b[:40] + ["x2"] + b[41:]
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (7, ""), (3, " ".join(near_a)), (5, " ".join(near_b)), (9, " ".join(a)), (11, " ".join(b)), (11, " ".join(b)), (20, prose(rng, 80))]
+    for _ in range(3):
+        rng.shuffle(rows)
+        found = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+        assert {i: c for (i, n), c in found.items()} == {7: 3, 3: 3, 5: 3, 9: 3, 11: 3, 20: 20}
+        assert len(found) == len({(i, t) for i, t in rows})
