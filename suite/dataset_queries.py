@@ -665,7 +665,7 @@ WITH {FILES}, sources AS (
   SELECT DISTINCT src, CASE substr(src, 1, 1) WHEN 'R' THEN 'noleap' ELSE 'standard' END AS calendar,
          CASE substr(src, 1, 1) WHEN 'N' THEN 1.5 WHEN 'A' THEN 0.5 ELSE 1.0 END AS step FROM files),
 verdicts AS (
-  SELECT 'plain' AS layout, NULL AS error FROM sources GROUP BY ALL
+  SELECT 'plain' AS layout, CASE WHEN count(*) = 0 THEN 'no files' END AS error FROM sources
   UNION ALL SELECT 'calendars', CASE WHEN count(DISTINCT calendar) > 1 THEN 'different calendars' END FROM sources
   UNION ALL SELECT 'resolutions', CASE WHEN count(DISTINCT step) > 1 THEN 'different resolutions' END FROM sources
   UNION ALL SELECT 'unreadable', CASE WHEN count(*) < (SELECT count(*) + 1 FROM sources) THEN 'unreadable file' END FROM sources)
