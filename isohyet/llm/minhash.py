@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import dealt, released, runs, slices, stored
+from isohyet.llm.common import dealt, released, runs, shielded, slices, stored, unshielded
 from isohyet.llm.contraction import components
 from isohyet.llm.words import mix64, shingle_sets
 
@@ -241,8 +241,8 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
     Documents without doc_id stay unless their text is that of another row.
     """
-    named = documents.withColumn("__key", F.xxhash64("text"))
+    named = shielded(documents, "doc_id", "text").withColumn("__key", F.xxhash64("text"))
     kept = (near_duplicates(documents).filter("kept")
             .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
-    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return unshielded(named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__key"]), documents, "doc_id", "text")
