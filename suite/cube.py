@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WEST, SOUTH = 99.5, 9.5
+CALENDAR_ROWS = 500_000  # rows of the calendar that one task lists
 
 
 # The columns in use; stating them spares a job that reads a footer per table.
@@ -86,19 +87,26 @@ def _variables(df: DataFrame) -> DataFrame:
     })
 
 
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cell_id, date) of every cell and every day of the whole years of the record.
+
+    The cells are dealt by their number of days before these are listed: by their few bytes they would all be put
+    into one task, whose days would grow with the grid.
+    """
+    first, last = calendar_bounds(spark, sf_dir)
+    rows = 6 * _scale(spark, sf_dir) ** 2 * ((last - first).days + 1)
+    cells = grid(spark, sf_dir).select("cell_id").repartition(math.ceil(rows / CALENDAR_ROWS))
+    return cells.select("cell_id", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("date"))
+
+
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell_id, date, pr, tmax, tmin) for every cell and every day of the whole years of the record.
 
     Days without a reading have no rain and unknown temperatures.  The calendar rows are unioned into the
-    aggregation rather than joined, so completing the calendar adds no shuffle.
+    aggregation rather than joined, so completing the calendar adds no shuffle of days.
     """
-    first, last = (F.lit(day) for day in calendar_bounds(spark, sf_dir))
-    calendar = (
-        grid(spark, sf_dir)
-        .select("cell_id", F.explode(F.sequence(first, last)).alias("date"))
-        .withColumns({c: F.lit(None).cast("long") for c in ("quantity", "cents", "both")})
-    )
-    complete = _readings(_lines(spark, sf_dir, []).unionByName(calendar), [])
+    days = calendar(spark, sf_dir).withColumns({c: F.lit(None).cast("long") for c in ("quantity", "cents", "both")})
+    complete = _readings(_lines(spark, sf_dir, []).unionByName(days), [])
     return _variables(complete).select("cell_id", "date", "pr", "tmax", "tmin")
 
 
