@@ -83,6 +83,13 @@ def slices(texts, limit: int = 2_000_000, rows: int = 1000) -> Iterator[tuple[in
         yield a, len(texts)
 
 
+def pieces(batches, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that only a part's texts become Python strings."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def dealt(df: DataFrame, *columns: str) -> DataFrame:
     """Rows with equal values side by side in one partition, for ``runs``; not coalesced, as the work is not in bytes."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

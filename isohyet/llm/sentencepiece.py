@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import slices
+from isohyet.llm.common import pieces, slices
 from isohyet.llm.words import hashed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 REMEMBERED = 300_000  # words, and pairs of pieces, that a task keeps
+CHARACTERS = 500_000  # that are encoded at a time: the index arrays take some 60 bytes a character
 
 
 def read_model(path: str = MODEL) -> dict:
@@ -220,9 +221,9 @@ class Codec:
 def _kernel(model: dict, check: bool):
     def run(batches):
         codec = Codec(model)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch["text"].to_pylist()
-            for a, b in slices(texts, 4_000_000, 10_000):
+            for a, b in slices(texts, CHARACTERS):
                 ids, offsets = codec.encode(texts[a:b])
                 part = batch.slice(a, b - a)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
