@@ -2,7 +2,8 @@
 
 A text is marked (a mark for each space and one in front) and cut into marked words, which no piece crosses.  The
 distinct words of a batch are sorted, which is a depth-first walk of their trie: the forward states of the prefix that
-a word shares with the one before it are kept, only the rest is computed.
+a word shares with the one before it are kept, only the rest is computed.  An Aho-Corasick automaton of the pieces,
+kept in the states too, names the pieces that end at a position, the longest first.
 
 For a unigram model the forward state of a position is the best sum of piece scores up to it (Viterbi).  For a BPE
 model the score of a path is 0 if every two neighbouring pieces stay apart when the merges run on just these two, and
@@ -21,6 +22,8 @@ Repeated rows and other columns make no difference.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,22 +62,43 @@ def read_model(path: str = MODEL) -> dict:
     return out
 
 
+def _automaton(pieces) -> list:
+    """Root of the Aho-Corasick automaton: children by character, the node of the longest proper suffix (none for the
+    root), and size and spelling of all pieces that end here, the longest first."""
+    root: list = [{}, None, ()]
+    for piece in pieces:
+        node = root
+        for c in piece:
+            node = node[0].setdefault(c, [{}, root, ()])
+        node[2] = ((len(piece), piece),)
+    level = list(root[0].values())
+    while level:
+        below = []
+        for node in level:
+            for c, child in node[0].items():
+                suffix = node[1]
+                while suffix is not None and c not in suffix[0]:
+                    suffix = suffix[1]
+                child[1] = root if suffix is None else suffix[0][c]
+                child[2] += child[1][2]
+                below.append(child)
+        level = below
+    return root
+
+
 class Codec:
     def __init__(self, model: dict):
         self.ids, self.scores, self.bytes, self.unknown = model["pieces"], model["scores"], model["bytes"], model["unknown"]
         self.bpe = model["kind"] == "bpe"
-        self.backwards: list = [{}, None]  # pieces spelled from their end: children by character, the piece that ends here
-        for piece in self.ids:
-            node = self.backwards
-            for c in reversed(piece):
-                node = node[0].setdefault(c, [{}, None])
-            node[1] = piece
+        self.root = _automaton(self.ids)
         self.whole = any(MARK in p.lstrip(MARK) for p in self.ids)  # pieces cross words: texts are not cut
         self.lowest = min(self.scores.values(), default=0) - 10
         self.apart: dict = {}   # piece -> piece after it -> whether they stay apart
+        self.opening: dict = {}  # piece at the start of a word -> whether merges make it
         self.pairs = 0
         self.merges: dict = {}
-        self.words: dict = {}
+        self.words: dict = {}   # marked word, as bytes -> its ids, as bytes of an int32 array
+        self.older: dict = {}   # those of before the last turnover
         # What each id stands for, as bytes in one array.
         spelled = {i: p.replace(MARK, " ").encode("utf-8") for p, i in self.ids.items()}
         spelled |= {i: bytes([b]) for b, i in self.bytes.items()}
@@ -122,40 +146,63 @@ class Codec:
             else:
                 return True
 
-    def _candidates(self, word: str, position: int) -> list[tuple[int, str]]:
-        """Start and piece of everything that can end here, the longest last; a character without a piece stands for itself."""
-        (children, _), found, start = self.backwards, [], position
-        while start:
-            node = children.get(word[start - 1])
+    def _node(self, node: list, c: str) -> list:
+        """The automaton's node after one more character."""
+        while c not in node[0]:
+            node = node[1]
             if node is None:
-                break
-            start -= 1
-            children, piece = node
-            if piece is not None:
-                found.append((start, piece))
-        if not found or found[0][0] != position - 1:
-            found.insert(0, (position - 1, word[position - 1]))
-        return found
-
-    def _best(self, word: str, states: list, position: int) -> tuple:
-        """Viterbi state: start and piece of the best last piece, and the score; the longer piece among equals."""
-        return max(((s, p, states[s][2] + self.scores.get(p, self.lowest)) for s, p in self._candidates(word, position)),
-                   key=lambda c: (c[2], -c[0]))
-
-    def _only(self, word: str, states: list, position: int) -> tuple:
-        """State of the path that merges allow: start, piece, and what is known of pieces after it."""
-        for s, piece in reversed(self._candidates(word, position)):
-            after = states[s][2]
-            apart = after.get(piece) if s else self._merges(piece) is not None
-            if apart is None:
+                return self.root
+        return node[0][c]
+
+    def _best(self, word: str, states: list, done: int) -> None:
+        """Appends the Viterbi states after ``done`` characters: start and piece of the best last piece, the score, the node;
+        the longer piece among equals.  A character without a piece stands for itself."""
+        node = states[done][3]
+        for position in range(done + 1, len(word) + 1):
+            c = word[position - 1]
+            node = self._node(node, c)
+            ending = node[2] if node[2] and node[2][-1][0] == 1 else (*node[2], (1, c))
+            best = None
+            for size, piece in ending:
+                score = states[position - size][2] + self.scores.get(piece, self.lowest)
+                if best is None or score > best[2]:
+                    best = position - size, piece, score, node
+            states.append(best)
+
+    def _only(self, word: str, states: list, done: int) -> None:
+        """Appends the states after ``done`` characters of the path that merges allow: start, piece, what is known of pieces
+        after it, the node.  A character without a piece stands for itself."""
+        node, root = states[done][3], self.root
+        for position in range(done + 1, len(word) + 1):
+            c = word[position - 1]
+            following = node[0].get(c)
+            while following is None:  # as in _node, without a call for each character
+                node = node[1]
+                following = root if node is None else node[0].get(c)
+            node = following
+            for size, piece in node[2]:
+                apart = states[position - size][2].get(piece)
+                if apart is None:
+                    apart = self._allowed(states[position - size], piece)
+                if apart:
+                    break
+            else:
+                size, piece = 1, c
+                if (node[2] and node[2][-1][0] == 1) or not self._allowed(states[position - 1], c):
+                    raise AssertionError(f"no segmentation of {word[:position]!r}")
+            follow = self.apart.get(piece)
+            if follow is None:
+                follow = self.apart[piece] = {}
+            states.append((position - size, piece, follow, node))
+
+    def _allowed(self, state: tuple, piece: str) -> bool:
+        """Whether a piece may follow the last piece of a state (none at the start), remembered in the state."""
+        _, last, after, _ = state
+        if piece not in after:
+            if last:
                 self.pairs += 1
-                apart = after[piece] = self._stay_apart(states[s][1], piece)
-            if apart:
-                follow = self.apart.get(piece)
-                if follow is None:
-                    follow = self.apart[piece] = {}
-                return s, piece, follow
-        raise AssertionError(f"no segmentation of {word[:position]!r}")
+            after[piece] = self._stay_apart(last, piece) if last else self._merges(piece) is not None
+        return after[piece]
 
     def _spelled(self, piece: str) -> list[int]:
         if piece in self.ids:
@@ -164,30 +211,37 @@ class Codec:
             return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
         return [self.unknown]
 
-    def learn(self, words: list[str]) -> None:
-        """Segments words that are not remembered yet, in sorted order."""
+    def learn(self, words: dict) -> None:
+        """Segments words (spelled with marks -> as bytes) that are not remembered yet, in sorted order."""
         if self.pairs > REMEMBERED:
             self.apart, self.pairs = {}, 0
-        states, previous, forward = [(0, "", {} if self.bpe else 0.0)], "", self._only if self.bpe else self._best
+        states, previous = [(0, "", self.opening if self.bpe else 0.0, self.root)], ""
+        extend, numbers = self._only if self.bpe else self._best, self.ids
         for word in sorted(words):
             shared, most = 0, min(len(previous), len(word))
             while shared < most and previous[shared] == word[shared]:
                 shared += 1
             del states[shared + 1:]
-            for position in range(shared + 1, len(word) + 1):
-                states.append(forward(word, states, position))
-            ids, at = [], len(word)
+            extend(word, states, shared)
+            path, at = [], len(word)
             while at:
-                at, piece, _ = states[at]
-                ids.append(self.ids[piece] if piece in self.ids else piece)
-            ids.reverse()
-            self.words[word] = [j for i in ids for j in ([i] if isinstance(i, int) else self._spelled(i))]
+                at, piece, _, _ = states[at]
+                path.append(piece)
+            ids = array("i")
+            for piece in reversed(path):
+                number = numbers.get(piece)
+                if number is None:
+                    ids.extend(self._spelled(piece))
+                else:
+                    ids.append(number)
+            self.words[words[word]] = ids.tobytes()
             previous = word
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the offsets of each text in them."""
         data = [(" " + t.replace(MARK, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-        raw = np.frombuffer(b"".join(data), np.uint8)
+        joined = b"".join(data)
+        raw = np.frombuffer(joined, np.uint8)
         limits = np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64)
         # A marked word goes from the first of a run of spaces to the next one.
         space = raw == 32
@@ -196,13 +250,15 @@ class Codec:
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(raw))
         _, first, which = np.unique(hashed(raw, starts, ends), return_index=True, return_inverse=True)
-        distinct = [raw[s:e].tobytes().decode("utf-8", "surrogatepass").replace(" ", MARK) for s, e in zip(starts[first], ends[first])]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        self.learn([w for w in distinct if w not in self.words])
+        distinct = [joined[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+        if len(self.words) > REMEMBERED // 2:  # the words in use stay, moved over as they come again
+            self.older, self.words = self.words, {}
+        missing = [w for w in distinct if w not in self.words]
+        self.words.update((w, self.older[w]) for w in missing if w in self.older)
+        self.learn({w.decode("utf-8", "surrogatepass").replace(" ", MARK): w for w in missing if w not in self.older})
         known = [self.words[w] for w in distinct]
-        sizes = np.array([len(k) for k in known], np.int64)
-        flat = np.array([i for k in known for i in k], np.int32)
+        sizes = np.array([len(k) for k in known], np.int64) // 4
+        flat = np.frombuffer(b"".join(known), np.int32)
         n = sizes[which]
         place = np.cumsum(n)
         ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - (place - n), n) + np.arange(n.sum())]
