@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_queries_are_registered():
     names = {n.split("_")[0] for n in queries.QUERIES}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in contract.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in contract.queries()
     assert set(queries.TWINS) <= set(contract.oracle_sql())
 
 
@@ -29,9 +29,9 @@ def test_twin(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.TWINS)))
 def test_one_row_for_each_document(spark, name):
-    source = "pages" if name.startswith("op8") else "documents"
+    source, times = {"op8": ("pages", 1), "op13": ("embeddings", 8)}.get(name.split("_")[0], ("documents", 1))  # op13: 8 components
     rows = contract.queries()[name](spark, SF).collect()
-    assert len(rows) == spark.read.parquet(f"{SF}/{source}.parquet").count()
+    assert len(rows) == times * spark.read.parquet(f"{SF}/{source}.parquet").count()
     modulus = {"op2": (5, 0), "op3": (7, 2), "op6": (5, 0), "op10": (4, 2)}.get(name.split("_")[0])
     if modulus:
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % modulus[0] == modulus[1]) for r in rows)
