@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm.common import dealt, released, runs, shielded, slices, stored, unshielded
@@ -203,6 +203,18 @@ def _residual(bands: DataFrame, nodes: DataFrame, labels: DataFrame, documents:
     return dealt(whole, *block).mapInArrow(_confirmed, "a long, b long").distinct()
 
 
+def _nodes(described: DataFrame, classes: DataFrame) -> DataFrame:
+    """One described row of each class, that of its node.
+
+    Spark joins by the document's id too, as it must equal the node; with it among the keys, copies of the row lie
+    together already and the keys and sketches are shuffled once.
+    """
+    return (described.filter("n_shingles > 0 and doc_id is not null")
+            .join(classes, ["h1", "h2"]).filter("doc_id = node")
+            .dropDuplicates(["h1", "h2", "doc_id"])
+            .select("node", "n_shingles", "keys", "sketch"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, text_key, kept`` for every row of ``documents(doc_id, text)``."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
@@ -211,10 +223,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         _describe, "doc_id long, text_key long, h1 long, h2 long, n_shingles long, keys array<long>, sketch binary"), "described")
     rows = stored(described.select("doc_id", "text_key", "h1", "h2", "n_shingles"), "rows")
     classes = stored(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = stored(described.filter("n_shingles > 0 and doc_id is not null")
-                   .join(classes, ["h1", "h2"]).filter("doc_id = node")
-                   .dropDuplicates(["h1", "h2"])  # they lie together already
-                   .select("node", "n_shingles", "keys", "sketch"), "nodes")
+    nodes = stored(_nodes(described, classes), "nodes")
     released(described)  # the keys and sketches that are needed from here on are those of the nodes
     banded = nodes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).filter("m > 1").drop("m")
@@ -223,6 +232,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = stored(verified(stars, documents), "links")
     labels = stored(components(links), "labels")
     more = stored(_residual(bands.select("key", "node"), nodes, labels, documents), "links")
+    released(bands)
+    released(nodes)
     # A doc_id with several sets is in all their classes.
     several = (rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
                .filter("low < high").select("doc_id"))
@@ -241,8 +252,13 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
     Documents without doc_id stay unless their text is that of another row.
     """
-    named = shielded(documents, "doc_id", "text").withColumn("__key", F.xxhash64("text"))
-    kept = (near_duplicates(documents).filter("kept")
-            .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
-    return unshielded(named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__key"]), documents, "doc_id", "text")
+    named = shielded(documents, "doc_id", "text").withColumns(_identity(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    kept = near_duplicates(documents).filter("kept").select(*(v.alias(k) for k, v in _identity(F.col("doc_id"), F.col("text_key")).items())).distinct()
+    keys = kept.columns
+    # The keys of the join are among those of the copies, so that these lie together already.
+    return unshielded(named.join(kept, keys, "left_semi").dropDuplicates(["doc_id", *keys]), documents, "doc_id", "text")
+
+
+def _identity(doc_id: Column, text_key: Column) -> dict[str, Column]:
+    """An id, null or not, and a text as columns that are equal as they are."""
+    return {"__none": doc_id.isNull(), "__id": F.coalesce(doc_id, F.lit(0)), "__key": text_key}
